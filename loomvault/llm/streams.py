@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -19,7 +20,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         change = np.zeros(batch.num_rows, bool)
         for c in range(keys):
             col = batch.column(c)
-            differ = pa.compute.invert(pa.compute.equal(col.slice(1), col.slice(0, len(col) - 1)))
+            differ = pc.invert(pc.equal(col.slice(1), col.slice(0, len(col) - 1)))
             change[1:] |= differ.fill_null(True).to_numpy(zero_copy_only=False)
         first = tuple(batch.column(c)[0].as_py() for c in range(keys))
         change[0] = last is not None and first != last
