@@ -11,11 +11,13 @@ from .jaccard import op7_ngram_jaccard_join
 from .packing import op9_mixture_packing
 from .quality import op2_quality_rules
 from .secrets import op3_secret_scan
+from .sharding import op4_hash_ring_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scan": op3_secret_scan,
+    "op4_hash_ring_shards": op4_hash_ring_shards,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_mixture_packing": op9_mixture_packing,
 }
