@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_benchmark_decontamination
 from .jaccard import op7_ngram_jaccard_join
+from .licences import op6_license_scan
 from .packing import op9_mixture_packing
 from .quality import op2_quality_rules
 from .secrets import op3_secret_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scan": op3_secret_scan,
     "op4_hash_ring_shards": op4_hash_ring_shards,
+    "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_mixture_packing": op9_mixture_packing,
 }
