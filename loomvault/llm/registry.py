@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .arrowfiles import op8_arrow_token_files
 from .decontaminate import op1_benchmark_decontamination
 from .jaccard import op7_ngram_jaccard_join
 from .licences import op6_license_scan
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hash_ring_shards": op4_hash_ring_shards,
     "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_arrow_token_files": op8_arrow_token_files,
     "op9_mixture_packing": op9_mixture_packing,
 }
 
