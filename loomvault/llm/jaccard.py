@@ -10,7 +10,7 @@ and 1 from the rest.
   |x| - ceil(threshold * |x|) + 1 shingles of x in that order as its first common one, and no other, so a document is
   replicated into those regions only. Shingles of one document alone need no region, which leaves few.
 * Inside a region three lower bounds of |x ^ y| from further pivots prune pairs: the distance from the empty set (set sizes),
-  the places of the region's pivot in the two orders, and the distances from 256 classes of shingles, whose differences add up.
+  the places of the region's pivot in the two orders, and the distances from 128 classes of shingles, whose differences add up.
 * A region of more than BLOCK members splits into blocks, and the pairs of blocks are joined as regions of their own, so a task
   holds 2 * BLOCK members at most, whatever the size of the group.
 * Two rounds keep the work in proportion: first hubs are compared with their region, and links are verified on the texts; then
@@ -31,21 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitfilter
 from . import kernels as K
 from .graph import components
 from .shared import documents, stash
-from .streams import runs
 
 #: Shingles whose hash lies below this share of the range come first in the global order, and are counted for every document.
 ZONE = 0.2
 #: Members of a region held by a task are twice this at most.
 BLOCK = 1500
-CLASSES = 256
-#: Bits of the prefilter on the documents fetched for verification; when it fills up it lets more through, no less.
-FILTER_BITS = 1 << 22
+CLASSES = 128
+#: Sets whose connections a verifying task remembers, to leave out links that join nothing new.
+FOREST = 200_000
+#: Regions up to this size compare all their pairs at once.
+SMALL = 24
 _ZONE_TOP = np.uint64(int(ZONE * 2**64))
 
 
@@ -100,15 +103,18 @@ def _describe(k: int, num: int):
     return run
 
 
-_MEMBER = "s long, key binary, n long, i long, hist binary"
+_MEMBER = "s long, key binary, n long, i long, own long"
 
 
 def _regions_of(num: int):
-    """From each set's shingles that other sets hold too, the regions that it belongs to, with the pivot's place in its order."""
+    """From each set's shingles that other sets hold too, the regions that it belongs to, with the pivot's place in its order.
+
+    own: the set's share of shingles of its own; the sets with the least are the hubs, the same ones in all regions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_s, out_i, out_row = [], [], []
+            out_s, out_i, out_own, out_row = [], [], [], []
             lists = batch.column(batch.schema.get_field_index("shared"))
             offs = lists.offsets.to_numpy()
             df, s = (lists.values.field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
@@ -124,68 +130,113 @@ def _regions_of(num: int):
                 keep = place < prefix_length(int(n[r]), num)
                 out_s.append(x[keep].view(np.int64))
                 out_i.append(place[keep])
+                out_own.append(np.full(int(keep.sum()), 1000 * (zone_n[r] - near) // n[r]))
                 out_row.append(np.full(int(keep.sum()), r))
             if out_row:
                 rows = pa.array(np.concatenate(out_row), pa.int64())
                 col = lambda c: batch.column(batch.schema.get_field_index(c)).take(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_s), pa.int64()), col("key"), col("n"), pa.array(np.concatenate(out_i), pa.int64()), col("hist")], names=["s", "key", "n", "i", "hist"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_s), pa.int64()), col("key"), col("n"), pa.array(np.concatenate(out_i), pa.int64()), pa.array(np.concatenate(out_own), pa.int64())], names=["s", "key", "n", "i", "own"])
 
     return run
 
 
 def _pairs_in(num: int, hubs_only: bool):
-    """Pairs of a region that the bounds leave. hubs_only: those of hubs; else those whose ends are in different components."""
+    """Pairs of a region that the bounds leave. hubs_only: of large regions those of hubs; else those whose ends are in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a: list[bytes] = []
-        out_b: list[bytes] = []
-        for region in runs(batches, 2):
-            if region.num_rows > 1:
-                _pairs(region, num, hubs_only, out_a, out_b)
-            if len(out_a) > 20000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+        tail: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([tail, table]) if tail is not None else table).combine_chunks()
+            cut = int(_starts(table)[-1])  # the last region may go on in the next batch; it has 2 * BLOCK rows at most
+            yield _pairs(table.slice(0, cut), num, hubs_only)
+            tail = table.slice(cut)
+        if tail is not None:
+            yield _pairs(tail.combine_chunks(), num, hubs_only)
 
     return run
 
 
-def _pairs(region: pa.Table, num: int, hubs_only: bool, out_a: list[bytes], out_b: list[bytes]) -> None:
-    n, i, block = (region.column(c).to_numpy() for c in ("n", "i", "block"))
-    order = np.lexsort((n, i))
-    n, i, block = n[order], i[order], block[order]
-    keys = region.column("key").to_pylist()
-    keys = [keys[k] for k in order]
-    hist = np.frombuffer(b"".join(region.column("hist").to_pylist()), np.uint8).reshape(-1, CLASSES)[order].astype(np.int16)
-    comp = None if hubs_only else np.unique(np.array([(c or k).hex() for c, k in zip((region.column("comp").to_pylist()[k] for k in order), keys, strict=True)]), return_inverse=True)[1]
-    split = block.max() > block.min()
-    taken = np.zeros(len(n), bool)
-    for x in range(len(n) - 1):
-        if hubs_only and taken[x]:
-            continue
-        y = np.arange(x + 1, len(n))
+def _starts(table: pa.Table) -> np.ndarray:
+    s, cell = table.column("s").to_numpy(), table.column("cell").to_numpy()
+    return np.concatenate([[0], np.flatnonzero((s[1:] != s[:-1]) | (cell[1:] != cell[:-1])) + 1])
+
+
+def _halves(column: pa.ChunkedArray) -> np.ndarray:
+    """16-byte keys as two numbers, in the order of their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _pairs(table: pa.Table, num: int, hubs_only: bool) -> pa.RecordBatch:
+    if table.num_rows < 2:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.binary())], names=["a", "b"])
+    n, i, own, block = (table.column(c).to_numpy() for c in ("n", "i", "own", "block"))
+    keys = _halves(table.column("key"))
+    hist = np.frombuffer(b"".join(table.column("hist").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+    comp = None if hubs_only else _halves(pc.coalesce(table.column("comp"), table.column("key")))
+    starts = _starts(table)
+    ends = np.append(starts[1:], table.num_rows)
+    halved = np.repeat(np.maximum.reduceat(block, starts) > np.minimum.reduceat(block, starts), ends - starts)
+
+    def left(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs the bounds leave."""
         need = -(-num * (n[x] + n[y]) // (100 + num))
         ok = (100 * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])) & (np.minimum(n[x] - i[x], n[y] - i[y]) >= need)
-        if split:
-            ok &= block[y] != block[x]
+        ok &= ~halved[x] | (block[x] != block[y])
         if comp is not None:
-            ok &= comp[y] != comp[x]
-        y, need = y[ok], need[ok]
-        if not len(y):
-            continue
-        far = np.abs(hist[y] - hist[x]).sum(axis=1, dtype=np.int64)
-        y = y[far <= n[x] + n[y] - 2 * need]
-        taken[y] = True
-        for z in y.tolist():
-            a, b = keys[x], keys[z]
-            if a != b:
-                out_a.append(min(a, b))
-                out_b.append(max(a, b))
+            ok &= (comp[x] != comp[y]).any(axis=1)
+        at = np.flatnonzero(ok)
+        for k in range(0, len(at), 4096):
+            p = at[k : k + 4096]
+            u, v = x[p], y[p]
+            ok[p] = np.abs(hist[u] - hist[v]).sum(axis=1, dtype=np.int64) <= n[u] + n[v] - 2 * need[p]
+        return ok
+
+    xs, ys = [], []
+    sizes = ends - starts
+    for m in range(2, SMALL + 1):
+        base = starts[sizes == m]
+        a, b = np.triu_indices(m, 1)
+        for k in range(0, len(base), 4096):
+            x, y = (base[k : k + 4096, None] + a).ravel(), (base[k : k + 4096, None] + b).ravel()
+            ok = left(x, y)
+            xs.append(x[ok])
+            ys.append(y[ok])
+    for g in np.flatnonzero(sizes > SMALL).tolist():
+        members = np.arange(starts[g], ends[g])
+        members = members[np.lexsort((keys[members, 1], keys[members, 0], own[members]))]
+        taken = np.zeros(len(members), bool)
+        for j in range(len(members) - 1):
+            if hubs_only and taken[j]:
+                continue
+            y = members[j + 1 :]
+            ok = left(np.full(len(y), members[j]), y)
+            taken[j + 1 :] |= ok
+            xs.append(np.full(int(ok.sum()), members[j]))
+            ys.append(y[ok])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+    swap = (keys[x, 0] > keys[y, 0]) | ((keys[x, 0] == keys[y, 0]) & (keys[x, 1] > keys[y, 1]))
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    at = np.unique(np.concatenate([keys[x], keys[y]], axis=1), axis=0, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
+    key = table.column("key").combine_chunks()
+    key = key.chunk(0) if isinstance(key, pa.ChunkedArray) else key
+    return pa.RecordBatch.from_arrays([key.take(pa.array(x[at])), key.take(pa.array(y[at]))], names=["a", "b"])
 
 
 def _verify(k: int, num: int):
+    """Links that the texts confirm; those that join what the task has joined already are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub = None, None
+        root: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
         for batch in batches:
             a, b = [], []
             sets = shingle_sets(batch.column(4), k)
@@ -196,9 +247,12 @@ def _verify(k: int, num: int):
                 elif now == (cell, salt):
                     at = np.searchsorted(hub, s)
                     both = int(np.count_nonzero(hub[np.minimum(at, len(hub) - 1)] == s))
-                    if 100 * both >= num * (len(hub) + len(s) - both):
+                    if 100 * both >= num * (len(hub) + len(s) - both) and (u := find(cell)) != (v := find(other)):
+                        root[max(u, v)] = min(u, v)
                         a.append(cell)
                         b.append(other)
+            if len(root) > FOREST:
+                root.clear()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
@@ -208,26 +262,14 @@ def _spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits over the column h: its size is fixed, whatever the number of rows."""
-    at = hashes.select(F.pmod(F.col("h"), F.lit(FILTER_BITS)).alias("at"))
-    words = at.select(F.expr("cast(at div 32 as int)").alias("w"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
-    return out
-
-
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, text) of the wanted points (key, doc_id, th)."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bits(wanted.select(F.xxhash64("doc_id", "th").alias("h"))).tobytes())
+    bits = spark.sparkContext.broadcast(bitfilter.build(wanted.select(F.xxhash64("doc_id", "th").alias("h")), bitfilter.bits_for(wanted.count())))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint32)
         for batch in batches:
-            at = batch.column(2).to_numpy() % FILTER_BITS
-            hit = (table[at // 32] >> (at % 32).astype(np.uint32)) & 1
-            yield batch.select([0, 1, 3]).filter(pa.array(hit.astype(bool)))
+            yield batch.select([0, 1, 3]).filter(pa.array(bitfilter.passes(bits.value, batch.column(2).to_numpy())))
 
     rows = docs.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("h"), "text").mapInArrow(sift, "doc_id long, th long, text string")
     w = wanted.select("key", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
@@ -236,47 +278,66 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int) -> DataFrame:
-    """The pairs (a, b) that the texts confirm. A hub's partners are dealt over 16 tasks."""
+    """Those of the pairs (a, b) that the texts confirm, as far as they connect. A hub's partners are dealt over 16 tasks."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
     heads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
     tails = salted.join(texts.withColumnRenamed("key", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
     return _spread(heads.unionByName(tails), "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify(k, num), "a binary, b binary")
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (see module). Links: an intersection of `percent` of the union or more."""
-    spark = docs.sparkSession
+def _solve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The points of all rows, and for each distinct set (key) its component's label, least doc_id, and first (doc_id, th)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     points = stash(rows.select("doc_id", "th", "text").mapInArrow(_describe(k, percent), _POINT), "points")
-    sets = points.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("zone_n").alias("zone_n"), F.first("counted").alias("counted"), F.first("hist").alias("hist"))
+    sets = points.filter("key is not null").groupBy("key").agg(F.first("counted").alias("counted"))
     shingles = sets.select("key", F.explode("counted").alias("s"))
     shared = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     held = shingles.join(shared, "s").groupBy("key").agg(F.collect_list(F.struct(F.col("df"), F.col("s"))).alias("shared"))
-    about = points.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("zone_n").alias("zone_n"), F.first("hist").alias("hist"))
+    about = points.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("zone_n").alias("zone_n"))
+    classes_of = points.filter("key is not null").groupBy("key").agg(F.first("hist").alias("hist"))
     members = stash(held.join(about, "key").mapInArrow(_regions_of(percent), _MEMBER), "members")
     sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = members.join(sizes, "s").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(F.col("block"), o) * F.col("parts") + F.greatest(F.col("block"), o))
     # a block meets itself in its own cell, where both sides are the one block, and each other block in a cell of the two
-    dealt = dealt.withColumn("cell", F.explode(cells)).select("s", "cell", "key", "n", "i", "hist", "block")
-    one = _spread(dealt, "s", "cell").sortWithinPartitions("s", "cell").mapInArrow(_pairs_in(percent, True), "a binary, b binary").distinct()
+    dealt = stash(dealt.withColumn("cell", F.explode(cells)).select("s", "cell", "key", "n", "i", "own", "block", "m"), "regions")
+    one = _spread(dealt.join(classes_of, "key"), "s", "cell").sortWithinPartitions("s", "cell").mapInArrow(_pairs_in(percent, True), "a binary, b binary").distinct()
     first = stash(one, "pairs")
-    ids = points.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("p"), F.min("doc_id").alias("least_id")).select("key", "least_id", F.col("p.doc_id").alias("doc_id"), F.col("p.th").alias("th"))
+    ids = points.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p"), F.min("doc_id").alias("least_id")).select("key", "least_id", F.col("p.doc_id").alias("doc_id"), F.col("p.th").alias("th"))
     ends = lambda p: p.select(F.col("a").alias("key")).union(p.select(F.col("b").alias("key"))).distinct()
     links = stash(_linked(first, stash(_fetch(rows, ids.join(ends(first), "key")), "texts"), k, percent), "links")
     known = components(links)
-    again = dealt.join(known.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key", "left").select("s", "cell", "key", "n", "i", "hist", "block", "comp")
+    large = dealt.filter(F.col("m") > SMALL).join(classes_of, "key")  # the small ones have been compared whole
+    again = large.join(known.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key", "left")
     two = _spread(again, "s", "cell").sortWithinPartitions("s", "cell").mapInArrow(_pairs_in(percent, False), "a binary, b binary").distinct()
     second = stash(two.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = _linked(second, stash(_fetch(rows, ids.join(ends(second), "key")), "texts"), k, percent)
         links = stash(links.union(more), "links")
         known = components(links)
-    point_ids = ids.join(known.withColumnRenamed("node", "key"), "key", "left")
-    least = point_ids.filter("label is not null").groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_key = point_ids.join(least, "label", "left").select("key", F.coalesce("component_id", "least_id").alias("c"))
-    return points.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
+    return points, ids.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (see module). Links: an intersection of `percent` of the union or more."""
+    points, sets = _solve(docs, k, percent)
+    least = sets.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    by_key = sets.join(least, "label").select("key", "component_id")
+    return points.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest doc_id (nulls come last, ties go by the text's hash).
+
+    Rows equal in doc_id and text are one document. Rows without a word are in no group and stay.
+    """
+    _, sets = _solve(docs, k, percent)
+    first = stash(sets.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p")).select(F.col("p.doc_id").alias("k_id"), F.col("p.th").alias("k_th")), "kept")
+    hashed = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    words = F.coalesce(F.col("text").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    kept = hashed.filter(words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__th"]).select(*docs.columns).unionByName(docs.filter(~words))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
