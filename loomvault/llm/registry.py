@@ -14,6 +14,7 @@ from .packing import op9_mixture_packing
 from .quality import op2_quality_rules
 from .secrets import op3_secret_scan
 from .sharding import op4_hash_ring_shards
+from .substrings import op10_recompression_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_arrow_token_files": op8_arrow_token_files,
     "op9_mixture_packing": op9_mixture_packing,
+    "op10_recompression_dedup": op10_recompression_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
