@@ -11,6 +11,7 @@ from .decontaminate import op1_benchmark_decontamination
 from .jaccard import op7_ngram_jaccard_join
 from .licences import op6_license_scan
 from .packing import op9_mixture_packing
+from .pii import op5_feistel_pseudonyms
 from .quality import op2_quality_rules
 from .secrets import op3_secret_scan
 from .sharding import op4_hash_ring_shards
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scan": op3_secret_scan,
     "op4_hash_ring_shards": op4_hash_ring_shards,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_arrow_token_files": op8_arrow_token_files,
