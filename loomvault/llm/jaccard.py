@@ -285,6 +285,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int) -> DataFrame:
     return _spread(heads.unionByName(tails), "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify(k, num), "a binary, b binary")
 
 
+def _merge(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, label) after further links: only the components that these join are looked at again."""
+    named = known.select("node", "label")
+    ends = links.join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct())
+    fresh = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(named, "node", "left_anti")
+    seen = named.union(fresh.select("node", F.col("node").alias("label")))
+    return seen.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+
+
 def _solve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The points of all rows, and for each distinct set (key) its component's label, least doc_id, and first (doc_id, th)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
@@ -314,8 +324,7 @@ def _solve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     second = stash(two.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = _linked(second, stash(_fetch(rows, ids.join(ends(second), "key")), "texts"), k, percent)
-        links = stash(links.union(more), "links")
-        known = components(links)
+        known = stash(_merge(known, more), "components")
     return points, ids.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
