@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of the consecutive rows that agree in the first `keys` columns. A group is held whole: callers bound its size."""
+    """Tables of the consecutive rows that agree in the first `keys` columns (nulls agree). A group is held whole: callers bound its size."""
     held: list[pa.Table] = []
     last = None
     for batch in batches:
@@ -20,8 +20,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         change = np.zeros(batch.num_rows, bool)
         for c in range(keys):
             col = batch.column(c)
-            differ = pc.invert(pc.equal(col.slice(1), col.slice(0, len(col) - 1)))
-            change[1:] |= differ.fill_null(True).to_numpy(zero_copy_only=False)
+            a, b = col.slice(1), col.slice(0, len(col) - 1)
+            differ = pc.invert(pc.equal(a, b)).fill_null(True)
+            change[1:] |= pc.and_(differ, pc.invert(pc.and_(a.is_null(), b.is_null()))).to_numpy(zero_copy_only=False)
         first = tuple(batch.column(c)[0].as_py() for c in range(keys))
         change[0] = last is not None and first != last
         cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
