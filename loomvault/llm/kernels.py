@@ -57,7 +57,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 _POW: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW
     if _POW is None or len(_POW[0]) <= n:
         _POW = _powers(int(_BASE), max(n, CHUNK_BYTES + 65536))
@@ -134,7 +134,7 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
         if len(piece) > 2 * CHUNK_BYTES:  # one huge span
             out[i] = 0
         else:
-            pw, inv = _pow(len(piece))
+            pw, inv = powers(len(piece))
             total = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum(table[piece] * pw[: len(piece)], out=total[1:])
             s, e = start[i:j] - at, end[i:j] - at
@@ -158,7 +158,7 @@ def windows(words: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tupl
         for i in range(k):
             h = h * _U(base) + words[i : n - k + 1 + i]
     else:
-        pw, inv = _powers(base, n) if seed else _pow(n)
+        pw, inv = _powers(base, n) if seed else powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(words * pw[:n], out=total[1:])
         h = (total[k:] - total[:-k]) * inv[: n - k + 1]

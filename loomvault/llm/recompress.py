@@ -111,3 +111,11 @@ def anchors(s: Symbols, first: np.ndarray, width: int) -> np.ndarray:
             inside[a : b - width + 1] = True
     best[~inside] = -1
     return best
+
+
+def contexts(words: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    """Hashes of the words in each [c0, c1)."""
+    power, inverse = K.powers(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return K.mix((total[c1] - total[c0]) * inverse[c0] ^ (c1 - c0).astype(np.uint64))

@@ -3,8 +3,8 @@
 Texts are recompressed (see recompress): equal passages have equal symbols inside, so two equal windows choose the same symbol at
 the same place. A symbol that stands once in the corpus proves all the windows it stands for unique, and those are most.
 
-1. One scan names symbols and writes (symbol, text, range of windows), about one row for every fifteen words.
-2. An aggregation by symbol keeps the rows whose symbol stands twice or more.
+1. One scan names symbols and writes (symbol in its context, text, range of windows), about one row for every fifteen words.
+2. An aggregation by symbol finds those that stand twice or more; a bit filter and a join keep their rows.
 3. The windows of those rows are hashed from the texts, and compared within each symbol. What is compared is a 64-bit hash of the
    whole window under a 64-bit name of its part. Symbols of more than HOT rows are compared by an aggregation that combines
    before it shuffles, the others by a sorted pass of a task.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bitfilter
 from . import kernels as K
-from .recompress import anchors, recompress
+from .recompress import anchors, contexts, recompress
 from .shared import documents, stash
 
 WINDOW = 35
@@ -54,15 +54,20 @@ def _anchor_rows(width: int, rounds: int, table):
                 s = recompress(h, w.row, rounds)
                 best = anchors(s, w.first, width)[start]
                 own = best < 0
-                name = np.where(own, x, s.name[np.maximum(best, 0)])
                 row = w.row[start]
                 cut = np.ones(len(start), bool)
-                cut[1:] = (best[1:] != best[:-1]) | own[1:] | (row[1:] != row[:-1])
+                cut[1:] = (best[1:] != best[:-1]) | (own[1:] & (x[1:] != x[:-1])) | (row[1:] != row[:-1])
+                second = own[1:] & ~cut[1:] & cut[:-1]  # equal windows in a run: one row for the first, one for the rest
+                cut[1:] |= second
                 head = np.flatnonzero(cut)
                 last = np.append(head[1:], len(start)) - 1
                 place = start - w.first[row]
+                chosen = best[head]
+                some = chosen >= 0
+                name = x[head]
+                name[some] = K.mix(s.name[chosen[some]] ^ contexts(h, s.c0[chosen[some]], s.c1[chosen[some]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[head].view(np.int64)), batch.column(0).take(pa.array(row[head] + base)), pa.array(place[head].astype(np.int32)), pa.array(place[last].astype(np.int32))], names=["key", "m", "lo", "hi"]
+                    [pa.array(name.view(np.int64)), batch.column(0).take(pa.array(row[head] + base)), pa.array(place[head].astype(np.int32)), pa.array(place[last].astype(np.int32))], names=["key", "handle", "lo", "hi"]
                 )
 
     return run
@@ -87,6 +92,8 @@ def _hash_ranges(width: int):
                 n = w.n_rows
                 at = np.arange(cuts[base], cuts[base + n])
                 row = np.repeat(np.arange(n), np.diff(cuts[base : base + n + 1]))
+                fits = hi_[at] < np.diff(first)[row]  # a range that came by a like handle may not
+                at, row = at[fits], row[fits]
                 sizes = (hi_[at] - lo_[at] + 1).astype(np.int64)
                 ends = np.cumsum(sizes)
                 take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[row] + lo_[at] - (ends - sizes), sizes)
@@ -198,12 +205,14 @@ def repeated_ranges(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _keyed(docs)
     texts = stash(rows.groupBy("m").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "texts")
-    scan = rows.select("m", F.xxhash64("doc_id", "m").alias("h"), "text")
-    found = stash(scan.mapInArrow(_anchor_rows(width, rounds, _filter(texts)), "key long, m binary, lo int, hi int"), "symbols")
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
-    ranges = stash(found.join(shared, "key").groupBy("m").agg(F.collect_list(F.struct("key", "lo", "hi", "hot")).alias("ranges")), "shared")
-    wanted = ranges.select("m").join(texts, "m")
-    hashed = stash(_fetch(rows, wanted).join(ranges, "m").select("m", "text", "ranges").mapInArrow(_hash_ranges(width), _WINDOWS), "windows")
+    scan = rows.select(F.xxhash64("m").alias("handle"), F.xxhash64("doc_id", "m").alias("h"), "text")
+    found = stash(scan.mapInArrow(_anchor_rows(width, rounds, _filter(texts)), "key long, handle long, lo int, hi int"), "symbols")
+    shared = stash(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", (F.col("c") > HOT).alias("hot")), "keys")
+    bits = rows.sparkSession.sparkContext.broadcast(bitfilter.build(shared.select(F.col("key").alias("h")), bitfilter.bits_for(shared.count())))
+    likely = found.mapInArrow(lambda batches: (b.filter(pa.array(bitfilter.passes(bits.value, b.column(0).to_numpy()))) for b in batches), found.schema)
+    ranges = stash(likely.join(shared, "key").groupBy("handle").agg(F.collect_list(F.struct("key", "lo", "hi", "hot")).alias("ranges")), "shared")
+    wanted = texts.withColumn("handle", F.xxhash64("m")).join(ranges.select("handle"), "handle").select("m", "doc_id")
+    hashed = stash(_fetch(rows, wanted).withColumn("handle", F.xxhash64("m")).join(ranges, "handle").select("m", "text", "ranges").mapInArrow(_hash_ranges(width), _WINDOWS), "windows")
     cold = hashed.filter("not hot").select("key", "m", "lo", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeated, _RANGE)
     each = hashed.filter("hot").select("key", "m", "lo", F.posexplode("hashes").alias("d", "x")).select("key", "x", "m", (F.col("lo") + F.col("d")).alias("lo"))
     twice = each.groupBy("key", "x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "x")
