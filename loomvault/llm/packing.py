@@ -1,11 +1,11 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of token ids. The stream of sequences is filled window by window; in each window the queues are served
-in turn, each with its share of the window's tokens and the deficit it carries from the windows before. The deficit of a
-queue after x tokens is what the exact share x * p falls short of the tokens served, and is kept below one token, so the
-served amounts have a closed form (floors of cumulated shares). That is what makes the rounds distributable: where a document
-goes follows from the number of tokens before it in its queue alone, and deficits carry over windows and partitions
-without a sequential pass. When a queue runs dry, a new phase shares its part among the rest.
+in turn, each with its share of the window's tokens and the deficit it carries from the windows before. A queue's deficit
+is what its exact share x * p of the first x tokens falls short of the tokens served. Serving always the queue whose next token has been due
+longest keeps it about half a token, and gives the served amounts a closed form. That is what makes the rounds
+distributable: where a document goes follows from the number of tokens before it in its queue alone, and deficits carry over
+windows and partitions without a sequential pass. When a queue runs dry, a new phase shares its part among the rest.
 
 Documents are encoded once and written to the shared folder with their place in the partition's queues; only sums by partition and
 source are shuffled, and they are broadcast if they are few, else joined. The driver sees one row for each queue (QUEUES at most;
@@ -17,9 +17,12 @@ an empty table gives no pieces; extra columns are ignored. Only the last sequenc
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +67,38 @@ def _enqueue(path: str, end_id: int):
 
 @dataclass(frozen=True)
 class Phase:
-    """A stretch of the stream with fixed shares: it starts at token `at`, has `length` tokens, of which queue k serves served[k] after base[k] earlier ones."""
+    """A stretch of the stream with fixed shares: from token `at`, `length` tokens, of which queue k serves served[k] after base[k] earlier ones."""
 
     at: int
     length: int
     base: tuple[int, ...]
     served: tuple[int, ...]
-    upto: tuple[int, ...]  # sums of served over the queues before k, and all
+
+    def upto(self, x: int) -> list[int]:
+        """How many of the phase's first x tokens each queue serves.
+
+        Token j of a queue that serves m is due at (2j + 1) / 2m of the phase, and tokens go by their due times, then by queue. At any
+        time a queue is at most half a token from its exact share, and what has been served never falls.
+        """
+        x = min(x, self.length)
+        due = [(2 * m * x + self.length) // (2 * self.length) for m in self.served]  # all those due until then
+        if (over := sum(due) - x) > 0:
+            last = [(-Fraction(2 * n - 1, 2 * m), -k) for k, (n, m) in enumerate(zip(due, self.served, strict=True)) if n]
+            heapq.heapify(last)
+            for _ in range(over):
+                k = -heapq.heappop(last)[1]
+                due[k] -= 1
+                if due[k]:
+                    heapq.heappush(last, (-Fraction(2 * due[k] - 1, 2 * self.served[k]), -k))
+        elif over < 0:
+            next_ = [(Fraction(2 * n + 1, 2 * m), k) for k, (n, m) in enumerate(zip(due, self.served, strict=True)) if n < m]
+            heapq.heapify(next_)
+            for _ in range(-over):
+                k = heapq.heappop(next_)[1]
+                due[k] += 1
+                if due[k] < self.served[k]:
+                    heapq.heappush(next_, (Fraction(2 * due[k] + 1, 2 * self.served[k]), k))
+        return due
 
 
 def plan(totals: list[int], weights: list[float] | None = None) -> list[Phase]:
@@ -86,37 +114,55 @@ def plan(totals: list[int], weights: list[float] | None = None) -> list[Phase]:
         for k in active:
             if goal[k] > 0 and left[k] / goal[k] <= rounds:
                 take[k] = left[k]
-        upto = [0]
-        for n in take:
-            upto.append(upto[-1] + n)
-        phases.append(Phase(at, upto[-1], tuple(base), tuple(take), tuple(upto)))
-        at += upto[-1]
+        phases.append(Phase(at, sum(take), tuple(base), tuple(take)))
+        at += sum(take)
         left = [a - b for a, b in zip(left, take, strict=True)]
         base = [a + b for a, b in zip(base, take, strict=True)]
     return phases
 
 
-def spans(phases: list[Phase], queue: int, begin: int, n: int, window: int) -> Iterator[tuple[int, int, int]]:
-    """(start in the document, place in the stream, length) of the stretches that tokens begin..begin+n of a queue go to."""
-    done = 0
-    for p in phases:
-        lo, hi = p.base[queue], p.base[queue] + p.served[queue]
-        if not p.served[queue] or begin + done >= hi or begin + done < lo:
-            continue
-        below, upto = p.upto[queue], p.upto[queue + 1]
-        share = lambda x: x * upto // p.length - x * below // p.length  # noqa: B023, E731  served by the queue in the phase's first x tokens
-        r = begin + done - lo
-        w = max(0, r * p.length // p.served[queue] // window - 2)
-        while done < n and r < p.served[queue]:
-            while share(min((w + 1) * window, p.length)) <= r:
-                w += 1
-            x, y = w * window, min((w + 1) * window, p.length)
-            length = min(n - done, share(y) - r)
-            yield done, p.at + x + (y * below // p.length - x * below // p.length) + r - share(x), length
-            done += length
-            r += length
-        if done == n:
-            return
+class Windows:
+    """The windows of a plan. What queues have served by a window's border is kept for the windows asked for last."""
+
+    KEPT = 4096
+
+    def __init__(self, phases: list[Phase], window: int):
+        self.phases, self.window = phases, window
+        self.borders: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+
+    def border(self, i: int, w: int) -> tuple[list[int], list[int]]:
+        """Tokens served before window w of phase i, by queue, and their sums over the queues before."""
+        if (i, w) not in self.borders:
+            if len(self.borders) >= self.KEPT:
+                self.borders.clear()
+            done = self.phases[i].upto(w * self.window)
+            self.borders[i, w] = done, [0, *accumulate(done)]
+        return self.borders[i, w]
+
+    def spans(self, queue: int, begin: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(start in the document, place in the stream, length) of the stretches that tokens begin..begin+n of a queue go to."""
+        done = 0
+        for i, p in enumerate(self.phases):
+            served = p.served[queue]
+            r = begin + done - p.base[queue]
+            if not 0 <= r < served:
+                continue
+            w = (2 * r + 1) * p.length // (2 * served) // self.window
+            while self.border(i, w)[0][queue] > r:
+                w -= 1
+            while done < n and r < served:
+                while self.border(i, w + 1)[0][queue] <= r:
+                    w += 1
+                (first, below), (after, below_after) = self.border(i, w), self.border(i, w + 1)
+                length = min(n - done, after[queue] - r)
+                yield done, p.at + w * self.window + below_after[queue] - below[queue] + r - first[queue], length
+                done, r = done + length, r + length
+            if done == n:
+                return
+
+
+def spans(phases: list[Phase], queue: int, begin: int, n: int, window: int) -> list[tuple[int, int, int]]:
+    return list(Windows(phases, window).spans(queue, begin, n))
 
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -124,13 +170,14 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _cut(phases: list[Phase], sequence: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(phases, window)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 rows: list[tuple] = []
                 doc, queue, begin, n, ids = (part.column(c).to_pylist() for c in range(5))
                 for d, q, b, total, x in zip(doc, queue, begin, n, ids, strict=True):
-                    for start, place, length in spans(phases, q, b, total, window):
+                    for start, place, length in windows.spans(q, b, total):
                         while length:
                             size = min(length, sequence - place % sequence)
                             raw = x[2 * start : 2 * (start + size)]
