@@ -40,8 +40,9 @@ from . import kernels as K
 from .graph import components
 from .shared import documents, stash
 
-#: Shingles whose hash lies below this share of the range come first in the global order, and are counted for every document.
-ZONE = 0.2
+#: Shingles whose hash lies below a share of the range come first in the global order, and are counted for every document. The share is
+#: this many times that of a set in which the first common shingle can stand.
+ZONE = 1.3
 #: Members of a region held by a task are twice this at most.
 BLOCK = 1500
 CLASSES = 128
@@ -49,7 +50,11 @@ CLASSES = 128
 FOREST = 200_000
 #: Regions up to this size compare all their pairs at once.
 SMALL = 24
-_ZONE_TOP = np.uint64(int(ZONE * 2**64))
+
+
+def zone_top(percent: int) -> np.uint64:
+    """Where the zone ends."""
+    return np.uint64(int(min(1.0, ZONE * (1 - percent / 100)) * (2**64 - 1)))
 
 
 def prefix_length(n: int | np.ndarray, num: int) -> int | np.ndarray:
@@ -79,13 +84,15 @@ _POINT = "doc_id long, th long, n long, zone_n int, whole boolean, key binary, c
 
 
 def _describe(k: int, num: int):
+    top = zone_top(num)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 n, zone_n, whole, key, counted, hist = [], [], [], [], [], []
                 for s in shingle_sets(part.column(2), k):
-                    size, zone = len(s), int(np.searchsorted(s, _ZONE_TOP))
+                    size, zone = len(s), int(np.searchsorted(s, top))
                     full = size > 0 and zone < prefix_length(size, num)
                     n.append(size)
                     zone_n.append(zone)
@@ -103,7 +110,7 @@ def _describe(k: int, num: int):
     return run
 
 
-_MEMBER = "s long, key binary, n long, i long, own long"
+_MEMBER = "s long, id long, n long, i long, own long"
 
 
 def _regions_of(num: int):
@@ -111,6 +118,7 @@ def _regions_of(num: int):
 
     own: the set's share of shingles of its own; the sets with the least are the hubs, the same ones in all regions.
     """
+    top = zone_top(num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +129,7 @@ def _regions_of(num: int):
             n, zone_n = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("n", "zone_n"))
             for r in range(batch.num_rows):
                 d, x = df[offs[r] : offs[r + 1]], s[offs[r] : offs[r + 1]].view(np.uint64)
-                far = x >= _ZONE_TOP
+                far = x >= top
                 order = np.lexsort((x, d, far))
                 d, x, far = d[order], x[order], far[order]
                 near = int(np.count_nonzero(~far))
@@ -135,7 +143,7 @@ def _regions_of(num: int):
             if out_row:
                 rows = pa.array(np.concatenate(out_row), pa.int64())
                 col = lambda c: batch.column(batch.schema.get_field_index(c)).take(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_s), pa.int64()), col("key"), col("n"), pa.array(np.concatenate(out_i), pa.int64()), pa.array(np.concatenate(out_own), pa.int64())], names=["s", "key", "n", "i", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_s), pa.int64()), col("id"), col("n"), pa.array(np.concatenate(out_i), pa.int64()), pa.array(np.concatenate(out_own), pa.int64())], names=["s", "id", "n", "i", "own"])
 
     return run
 
@@ -164,18 +172,13 @@ def _starts(table: pa.Table) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((s[1:] != s[:-1]) | (cell[1:] != cell[:-1])) + 1])
 
 
-def _halves(column: pa.ChunkedArray) -> np.ndarray:
-    """16-byte keys as two numbers, in the order of their bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
-
-
 def _pairs(table: pa.Table, num: int, hubs_only: bool) -> pa.RecordBatch:
     if table.num_rows < 2:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.binary())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["a", "b"])
     n, i, own, block = (table.column(c).to_numpy() for c in ("n", "i", "own", "block"))
-    keys = _halves(table.column("key"))
+    ids = table.column("id").to_numpy()
     hist = np.frombuffer(b"".join(table.column("hist").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-    comp = None if hubs_only else _halves(pc.coalesce(table.column("comp"), table.column("key")))
+    comp = None if hubs_only else pc.coalesce(table.column("comp"), table.column("id")).to_numpy()
     starts = _starts(table)
     ends = np.append(starts[1:], table.num_rows)
     halved = np.repeat(np.maximum.reduceat(block, starts) > np.minimum.reduceat(block, starts), ends - starts)
@@ -186,7 +189,7 @@ def _pairs(table: pa.Table, num: int, hubs_only: bool) -> pa.RecordBatch:
         ok = (100 * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])) & (np.minimum(n[x] - i[x], n[y] - i[y]) >= need)
         ok &= ~halved[x] | (block[x] != block[y])
         if comp is not None:
-            ok &= (comp[x] != comp[y]).any(axis=1)
+            ok &= comp[x] != comp[y]
         at = np.flatnonzero(ok)
         for k in range(0, len(at), 4096):
             p = at[k : k + 4096]
@@ -206,7 +209,7 @@ def _pairs(table: pa.Table, num: int, hubs_only: bool) -> pa.RecordBatch:
             ys.append(y[ok])
     for g in np.flatnonzero(sizes > SMALL).tolist():
         members = np.arange(starts[g], ends[g])
-        members = members[np.lexsort((keys[members, 1], keys[members, 0], own[members]))]
+        members = members[np.lexsort((ids[members], own[members]))]
         taken = np.zeros(len(members), bool)
         for j in range(len(members) - 1):
             if hubs_only and taken[j]:
@@ -217,12 +220,9 @@ def _pairs(table: pa.Table, num: int, hubs_only: bool) -> pa.RecordBatch:
             xs.append(np.full(int(ok.sum()), members[j]))
             ys.append(y[ok])
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-    swap = (keys[x, 0] > keys[y, 0]) | ((keys[x, 0] == keys[y, 0]) & (keys[x, 1] > keys[y, 1]))
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    at = np.unique(np.concatenate([keys[x], keys[y]], axis=1), axis=0, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
-    key = table.column("key").combine_chunks()
-    key = key.chunk(0) if isinstance(key, pa.ChunkedArray) else key
-    return pa.RecordBatch.from_arrays([key.take(pa.array(x[at])), key.take(pa.array(y[at]))], names=["a", "b"])
+    u, v = ids[x], ids[y]
+    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy(), pa.int64()), pa.array(both[:, 1].copy(), pa.int64())], names=["a", "b"])
 
 
 def _verify(k: int, num: int):
@@ -230,9 +230,9 @@ def _verify(k: int, num: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub = None, None
-        root: dict[bytes, bytes] = {}
+        root: dict[int, int] = {}
 
-        def find(x: bytes) -> bytes:
+        def find(x: int) -> int:
             while (up := root.get(x, x)) != x:
                 root[x] = x = root.get(up, up)
             return x
@@ -253,7 +253,7 @@ def _verify(k: int, num: int):
                         b.append(other)
             if len(root) > FOREST:
                 root.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -262,27 +262,32 @@ def _spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, text) of the wanted points (key, doc_id, th)."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bitfilter.build(wanted.select(F.xxhash64("doc_id", "th").alias("h")), bitfilter.bits_for(wanted.count())))
+def _sifted(rows: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
+    """rows (h, ...) that may have an h of wanted (h), without h: all that have, and few others while wanted fits a bit filter."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitfilter.build(wanted, bitfilter.bits_for(wanted.count())))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select([0, 1, 3]).filter(pa.array(bitfilter.passes(bits.value, batch.column(2).to_numpy())))
+            yield batch.select(range(1, batch.num_columns)).filter(pa.array(bitfilter.passes(bits.value, batch.column(0).to_numpy())))
+
+    return rows.mapInArrow(run, schema)
 
-    rows = docs.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("h"), "text").mapInArrow(sift, "doc_id long, th long, text string")
-    w = wanted.select("key", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
+
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the wanted sets (id, doc_id, th)."""
+    h = F.xxhash64("doc_id", "th").alias("h")
+    rows = _sifted(docs.select(h, "doc_id", "th", "text"), wanted.select(h), "doc_id long, th long, text string")
+    w = wanted.select("id", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
     found = rows.join(w, rows["doc_id"].eqNullSafe(w["w_id"]) & (rows["th"] == w["w_th"]))
-    return found.select("key", "text").dropDuplicates(["key"])
+    return found.select("id", "text").dropDuplicates(["id"])
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int) -> DataFrame:
     """Those of the pairs (a, b) that the texts confirm, as far as they connect. A hub's partners are dealt over 16 tasks."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
-    heads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
-    tails = salted.join(texts.withColumnRenamed("key", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
-    return _spread(heads.unionByName(tails), "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify(k, num), "a binary, b binary")
+    heads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
+    tails = salted.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
+    return _spread(heads.unionByName(tails), "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify(k, num), "a long, b long")
 
 
 def _merge(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -298,34 +303,37 @@ def _merge(known: DataFrame, links: DataFrame) -> DataFrame:
 def _solve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The points of all rows, and for each distinct set (key) its component's label, least doc_id, and first (doc_id, th)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    points = stash(rows.select("doc_id", "th", "text").mapInArrow(_describe(k, percent), _POINT), "points")
-    sets = points.filter("key is not null").groupBy("key").agg(F.first("counted").alias("counted"))
-    shingles = sets.select("key", F.explode("counted").alias("s"))
+    points = stash(rows.select("doc_id", "th", "text").mapInArrow(_describe(k, percent), _POINT).withColumn("rid", F.monotonically_increasing_id()), "points")
+    full = points.filter("key is not null")
+    # a set's id is its first row's, which stands for all rows with the set
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p")
+    ids = stash(full.groupBy("key").agg(F.min("rid").alias("id"), first_row, F.min("doc_id").alias("least_id")).select("key", "id", "least_id", F.col("p.doc_id").alias("doc_id"), F.col("p.th").alias("th")), "sets")
+    about = full.join(ids.select("id"), F.col("rid") == F.col("id")).select("id", "n", "zone_n")
+    classes_of = full.join(ids.select("id"), F.col("rid") == F.col("id")).select("id", "hist")
+    h = F.xxhash64("rid").alias("h")
+    shingles = _sifted(full.select(h, "rid", "counted"), ids.select(F.xxhash64("id").alias("h")), "rid long, counted array<long>").select("rid", F.explode("counted").alias("s"))
     shared = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = shingles.join(shared, "s").groupBy("key").agg(F.collect_list(F.struct(F.col("df"), F.col("s"))).alias("shared"))
-    about = points.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("zone_n").alias("zone_n"))
-    classes_of = points.filter("key is not null").groupBy("key").agg(F.first("hist").alias("hist"))
-    members = stash(held.join(about, "key").mapInArrow(_regions_of(percent), _MEMBER), "members")
+    held = shingles.join(shared, "s").groupBy(F.col("rid").alias("id")).agg(F.collect_list(F.struct(F.col("df"), F.col("s"))).alias("shared"))
+    members = stash(held.join(about, "id").mapInArrow(_regions_of(percent), _MEMBER), "members")
     sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = members.join(sizes, "s").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = members.join(sizes, "s").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(F.col("block"), o) * F.col("parts") + F.greatest(F.col("block"), o))
     # a block meets itself in its own cell, where both sides are the one block, and each other block in a cell of the two
-    dealt = stash(dealt.withColumn("cell", F.explode(cells)).select("s", "cell", "key", "n", "i", "own", "block", "m"), "regions")
-    one = _spread(dealt.join(classes_of, "key"), "s", "cell").sortWithinPartitions("s", "cell").mapInArrow(_pairs_in(percent, True), "a binary, b binary").distinct()
+    dealt = stash(dealt.withColumn("cell", F.explode(cells)).select("s", "cell", "id", "n", "i", "own", "block", "m"), "regions")
+    one = _spread(dealt.join(classes_of, "id"), "s", "cell").sortWithinPartitions("s", "cell").mapInArrow(_pairs_in(percent, True), "a long, b long").distinct()
     first = stash(one, "pairs")
-    ids = points.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p"), F.min("doc_id").alias("least_id")).select("key", "least_id", F.col("p.doc_id").alias("doc_id"), F.col("p.th").alias("th"))
-    ends = lambda p: p.select(F.col("a").alias("key")).union(p.select(F.col("b").alias("key"))).distinct()
-    links = stash(_linked(first, stash(_fetch(rows, ids.join(ends(first), "key")), "texts"), k, percent), "links")
+    ends = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
+    links = stash(_linked(first, stash(_fetch(rows, ids.join(ends(first), "id")), "texts"), k, percent), "links")
     known = components(links)
-    large = dealt.filter(F.col("m") > SMALL).join(classes_of, "key")  # the small ones have been compared whole
-    again = large.join(known.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key", "left")
-    two = _spread(again, "s", "cell").sortWithinPartitions("s", "cell").mapInArrow(_pairs_in(percent, False), "a binary, b binary").distinct()
+    large = dealt.filter(F.col("m") > SMALL).join(classes_of, "id")  # the small ones have been compared whole
+    again = large.join(known.select(F.col("node").alias("id"), F.col("label").alias("comp")), "id", "left")
+    two = _spread(again, "s", "cell").sortWithinPartitions("s", "cell").mapInArrow(_pairs_in(percent, False), "a long, b long").distinct()
     second = stash(two.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        more = _linked(second, stash(_fetch(rows, ids.join(ends(second), "key")), "texts"), k, percent)
+        more = _linked(second, stash(_fetch(rows, ids.join(ends(second), "id")), "texts"), k, percent)
         known = stash(_merge(known, more), "components")
-    return points, ids.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    return points, ids.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
