@@ -41,7 +41,7 @@ def fragment(path: Column) -> Column:
 
 
 def last_segment(path: Column) -> Column:
-    return F.substring_index(file_part(path), "/", -1)
+    return F.substring_index(F.regexp_replace(file_part(path), r"/$", ""), "/", -1)
 
 
 def extension(path: Column) -> Column:

@@ -43,21 +43,21 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _meta(self) -> dict:
-        fs, p = self._fs(f"{self.root}/_current.json")
+        fs, p = self._fs(f"{self.root}/current.json")
         if not fs.exists(p):
             return {}
-        text = "".join(r["value"] for r in self.spark.read.text(f"{self.root}/_current.json").collect())
+        text = "".join(r["value"] for r in self.spark.read.text(f"{self.root}/current.json").collect())
         try:
             return json.loads(text)
         except ValueError:
             return {}
 
     def _set_meta(self, meta: dict) -> None:
-        fs, draft = self._fs(f"{self.root}/_draft.json")
+        fs, draft = self._fs(f"{self.root}/draft.json")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        _, final = self._fs(f"{self.root}/_current.json")
+        _, final = self._fs(f"{self.root}/current.json")
         fs.delete(final, False)
         fs.rename(draft, final)
 

@@ -135,7 +135,7 @@ _PATHS = "SELECT path FROM vault UNION SELECT section_path FROM sections UNION S
 @query(
     with_vault(
         "SELECT path, CASE WHEN position('#' IN path) > 0 THEN 'section' WHEN path LIKE '%/' THEN 'folder' WHEN path LIKE '%.md' THEN 'note' WHEN path LIKE '%.png' THEN 'image' ELSE 'other' END AS kind, "
-        "regexp_replace(split_part(split_part(path, '#', 1), '/', -1), '^(.+)\\.[^.]*$', '\\1') AS stem, nullif(regexp_extract(regexp_replace(split_part(path, '#', 1), '/$', ''), '^(.*/)[^/]+$', 1), '') AS parent, split_part(path, '#', 1) AS note_path FROM p",
+        "regexp_replace(split_part(regexp_replace(split_part(path, '#', 1), '/$', ''), '/', -1), '^(.+)\\.[^.]*$', '\\1') AS stem, nullif(regexp_extract(regexp_replace(split_part(path, '#', 1), '/$', ''), '^(.*/)[^/]+$', 1), '') AS parent, split_part(path, '#', 1) AS note_path FROM p",
         f"p AS ({_PATHS})",
     )
 )

@@ -55,10 +55,10 @@ class _Reader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         now = snapshot(self.root)
-        return self._events(json.loads(start["seen"]), now), {"seen": json.dumps(now, sort_keys=True)}
+        return iter(list(self._events(json.loads(start["seen"]), now))), {"seen": json.dumps(now, sort_keys=True)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._events(json.loads(start["seen"]), json.loads(end["seen"]))
+        return iter(list(self._events(json.loads(start["seen"]), json.loads(end["seen"]))))
 
 
 class VaultChanges(DataSource):
