@@ -138,3 +138,34 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(documents(spark, sf_dir))
+
+
+def _coverage_sql(n: int) -> str:
+    """Words and their characters inside n-grams that stand twice or more in their text, by document."""
+    return (
+        f"g{n} AS (SELECT doc_id, unnest(range(i, i + {n})) AS i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM "
+        f"(SELECT doc_id, i, array_to_string(ws[i:i + {n - 1}], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w))) WHERE c > 1), "
+        f"c{n} AS (SELECT doc_id, count(*) AS n, sum(length(ws[i])) AS chars FROM (SELECT DISTINCT doc_id, i FROM g{n}) JOIN w USING (doc_id) GROUP BY doc_id)"
+    )
+
+
+#: DuckDB SQL for the rows of op2_quality_rules.
+ORACLE_SQL = (
+    "WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents), "
+    "ls AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM w)), "
+    "dl AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS chars FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM ls "
+    "WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) WHERE r > 1 GROUP BY doc_id), "
+    + ", ".join(map(_coverage_sql, NGRAM_LIMITS))
+    + ", m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, "
+    "coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(c5.n, 0)::BIGINT AS n_repeat_words, coalesce(dl.chars, 0)::BIGINT AS dup_line_chars, "
+    + ", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS dup_{n}gram_chars" for n in NGRAM_LIMITS)
+    + " FROM w LEFT JOIN dl USING (doc_id) "
+    + " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in NGRAM_LIMITS)
+    + f"), b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m) "
+    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed "
+    + f"OR dup_line_chars > {LINE_LIMIT}e0 * greatest(word_chars, 1) "
+    + " ".join(f"OR dup_{n}gram_chars > {limit}e0 * greatest(word_chars, 1)" for n, limit in NGRAM_LIMITS.items())
+    + ") AS kept, dup_line_chars, "
+    + ", ".join(f"dup_{n}gram_chars" for n in NGRAM_LIMITS)
+    + " FROM b"
+)

@@ -12,6 +12,7 @@ from .jaccard import op7_ngram_jaccard_join
 from .licences import op6_license_scan
 from .packing import op9_mixture_packing
 from .pii import op5_feistel_pseudonyms
+from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import op2_quality_rules
 from .secrets import op3_secret_scan
 from .sharding import op4_hash_ring_shards
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_recompression_dedup": op10_recompression_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL}
