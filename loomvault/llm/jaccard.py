@@ -48,6 +48,8 @@ BLOCK = 1500
 CLASSES = 128
 #: Sets whose connections a verifying task remembers, to leave out links that join nothing new.
 FOREST = 200_000
+#: Pairs that a task looks at together, which bounds its memory.
+PAIRS = 100_000
 #: Regions up to this size compare all their pairs at once.
 SMALL = 24
 
@@ -202,8 +204,9 @@ def _pairs(table: pa.Table, num: int, hubs_only: bool) -> pa.RecordBatch:
     for m in range(2, SMALL + 1):
         base = starts[sizes == m]
         a, b = np.triu_indices(m, 1)
-        for k in range(0, len(base), 4096):
-            x, y = (base[k : k + 4096, None] + a).ravel(), (base[k : k + 4096, None] + b).ravel()
+        step = max(1, PAIRS // len(a))
+        for k in range(0, len(base), step):
+            x, y = (base[k : k + step, None] + a).ravel(), (base[k : k + step, None] + b).ravel()
             ok = left(x, y)
             xs.append(x[ok])
             ys.append(y[ok])
