@@ -6,17 +6,22 @@ are hash-joined between documents and benchmark items. Matched windows of one do
 of their places, and slots must agree: a benchmark value may stand for one document value only along a line, so a question
 re-parameterised throughout is caught while a chance likeness of template words is not.
 
+Beside them stand literal windows: the lower-cased words as they are, without slots and however many placeholders they hold. They find every
+verbatim copy, whatever its case and the text around it, also of items that are in capitals, in Title Case or mostly numbers.
+
 At scale: the benchmark's window hashes become a bit filter of bounded size, so documents emit only windows that have a
 partner (no text is shuffled, and nothing grows with the documents), and the join and the grouping are over those few rows.
 
 Defined results: null or empty texts and items have no windows and give no row; an item of fewer than WINDOW words is matched
 as a whole if it has SHORTEST words; equal rows of documents give one result row for each distinct (doc_id, text); an empty
-table on either side gives an empty table; extra columns are ignored.
+table on either side gives an empty table; extra columns are ignored. Words are what white space separates; letters are folded where both cases
+have UTF-8 forms of one length (so not ß and SS). Re-parameterised forms are found where the template keeps half of its words literal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +60,41 @@ _LETTER = _ALNUM & ~_DIGIT
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x1F3D5B79, 0x2F3D5B79, 0x3F3D5B79))
 
 
+def _fold_tables() -> tuple[np.ndarray, np.ndarray]:
+    points = np.arange(1 << 16)
+    for c in range(128, 1 << 16):
+        low = chr(c).lower() if not 0xD800 <= c < 0xE000 else ""
+        if len(low) == 1 and len(low.encode()) == len(chr(c).encode()):
+            points[c] = ord(low)
+    return points[: 1 << 11].copy(), points
+
+
+_FOLD2, _FOLD3 = _fold_tables()
+
+
+def fold(buf: np.ndarray) -> np.ndarray:
+    """The UTF-8 bytes with letters beyond ASCII in lower case, wherever that has as many bytes."""
+    out = buf.copy()
+    two = np.flatnonzero((buf[:-1] >= 0xC2) & (buf[:-1] < 0xE0))
+    c = _FOLD2[(buf[two] & 0x1F).astype(np.int64) << 6 | buf[two + 1] & 0x3F]
+    out[two], out[two + 1] = c >> 6 | 0xC0, c & 0x3F | 0x80
+    three = np.flatnonzero((buf[:-2] >= 0xE0) & (buf[:-2] < 0xF0))
+    c = _FOLD3[(buf[three] & 0x0F).astype(np.int64) << 12 | (buf[three + 1] & 0x3F).astype(np.int64) << 6 | buf[three + 2] & 0x3F]
+    out[three], out[three + 1], out[three + 2] = c >> 12 | 0xE0, c >> 6 & 0x3F | 0x80, c & 0x3F | 0x80
+    return out
+
+
+def _letters_and_digits(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words: not those of ASCII punctuation, nor of U+0080-00BF, U+2000-207F and U+3000-303F (quotes, dashes)."""
+    out = _ALNUM[buf]
+    at = np.flatnonzero(buf[:-1] == 0xC2)
+    out[at] = out[at + 1] = False
+    at = np.flatnonzero((buf[:-2] == 0xE2) | (buf[:-2] == 0xE3))
+    at = at[np.where(buf[at] == 0xE2, (buf[at + 1] == 0x80) | (buf[at + 1] == 0x81), buf[at + 1] == 0x80)]
+    out[at] = out[at + 1] = out[at + 2] = False
+    return out
+
+
 def _hash_words(words: list[str]) -> np.ndarray:
     raw = " ".join(words).encode()
     return K.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes(lower=True)
@@ -66,20 +106,20 @@ _UNIT_HASHES = np.sort(_hash_words(UNITS))
 class Template:
     """Template words of a run of texts: their hash, value hash, whether they are slots, and each row's first."""
 
-    __slots__ = ("first", "slot", "value", "word")
+    __slots__ = ("capital", "first", "slot", "value", "word")
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
         w = K.Words(buf, offs)
-        alnum = np.flatnonzero(_ALNUM[buf])
+        alnum = np.flatnonzero(_letters_and_digits(buf))
         a, b = np.searchsorted(alnum, w.start), np.searchsorted(alnum, w.end)
         full = b > a
         start, end = alnum[a[full]], alnum[b[full] - 1] + 1
         raw_end, raw_start, row = w.end[full], w.start[full], w.row[full]
         self.first = np.searchsorted(row, np.arange(w.n_rows + 1)).astype(np.int64)
-        self.value = K.span_hashes(buf, start, end, lower=True)
+        self.value = K.span_hashes(fold(buf), start, end, lower=True)
         self.word = self.value.copy()
         if not len(start):
-            self.slot = np.zeros(0, bool)
+            self.slot = self.capital = np.zeros(0, bool)
             return
         count = lambda mask: np.concatenate([[0], np.cumsum(mask[buf])])
         digits, letters = count(_DIGIT), count(_LETTER)
@@ -91,7 +131,8 @@ class Template:
         unit = after & (_UNIT_HASHES[at] == self.value)
         inner = np.zeros(len(start), bool)  # not first in its text, line or sentence
         inner[1:] = (row[1:] == row[:-1]) & ~_STOP[buf[raw_end[:-1] - 1]] & (buf[raw_start[1:] - 1] != 10)
-        name = inner & _UPPER[buf[start]] & (end - start > 1) & ~number
+        self.capital = _UPPER[buf[start]] & (end - start > 1) & ~number
+        name = inner & self.capital
         self.slot = number | quantity | unit | name
         for mask, code in ((name, _NAME), (number | quantity, _NUM), (unit, _UNIT)):
             self.word[mask] = code
@@ -103,22 +144,36 @@ class Template:
         keep = (slots[start + k] - slots[start]) <= (1 - LITERAL) * k
         return start[keep], h[keep]
 
+    def literal_windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all windows of k words as they are. Their seed keeps them apart from template windows."""
+        return K.windows(self.value, self.first, k, seed=_LITERAL_SEED + k)
 
-_ROW = "id long, th long, k int, pos long, n_words long, h long, slots array<long>"
+    def led(self) -> tuple[Template, np.ndarray]:
+        """The templates of the texts inside a sentence, where a capitalised first word is a name; and those first words."""
+        at = self.first[:-1][np.diff(self.first) > 0]
+        at = at[self.capital[at] & ~self.slot[at]]
+        other = copy(self)
+        other.word, other.slot = self.word.copy(), self.slot.copy()
+        other.word[at], other.slot[at] = _NAME, True
+        return other, at
 
 
-def _emit(template: Template, rows: np.ndarray, ids: pa.Array, hashes: pa.Array, base: int, k: int, start: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+_LITERAL_SEED = 100
+_ROW = "id long, th long, k int, pos long, n_words long, h long, literal boolean, slots array<long>"
+
+
+def _emit(template: Template, rows: np.ndarray, ids: pa.Array, hashes: pa.Array, base: int, k: int, start: np.ndarray, h: np.ndarray, literal: bool = False) -> pa.RecordBatch:
     row = rows[start]
-    slots = [template.value[s : s + k][template.slot[s : s + k]].view(np.int64) for s in start.tolist()]
+    slots = [np.zeros(0, np.int64)] * len(start) if literal else [template.value[s : s + k][template.slot[s : s + k]].view(np.int64) for s in start.tolist()]
     offs = np.cumsum([0, *map(len, slots)])
     at = pa.array(row + base)
     counts = np.diff(template.first)
     return pa.RecordBatch.from_arrays(
         [
             ids.take(at), hashes.take(at), pa.array(np.full(len(row), k, np.int32)), pa.array(start - template.first[row]), pa.array(counts[row]),
-            pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(slots) if slots else np.zeros(0, np.int64))),
+            pa.array(h.view(np.int64)), pa.array(np.full(len(row), literal)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(slots) if slots else np.zeros(0, np.int64))),
         ],
-        names=["id", "th", "k", "pos", "n_words", "h", "slots"],
+        names=["id", "th", "k", "pos", "n_words", "h", "literal", "slots"],
     )
 
 
@@ -128,11 +183,14 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             t = Template(buf, offs)
             n = np.diff(t.first)
             rows = np.repeat(np.arange(len(n)), n)
+            led, leads = t.led()
             for k in range(SHORTEST, WINDOW + 1):
-                start, h = t.windows(k)
-                own = n[rows[start]]
-                fit = own >= WINDOW if k == WINDOW else own == k
-                yield _emit(t, rows, batch.column(0), batch.column(1), base, k, start[fit], h[fit])
+                for of, (start, h), literal in ((t, t.windows(k), False), (led, led.windows(k), False), (t, t.literal_windows(k), True)):
+                    own = n[rows[start]]
+                    fit = own >= WINDOW if k == WINDOW else own == k
+                    if of is led:
+                        fit &= np.isin(start, leads)
+                    yield _emit(of, rows, batch.column(0), batch.column(1), base, k, start[fit], h[fit], literal)
 
 
 def _document_windows(sizes: list[int], table):
@@ -142,10 +200,10 @@ def _document_windows(sizes: list[int], table):
                 t = Template(buf, offs)
                 rows = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
                 for k in sizes:
-                    start, h = t.windows(k)
-                    hit = bitfilter.passes(table.value, h.view(np.int64))
-                    if hit.any():
-                        yield _emit(t, rows, batch.column(0), batch.column(1), base, k, start[hit], h[hit])
+                    for (start, h), literal in ((t.windows(k), False), (t.literal_windows(k), True)):
+                        hit = bitfilter.passes(table.value, h.view(np.int64))
+                        if hit.any():
+                            yield _emit(t, rows, batch.column(0), batch.column(1), base, k, start[hit], h[hit], literal)
 
     return run
 
@@ -154,16 +212,20 @@ _FOUND = "doc_id long, item_id long, n_windows long, covered_words long, item_wo
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document and item whose consistent windows cover enough of the item."""
+    """One row for each document and item whose literal windows, or consistent template windows, cover enough of the item (both together, without conflicts)."""
     out: list[tuple] = []
     for group in runs(batches, 4):
         doc, _, item, _ = (group.column(c)[0].as_py() for c in range(4))
-        k, pos, ipos, n = (group.column(c).to_numpy() for c in ("k", "pos", "ipos", "item_words"))
+        k, pos, ipos, n, literal = (group.column(c).to_numpy() for c in ("k", "pos", "ipos", "item_words", "literal"))
         slots, islots = group.column("slots").to_pylist(), group.column("islots").to_pylist()
-        covered = np.zeros(int(n[0]), bool)
+        covered, same = np.zeros(int(n[0]), bool), np.zeros(int(n[0]), bool)
         meaning: dict[tuple[int, int], int] = {}
-        taken, conflicts = 0, 0
+        taken, conflicts = set(), 0
         for j in np.lexsort((ipos, pos - ipos)).tolist():
+            if literal[j]:
+                same[ipos[j] : ipos[j] + k[j]] = True
+                taken.add((pos[j], ipos[j]))
+                continue
             line = int(pos[j] - ipos[j])
             pairs = list(zip(islots[j], slots[j], strict=True))
             if any(meaning.get((line, a), b) != b for a, b in pairs) or len(dict(pairs)) != len(set(pairs)):
@@ -171,9 +233,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             meaning.update({(line, a): b for a, b in pairs})
             covered[ipos[j] : ipos[j] + k[j]] = True
-            taken += 1
-        if (total := int(covered.sum())) >= min(COVER, int(n[0])):
-            out.append((doc, item, taken, total, int(n[0]), len(meaning), sum(a != b for (_, a), b in meaning.items()), conflicts))
+            taken.add((pos[j], ipos[j]))
+        total = int(max(covered.sum(), same.sum()) if conflicts else (covered | same).sum())
+        if total >= min(COVER, int(n[0])):
+            out.append((doc, item, len(taken), total, int(n[0]), len(meaning), sum(a != b for (_, a), b in meaning.items()), conflicts))
     names = [x.strip().split(" ")[0] for x in _FOUND.split(",")]
     columns = list(zip(*out, strict=True)) if out else [()] * len(names)
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -187,9 +250,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # WINDOW - SHORTEST + 1 values at most
     table = spark.sparkContext.broadcast(bitfilter.build(items.select("h"), bitfilter.bits_for(items.count())))
     seen = texts(docs, "doc_id").mapInArrow(_document_windows(sizes, table), _ROW).withColumnRenamed("id", "doc_id")
-    ours = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), F.col("k").alias("ik"), F.col("pos").alias("ipos"), F.col("n_words").alias("item_words"), F.col("h").alias("ih"), F.col("slots").alias("islots")).distinct()
-    pairs = seen.join(ours, (seen["h"] == ours["ih"]) & (seen["k"] == ours["ik"]) & (F.size("slots") == F.size("islots")))
-    pairs = pairs.select("doc_id", "th", "item_id", "ith", "k", "pos", "ipos", "item_words", "slots", "islots")
+    ours = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), F.col("k").alias("ik"), F.col("pos").alias("ipos"), F.col("n_words").alias("item_words"), F.col("h").alias("ih"), F.col("literal").alias("iliteral"), F.col("slots").alias("islots")).distinct()
+    pairs = seen.join(ours, (seen["h"] == ours["ih"]) & (seen["k"] == ours["ik"]) & (seen["literal"] == ours["iliteral"]) & (F.size("slots") == F.size("islots")))
+    pairs = pairs.select("doc_id", "th", "item_id", "ith", "k", "pos", "ipos", "item_words", "literal", "slots", "islots")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return pairs.repartition(n, "doc_id", "th", "item_id", "ith").sortWithinPartitions("doc_id", "th", "item_id", "ith").mapInArrow(_judge, _FOUND)
 

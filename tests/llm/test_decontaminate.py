@@ -40,3 +40,25 @@ def test_empty_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.find(docs, none).count() == 0
     assert D.find(empty, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
+
+
+def test_finds_verbatim_copies_of_any_case_and_context(spark):
+    items = [
+        (1, "WHAT IS THE CAPITAL CITY OF THE NEW STATE THAT JOINED THE UNION IN 1790"),
+        (2, "Who Wrote The Famous Letter That Anna Read To Her Brother Ben In Old Paris"),
+        (3, "12 + 15 = 27 and 30 - 14 = 16 so 27 * 16 = 432 and 432 / 4 = 108 or 9 * 12"),
+        (4, "What is the capital of this land?"),
+        (5, "Welche Übung für den Anfänger ist nach Ansicht der Ärzte besonders gut geeignet und warum?"),
+    ]
+    docs = [(i, f"Some words before. {t} And some words after.", 1, "") for i, t in items]
+    docs += [(10 + i, f"some words in front, question 5) {t} and more", 1, "") for i, t in items]
+    docs += [(20 + i, f"some words in front {t.upper()} and more", 1, "") for i, t in items]
+    docs += [(30 + i, f"some words in front \u201c{t.lower()}\u201d \u2014 and more", 1, "") for i, t in items]
+    got = find(spark, docs, [(i, t, 0) for i, t in items])
+    assert set(got) == {(a + i, i) for a in (0, 10, 20, 30) for i, _ in items}
+    assert all(r["n_changed"] == 0 for r in got.values())
+
+
+def test_first_word_may_follow_a_word_in_a_reparameterised_copy(spark):
+    item = "What is the price of 12 red apples here?"
+    assert set(find(spark, [(1, "now question 5) " + item.replace("12", "30") + " Tell me.", 1, "")], [(1, item, 0)])) == {(1, 1)}
