@@ -28,10 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    ids = stash(found, "leaks")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_anti")
+    """Documents that hold a benchmark item go: rows of their doc_id and text, not others that share the doc_id (or have none)."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = stash(found.select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct(), "leaks")
+    same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (decontaminate.text_hash() == F.col("leak_hash"))
+    return docs.join(leaks, same, "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from copy import copy
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitfilter
@@ -208,14 +208,14 @@ def _document_windows(sizes: list[int], table):
     return run
 
 
-_FOUND = "doc_id long, item_id long, n_windows long, covered_words long, item_words long, n_slots long, n_changed long, n_conflicts long"
+_FOUND = "doc_id long, text_hash long, item_id long, n_windows long, covered_words long, item_words long, n_slots long, n_changed long, n_conflicts long"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each document and item whose literal windows, or consistent template windows, cover enough of the item (both together, without conflicts)."""
     out: list[tuple] = []
     for group in runs(batches, 4):
-        doc, _, item, _ = (group.column(c)[0].as_py() for c in range(4))
+        doc, text, item, _ = (group.column(c)[0].as_py() for c in range(4))
         k, pos, ipos, n, literal = (group.column(c).to_numpy() for c in ("k", "pos", "ipos", "item_words", "literal"))
         slots, islots = group.column("slots").to_pylist(), group.column("islots").to_pylist()
         covered, same = np.zeros(int(n[0]), bool), np.zeros(int(n[0]), bool)
@@ -236,16 +236,21 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             taken.add((pos[j], ipos[j]))
         total = int(max(covered.sum(), same.sum()) if conflicts else (covered | same).sum())
         if total >= min(COVER, int(n[0])):
-            out.append((doc, item, len(taken), total, int(n[0]), len(meaning), sum(a != b for (_, a), b in meaning.items()), conflicts))
+            out.append((doc, text, item, len(taken), total, int(n[0]), len(meaning), sum(a != b for (_, a), b in meaning.items()), conflicts))
     names = [x.strip().split(" ")[0] for x in _FOUND.split(",")]
     columns = list(zip(*out, strict=True)) if out else [()] * len(names)
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
+def text_hash() -> Column:
+    """What tells texts of one doc_id apart: the text_hash of find."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, ...) of documents that hold a benchmark item or a re-parameterised form of it."""
+    """Rows (doc_id, text_hash, item_id, ...) of documents that hold a benchmark item or a re-parameterised form of it."""
     spark = docs.sparkSession
-    texts = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    texts = lambda df, key: df.select(F.col(key).cast("long").alias("id"), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
     items = stash(texts(benchmark, "item_id").mapInArrow(_item_windows, _ROW), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # WINDOW - SHORTEST + 1 values at most
     table = spark.sparkContext.broadcast(bitfilter.build(items.select("h"), bitfilter.bits_for(items.count())))
@@ -258,5 +263,5 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
     return found.withColumn("kind", F.when(F.col("n_changed") == 0, "verbatim").otherwise("re-parameterised"))

@@ -28,3 +28,12 @@ def test_stages(spark, folder):
     pieces = corpus_pipeline.run(spark, folder).collect()
     left = docs.select("doc_id").collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in left}
+
+
+def test_decontamination_drops_leaking_rows_only(spark, tmp_path):
+    leak, clean = "the quick brown fox jumps over the lazy dog near the old river bank today", "some clean text about the weather"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, text) for i in (None, 7) for text in (leak, clean, None)] + [(8, leak), (9, clean)]
+    left = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert left.columns == ["doc_id", "text"]
+    assert sorted(map(str, left.collect())) == sorted(map(str, spark.createDataFrame([x for x in rows if x[1] != leak], left.schema).collect()))
