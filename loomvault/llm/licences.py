@@ -1,12 +1,13 @@
 """License scans: Aho-Corasick over normalised words, and a shunting-yard parser for licence expressions.
 
 Texts become words (digits, a-z after lower-casing A-Z, and bytes above 127) joined by single spaces; one automaton finds every
-place of every notice phrase and identifier tag. After an SPDX tag, the original text's expression is parsed with the precedence
+place of every notice phrase and identifier tag. From a tag's place on (past a separator and an opening quote), the original text's expression is
+parsed, however long it is, up to its line's end, a closing quote or the next tag, with the precedence
 WITH over AND over OR, and evaluated: OR takes the freest side, AND the strictest, WITH an exception lowers a copyleft.
 Each document is judged alone: one scan and one map, no shuffle.
 
-Defined results: a null or empty text has no words, no places, empty labels and score 0; a malformed expression yields the labels of
-its identifiers read so far and no value; ties and repeated rows are judged each for itself; an empty table gives an empty
+Defined results: a null or empty text has no words, no places, empty labels and score 0; a malformed expression yields the known labels of
+its identifiers and no value; a tag without a separator (: or =) counts only if all that follows in its expression are known licences; ties and repeated rows are judged each for itself; an empty table gives an empty
 table; extra columns are ignored.
 """
 
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +52,8 @@ RESTRICTION = {
 UNKNOWN = 0.5
 
 _WORD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
-_EXPRESSION = re.compile(r"(?:spdx-license-identifier|license-expression)\s*[:=]\s*([^\n\r*#;\"'<>]{1,400})", re.IGNORECASE)
+_AFTER_TAG = re.compile(rb"([\s\"'`*_>)\]]*[:=]+)?[\s\"'`*<]*")
+_LINE = re.compile(rb"[^\n\r*#;\"'`<>]*")
 _PART = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
 
 
@@ -72,7 +75,7 @@ def normal(text: str | None) -> tuple[str, int]:
 
 
 def _short(identifier: str) -> str:
-    s = identifier.lower()
+    s = identifier.lower().rstrip(".")
     for end in ("-or-later", "-only", "+"):
         s = s.removesuffix(end)
     return s
@@ -148,28 +151,56 @@ def evaluate(expression: str) -> tuple[list[str], float]:
     return named, stack[0][0]
 
 
+def _identifiers(expression: str) -> list[str]:
+    """The identifiers of a malformed expression, up to prose."""
+    out: list[str] = []
+    operand = False  # just read
+    for p in _PART.findall(expression):
+        word = p not in "()" and p.lower() not in _STRENGTH
+        if word and operand:
+            break
+        if word:
+            out.append(_short(p))
+        operand = word or p == ")"
+    return out
+
+
+def expressions(text: str, tags: list[tuple[int, int]]) -> Iterator[tuple[str, bool]]:
+    """(expression, is there a separator) behind each tag. tags: numbers of their first and last words, ascending."""
+    raw = text.encode("utf-8", "replace")
+    gap = np.frombuffer(b" " + raw.translate(_WORD) + b" ", np.uint8) == 32
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    for i, (_, last) in enumerate(tags):
+        stop = int(starts[tags[i + 1][0]]) if i + 1 < len(tags) else len(raw)
+        after = _AFTER_TAG.match(raw, int(ends[last]), stop)
+        yield _LINE.match(raw, after.end(), stop).group().decode("utf-8", "replace"), after.group(1) is not None
+
+
 def judge(text: str | None) -> dict:
     """What a text says about its licence."""
     words, n = normal(text)
     base: list[int] = []
-    base_labels, labels, values, tagged = set(), set(), [], False
+    base_labels, labels, values, tags = set(), set(), [], []
     done, count = 0, 0  # words counted so far: matches come by their end, so starts are counted from the match's end
     for end, (phrase, label) in automaton().iter(words):
         count += words.count(" ", done, end + 1)
         done = end + 1
         if phrase in TAGS:
-            tagged = True
+            tags.append((count - 1 - len(phrase.split()), count - 2))
             continue
         labels.add(label)
         values.append(RESTRICTION.get(label, UNKNOWN))
         if phrase in BASE_PHRASES:
             base_labels.add(label)
             base.append(count - 2 - phrase.count(" "))
-    for m in _EXPRESSION.finditer(text) if tagged and text else ():
+    for expression, separated in expressions(text, tags) if tags and text else ():
         try:
-            named, value = evaluate(m.group(1))
+            named, value = evaluate(expression)
         except Malformed:
-            labels.update(x for x in (_short(p) for p in _PART.findall(m.group(1))) if x in RESTRICTION)
+            if separated:
+                labels.update(x for x in _identifiers(expression) if x in RESTRICTION)
+            continue
+        if not separated and not all(x in RESTRICTION for x in named):
             continue
         labels.update(named)
         values.append(value)

@@ -35,3 +35,20 @@ def test_expressions():
 def test_tags_are_parsed_from_the_text():
     r = L.judge("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC-BY-4.0\ncode")
     assert set(r["labels"].split(",")) >= {"mit", "apache-2.0", "cc-by-4.0"}
+
+
+def test_long_expressions_are_read_to_their_end():
+    r = L.judge("SPDX-License-Identifier: " + "BSD-3-Clause AND " * 24 + "GPL-3.0-only\ncode AND MIT")
+    assert (r["labels"], r["score"]) == ("bsd-3-clause,gpl-3.0", 0.6)
+
+
+@pytest.mark.parametrize("text", ['SPDX-License-Identifier = "MIT"', "SPDX License Identifier: MIT", "License Expression: MIT.", '{"license-expression": "MIT", "x": 1}', "é **SPDX-License-Identifier:** MIT", "SPDX-License-Identifier MIT"])
+def test_every_tag_found_is_parsed(text):
+    r = L.judge("Some words.\n" + text + "\nmore words")
+    assert (r["labels"], r["score"]) == ("mit", 0.1)
+
+
+def test_tags_in_prose_and_in_a_row():
+    assert L.judge("the SPDX license identifier is a short string")["labels"] == ""
+    r = L.judge("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0-only SPDX-License-Identifier: (ISC")
+    assert (r["labels"], r["score"]) == ("gpl-2.0,isc,mit", 0.6)
