@@ -1,17 +1,27 @@
-"""A vault made of the documents table: one note each, as the same SQL text for Spark and for DuckDB."""
+"""A vault made of the documents table: one note each, as the same SQL text for Spark and for DuckDB, but for the padding of numbers.
+
+DuckDB's text shortens numbers of more than six digits, so from doc_id 1,000,000 on its paths are not unique; Spark's are.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Notes link to the note of this many that their number leads to.
 LINKED = 1000
 
 
-def projection_sql(text: str) -> str:
-    """SELECT path, content FROM documents. text: the name of the string type."""
+def padded(number: str) -> str:
+    """Six digits at least, and all that a longer number has."""
+    return f"lpad({number},greatest(6,length({number})),'0')"
+
+
+def projection_sql(text: str, pad: Callable[[str], str] = lambda number: f"lpad({number},6,'0')") -> str:
+    """SELECT path, content FROM documents. text: the name of the string type; pad: the expression that pads a number's text."""
     s = f"cast(doc_id AS {text})"
-    doc = lambda n: f"concat('doc',lpad(cast({n} AS {text}),6,'0'))"
+    doc = lambda n: f"concat('doc',{pad(f'cast({n} AS {text})')})"
     nl = "chr(10)"
     return (
         f"SELECT doc_id, concat(source,'/',lang,'/',{doc('doc_id')},'.md') AS path, concat("
@@ -27,4 +37,4 @@ def projection_sql(text: str) -> str:
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and content of the projected notes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return spark.sql(projection_sql("string").replace("FROM documents", "FROM {documents}"), documents=docs)
+    return spark.sql(projection_sql("string", padded).replace("FROM documents", "FROM {documents}"), documents=docs)
