@@ -8,8 +8,8 @@ distributable: where a document goes follows from the number of tokens before it
 windows and partitions without a sequential pass. When a queue runs dry, a new phase shares its part among the rest.
 
 Documents are encoded once and written to the shared folder with their place in the partition's queues; only sums by partition and
-source are shuffled, and they are broadcast if they are few, else joined. The driver sees one row for each queue (QUEUES at most;
-sources beyond share queues by hash).
+source are shuffled, and they are broadcast if they are few, else joined. Every source has its own queue, however many there
+are: the driver sees one row for each, tasks hold one number for each and compute a window's border from all of them.
 
 Defined results: a null or empty text is the end id alone; a null source is a queue of its own; repeated rows are packed each;
 an empty table gives no pieces; extra columns are ignored. Only the last sequence has padding.
@@ -22,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
-from itertools import accumulate
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ from .shared import documents, stash
 SEQUENCE = 2048
 #: Sequences in a window: within each, token proportions are the targets'.
 WINDOW_SEQUENCES = 64
+#: Queues up to which the table of their numbers is broadcast, and a task keeps all of Windows.KEPT borders.
 QUEUES = 1024
 END_ID = 1
 #: Rows of the (partition, source) table up to which it is broadcast (about 5 MB).
@@ -74,32 +75,45 @@ class Phase:
     base: tuple[int, ...]
     served: tuple[int, ...]
 
-    def upto(self, x: int) -> list[int]:
+    @cached_property
+    def amounts(self) -> np.ndarray:
+        return np.array(self.served, np.int64)
+
+    def upto(self, x: int) -> np.ndarray:
         """How many of the phase's first x tokens each queue serves.
 
         Token j of a queue that serves m is due at (2j + 1) / 2m of the phase, and tokens go by their due times, then by queue. At any
         time a queue is at most half a token from its exact share, and what has been served never falls.
         """
         x = min(x, self.length)
-        due = [(2 * m * x + self.length) // (2 * self.length) for m in self.served]  # all those due until then
-        if (over := sum(due) - x) > 0:
-            last = [(-Fraction(2 * n - 1, 2 * m), -k) for k, (n, m) in enumerate(zip(due, self.served, strict=True)) if n]
+        m = self.amounts
+        due = (m * (x / self.length) + 0.5).astype(np.int64)  # all those due until then, but for rounding: (2mx + length) // 2length
+        due += (m * np.int64(2 * x) + np.int64(self.length) - due * np.int64(2 * self.length)) // np.int64(2 * self.length)  # small, so exact even if terms wrap
+        if (over := int(due.sum()) - x) > 0:
+            last = [(-Fraction(2 * int(due[k]) - 1, 2 * self.served[k]), -k) for k in self._first(np.flatnonzero(due), 1 - 2 * due, over)]
             heapq.heapify(last)
             for _ in range(over):
                 k = -heapq.heappop(last)[1]
                 due[k] -= 1
                 if due[k]:
-                    heapq.heappush(last, (-Fraction(2 * due[k] - 1, 2 * self.served[k]), -k))
+                    heapq.heappush(last, (-Fraction(2 * int(due[k]) - 1, 2 * self.served[k]), -k))
         elif over < 0:
-            next_ = [(Fraction(2 * n + 1, 2 * m), k) for k, (n, m) in enumerate(zip(due, self.served, strict=True)) if n < m]
+            next_ = [(Fraction(2 * int(due[k]) + 1, 2 * self.served[k]), k) for k in self._first(np.flatnonzero(due < m), 2 * due + 1, -over)]
             heapq.heapify(next_)
             for _ in range(-over):
                 k = heapq.heappop(next_)[1]
                 due[k] += 1
                 if due[k] < self.served[k]:
-                    heapq.heappush(next_, (Fraction(2 * due[k] + 1, 2 * self.served[k]), k))
+                    heapq.heappush(next_, (Fraction(2 * int(due[k]) + 1, 2 * self.served[k]), k))
         return due
 
+    def _first(self, queues: np.ndarray, times: np.ndarray, n: int) -> list[int]:
+        """Of these queues, those among which the n of least times / 2m are, with all that rounding cannot tell from them."""
+        if n < len(queues):
+            key = times[queues] / (2 * self.amounts[queues])
+            queues = queues[key <= np.partition(key, n - 1)[n - 1] + 1e-12]
+        return queues.tolist()
+
 
 def plan(totals: list[int], weights: list[float] | None = None) -> list[Phase]:
     """Phases that use up all queues. weights: target token proportions; by default those of the totals, for which one phase does."""
@@ -128,15 +142,17 @@ class Windows:
 
     def __init__(self, phases: list[Phase], window: int):
         self.phases, self.window = phases, window
-        self.borders: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        queues = len(phases[0].served) if phases else 1
+        self.kept = min(self.KEPT, max(8, self.KEPT * QUEUES // queues))
+        self.borders: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-    def border(self, i: int, w: int) -> tuple[list[int], list[int]]:
+    def border(self, i: int, w: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens served before window w of phase i, by queue, and their sums over the queues before."""
         if (i, w) not in self.borders:
-            if len(self.borders) >= self.KEPT:
+            if len(self.borders) >= self.kept:
                 self.borders.clear()
             done = self.phases[i].upto(w * self.window)
-            self.borders[i, w] = done, [0, *accumulate(done)]
+            self.borders[i, w] = done, np.cumsum(done) - done
         return self.borders[i, w]
 
     def spans(self, queue: int, begin: int, n: int) -> Iterator[tuple[int, int, int]]:
@@ -154,8 +170,8 @@ class Windows:
                 while self.border(i, w + 1)[0][queue] <= r:
                     w += 1
                 (first, below), (after, below_after) = self.border(i, w), self.border(i, w + 1)
-                length = min(n - done, after[queue] - r)
-                yield done, p.at + w * self.window + below_after[queue] - below[queue] + r - first[queue], length
+                length = min(n - done, int(after[queue]) - r)
+                yield done, p.at + w * self.window + int(below_after[queue] - below[queue] - first[queue]) + r, length
                 done, r = done + length, r + length
             if done == n:
                 return
@@ -196,21 +212,13 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUE
     queued = stash(rows.mapInArrow(_enqueue(path, end_id), _QUEUED), "queued")
     sums = stash(queued.groupBy("source", "pid").agg(F.sum("n").alias("n")), "sums")
     sources = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    few = sources.orderBy(F.col("source").asc_nulls_first()).limit(QUEUES + 1).collect()  # a bounded look at the sources
-    if len(few) <= QUEUES:
-        names, totals = [r["source"] for r in few], [r["n"] for r in few]
-        weights = None if targets is None else [float(targets.get(s, 0)) for s in names]
-        ids = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "q_source string, queue int")
-        placed = sums.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
-    else:
-        placed = sums.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("int"))
-        by = {r["queue"]: r["n"] for r in placed.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-        totals = [by.get(k, 0) for k in range(QUEUES)]
-        weights = None
-        if targets is not None:
-            goal = spark.createDataFrame([(s, float(w)) for s, w in targets.items()], "source string, w double").groupBy(F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("int").alias("queue")).agg(F.sum("w").alias("w"))
-            got = {r["queue"]: r["w"] for r in goal.collect()}
-            weights = [got.get(k, 0.0) for k in range(QUEUES)]
+    found = sources.orderBy(F.col("source").asc_nulls_first()).collect()  # one row a source
+    names, totals = [r["source"] for r in found], [r["n"] for r in found]
+    weights = None if targets is None else [float(targets.get(s, 0)) for s in names]
+    ids = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "q_source string, queue int")
+    if len(names) <= QUEUES:
+        ids = F.broadcast(ids)
+    placed = sums.join(ids, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("pid", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
     bases = placed.select(F.col("pid").alias("b_pid"), F.col("source").alias("b_source"), "queue", F.coalesce(before, F.lit(0)).alias("base"))
     if sums.count() <= BROADCAST_ROWS:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -111,3 +112,26 @@ def test_pack(docs, rows, empty, monkeypatch):
         made = [zlib.crc32(b"".join(r["ids"] for r in sorted(v, key=lambda r: r["start"]))) for v in single.values()]
         assert len(made) > 60 and set(made) <= set(want)
     assert packing.pack(empty, PATH).count() == 0
+
+
+def test_each_source_keeps_its_queue_at_any_number(docs, monkeypatch):
+    def places():
+        got = packing.pack(docs, PATH, sequence=256, window_sequences=4).collect()
+        return sorted((r["sequence_id"], r["offset"], r["length"], r["ids_crc32"]) for r in got)
+
+    want = places()
+    monkeypatch.setattr(packing, "QUEUES", 1)
+    assert places() == want
+
+
+def test_shares_are_exact_for_many_queues_and_long_streams():
+    r = random.Random(3)
+    served = [r.choice([1, 7, 7, r.randint(1, 50)]) for _ in range(1500)]
+    phase = packing.plan(served)[0]
+    order = sorted((Fraction(2 * j + 1, 2 * m), k) for k, m in enumerate(served) for j in range(m))
+    for x in (0, 1, 500, len(order) // 2, len(order) - 3, len(order)):
+        assert phase.upto(x).tolist() == np.bincount([k for _, k in order[:x]], minlength=len(served)).tolist()
+    big = packing.plan([r.randint(10**9, 9 * 10**9) for _ in range(40)])[0]
+    for x in (big.length // 3, big.length - 12345):
+        assert max(abs(d - Fraction(m * x, big.length)) for d, m in zip(big.upto(x).tolist(), big.served, strict=True)) <= 1
+        assert sum(big.upto(x).tolist()) == x
