@@ -30,9 +30,10 @@ def brute(rows, k, percent):
     return sorted((str(x["doc_id"]), len(sets[i]), str(ids.get(find(i)) if sets[i] else x["doc_id"])) for i, x in enumerate(rows)), [find(i) if sets[i] else -1 - i for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 1500), (5, 80, 3)])
-def test_components_match_brute_force(docs, rows, k, percent, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", block)  # small blocks split every region
+@pytest.mark.parametrize(("k", "percent", "block", "blocks", "small"), [(4, 85, 4000, 8, 8), (5, 80, 3, 8, 2), (5, 80, 8, 1, 2)])
+def test_components_match_brute_force(docs, rows, k, percent, block, blocks, small, monkeypatch):
+    for name, value in (("BLOCK", block), ("BLOCKS", blocks), ("SMALL", small)):
+        monkeypatch.setattr(jaccard, name, value)  # regions are cut into blocks, or joined recursively
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.classes(docs, k, percent).collect())
     assert got == brute(rows, k, percent)[0]
 
