@@ -11,6 +11,8 @@ symbol in any text, so the symbols whose context lies in a window are a function
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from . import kernels as K
@@ -71,14 +73,14 @@ class Symbols:
         self._take(head, last, name, np.minimum(c0, self.c0[last]), np.maximum(c1, self.c1[head]))
 
 
-def recompress(words: np.ndarray, row: np.ndarray, rounds: int) -> Symbols:
+def levels(words: np.ndarray, row: np.ndarray, rounds: int) -> Iterator[Symbols]:
+    """The symbols after each round. They are one object that the next round changes: copy what is to stay."""
     s = Symbols(words, row)
     for r in range(rounds):
-        if not len(s.name):
-            break
-        s.runs()
-        s.pairs(r)
-    return s
+        if len(s.name):
+            s.runs()
+            s.pairs(r)
+        yield s
 
 
 def anchors(s: Symbols, first: np.ndarray, width: int) -> np.ndarray:

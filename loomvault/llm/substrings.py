@@ -1,9 +1,11 @@
 """Substring dedup: words covered by a window of WINDOW words that also starts anywhere else are removed.
 
-Texts are recompressed (see recompress): equal passages have equal symbols inside, so two equal windows choose the same symbol at
-the same place. A symbol that stands once in the corpus proves all the windows it stands for unique, and those are most.
+Texts are recompressed in ROUNDS rounds (see recompress): equal passages have equal symbols inside. A window is stood for by a
+symbol of the highest round that has one known by the window's words alone, so two equal windows choose the same symbol at the
+same place. A symbol that stands once in the corpus proves all the windows it stands for unique, and those are most; symbols
+that are shared reveal the repeats, which the windows' own hashes verify.
 
-1. One scan names symbols and writes (symbol in its context, text, range of windows), about one row for every fifteen words.
+1. One scan names symbols and writes (symbol in its context, text, range of windows), about one row for every ten words.
 2. An aggregation by symbol finds those that stand twice or more; a bit filter and a join keep their rows.
 3. The windows of those rows are hashed from the texts, and compared within each symbol. What is compared is a 64-bit hash of the
    whole window under a 64-bit name of its part. Symbols of more than HOT rows are compared by an aggregation that combines
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 
 from . import bitfilter
 from . import kernels as K
-from .recompress import anchors, contexts, recompress
+from .recompress import anchors, contexts, levels
 from .shared import documents, stash
 
 WINDOW = 35
-ROUNDS = 2
+ROUNDS = 4
 #: Rows of one symbol that a single task may compare.
 HOT = 20_000
 
@@ -51,21 +53,30 @@ def _anchor_rows(width: int, rounds: int, table):
                 start, x = K.windows(h, w.first, width)
                 if not len(start):
                     continue
-                s = recompress(h, w.row, rounds)
-                best = anchors(s, w.first, width)[start]
-                own = best < 0
                 row = w.row[start]
+                level, best = np.full(len(start), -1), np.full(len(start), -1)
+                stands: list[tuple[np.ndarray, ...]] = []
+                for s in levels(h, w.row, rounds):
+                    of = anchors(s, w.first, width)[start]
+                    some = of >= 0
+                    level[some], best[some] = len(stands), of[some]
+                    stands.append((s.name, s.c0, s.c1))
+                own = best < 0
                 cut = np.ones(len(start), bool)
-                cut[1:] = (best[1:] != best[:-1]) | (own[1:] & (x[1:] != x[:-1])) | (row[1:] != row[:-1])
+                cut[1:] = (best[1:] != best[:-1]) | (level[1:] != level[:-1]) | (own[1:] & (x[1:] != x[:-1])) | (row[1:] != row[:-1])
                 second = own[1:] & ~cut[1:] & cut[:-1]  # equal windows in a run: one row for the first, one for the rest
                 cut[1:] |= second
                 head = np.flatnonzero(cut)
                 last = np.append(head[1:], len(start)) - 1
                 place = start - w.first[row]
-                chosen = best[head]
-                some = chosen >= 0
                 name = x[head]
-                name[some] = K.mix(s.name[chosen[some]] ^ contexts(h, s.c0[chosen[some]], s.c1[chosen[some]]))
+                c0, c1 = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+                for i, (names, first, end) in enumerate(stands):
+                    at = np.flatnonzero(level[head] == i)
+                    chosen = best[head[at]]
+                    name[at], c0[at], c1[at] = names[chosen], first[chosen], end[chosen]
+                at = np.flatnonzero(level[head] >= 0)
+                name[at] = K.mix(name[at] ^ contexts(h, c0[at], c1[at]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name.view(np.int64)), batch.column(0).take(pa.array(row[head] + base)), pa.array(place[head].astype(np.int32)), pa.array(place[last].astype(np.int32))], names=["key", "handle", "lo", "hi"]
                 )
@@ -154,28 +165,57 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = "m binary, n_removed long, kept string"
 
 
-def _remove(width: int):
+def _words(column: pa.Array) -> Iterator[list[bytes]]:
+    """The words of each text, a few texts at a time."""
+    for _, buf, offs in K.text_chunks(column):
+        raw = buf.tobytes()
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            yield raw[a:b].split()
+
+
+def _joined(words: list[bytes], digest: bool) -> str:
+    text = b" ".join(words)
+    return hashlib.sha256(text).hexdigest() if digest else text.decode()
+
+
+#: Rows of texts that a task hands on at once.
+_ROWS = 500
+
+
+def _remove(width: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_removed, kept = [], []
-            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = text.encode().split()
-                depth = np.zeros(len(words) + 1, np.int64)
-                for r in ranges:
-                    depth[r["lo"]] += 1
-                    depth[min(r["hi"] + width, len(words))] -= 1
-                gone = np.cumsum(depth[:-1]) > 0
-                n_removed.append(int(gone.sum()))
-                kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["m", "n_removed", "kept"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                n_removed, kept = [], []
+                lists = batch.column(2)
+                cuts = lists.offsets.to_numpy()
+                lo, hi = (lists.values.field(f).to_numpy() for f in (0, 1))
+                for i, words in enumerate(_words(batch.column(1))):
+                    depth = np.zeros(len(words) + 1, np.int64)
+                    at = slice(cuts[i], cuts[i + 1])
+                    np.add.at(depth, lo[at], 1)
+                    np.add.at(depth, np.minimum(hi[at] + width, len(words)), -1)
+                    gone = np.cumsum(depth[:-1]) > 0
+                    n_removed.append(int(gone.sum()))
+                    kept.append(_joined([w for w, g in zip(words, gone.tolist(), strict=True) if not g], digest))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["m", "n_removed", "kept"])
 
     return run
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = [(t or "").encode().split() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())], names=["doc_id", "m", "n_words", "sha"])
+def _plain(digest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                n_words, kept = [], []
+                for words in _words(batch.column(2)):
+                    n_words.append(len(words))
+                    kept.append(_joined(words, digest))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "m", "n_words", "plain"])
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -220,23 +260,26 @@ def repeated_ranges(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
     return rows, texts, cold.unionByName(hot)
 
 
-def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row of docs."""
+def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept of every row of docs. kept: the words left, joined by one space; digest: their SHA-256 instead.
+
+    With the digest no text is shuffled for the result.
+    """
     rows, texts, ranges = repeated_ranges(docs, width, rounds)
     by_text = stash(ranges.groupBy("m").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "repeats")
     single = by_text.join(texts.filter("copies = 1"), "m").select("m", "doc_id", "ranges")
-    changed = _fetch(rows, single.select("m", "doc_id")).join(single.select("m", "ranges"), "m").select("m", "text", "ranges").mapInArrow(_remove(width), _KEPT)
-    changed = changed.select("m", "n_removed", F.sha2("kept", 256).alias("kept_sha"))
-    plain = rows.select("doc_id", "m", "text").mapInArrow(_plain, "doc_id long, m binary, n_words long, sha string")
+    changed = _fetch(rows, single.select("m", "doc_id")).join(single.select("m", "ranges"), "m").select("m", "text", "ranges").mapInArrow(_remove(width, digest), _KEPT)
+    plain = rows.select("doc_id", "m", "text").mapInArrow(_plain(digest), "doc_id long, m binary, n_words long, plain string")
     copied = texts.filter("copies > 1").select("m", F.lit(True).alias("copied"))
     out = plain.join(copied, "m", "left").join(changed, "m", "left")
     gone = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= width)
+    nothing = hashlib.sha256(b"").hexdigest() if digest else ""
     return out.select(
         "doc_id", "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+        F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept", "plain")).alias("kept"),
     )
 
 
 def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir))
+    return dedup(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
