@@ -7,13 +7,15 @@ of their places, and slots must agree: a benchmark value may stand for one docum
 re-parameterised throughout is caught while a chance likeness of template words is not.
 
 Beside them stand literal windows: the lower-cased words as they are, without slots and however many placeholders they hold. They find every
-verbatim copy, whatever its case and the text around it, also of items that are in capitals, in Title Case or mostly numbers.
+verbatim copy, whatever its case and the text around it, also of items that are in capitals, in Title Case or mostly numbers. Template windows
+without a slot are literal windows, so only those with one are template windows.
 
 At scale: the benchmark's window hashes become a bit filter of bounded size, so documents emit only windows that have a
-partner (no text is shuffled, and nothing grows with the documents), and the join and the grouping are over those few rows.
+partner (no text is shuffled, and nothing grows with the documents), and the join and the grouping are over those few rows. A literal
+window is one row for a document however often it stands there, and one for an item, with all its places.
 
 Defined results: null or empty texts and items have no windows and give no row; an item of fewer than WINDOW words is matched
-as a whole if it has SHORTEST words; equal rows of documents give one result row for each distinct (doc_id, text); an empty
+as a whole, however short it is; repeated words give no further rows; very long texts are read whole; equal rows of documents give one result row for each distinct (doc_id, text); an empty
 table on either side gives an empty table; extra columns are ignored. Words are what white space separates; letters are folded where both cases
 have UTF-8 forms of one length (so not ß and SS). Re-parameterised forms are found where the template keeps half of its words literal.
 """
@@ -34,8 +36,6 @@ from .shared import documents, stash
 from .streams import runs
 
 WINDOW = 8
-#: Items of fewer words than this are not looked for.
-SHORTEST = 4
 #: A window needs this share of words that are no placeholders.
 LITERAL = 0.5
 #: Words of an item that its windows must cover in a document (all, if it has fewer).
@@ -138,12 +138,17 @@ class Template:
             self.word[mask] = code
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows of k words that have enough literal words."""
+        """Starts and hashes of the windows of k words that have a slot, and enough literal words."""
         start, h = K.windows(self.word, self.first, k, seed=k)
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        keep = (slots[start + k] - slots[start]) <= (1 - LITERAL) * k
+        slots = self.slots(start, k)
+        keep = (slots > 0) & (slots <= (1 - LITERAL) * k)
         return start[keep], h[keep]
 
+    def slots(self, start: np.ndarray, k: int) -> np.ndarray:
+        """Slots in each window."""
+        total = np.concatenate([[0], np.cumsum(self.slot)])
+        return total[start + k] - total[start]
+
     def literal_windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of all windows of k words as they are. Their seed keeps them apart from template windows."""
         return K.windows(self.value, self.first, k, seed=_LITERAL_SEED + k)
@@ -162,21 +167,38 @@ _LITERAL_SEED = 100
 _ROW = "id long, th long, k int, pos long, n_words long, h long, literal boolean, slots array<long>"
 
 
-def _emit(template: Template, rows: np.ndarray, ids: pa.Array, hashes: pa.Array, base: int, k: int, start: np.ndarray, h: np.ndarray, literal: bool = False) -> pa.RecordBatch:
-    row = rows[start]
-    slots = [np.zeros(0, np.int64)] * len(start) if literal else [template.value[s : s + k][template.slot[s : s + k]].view(np.int64) for s in start.tolist()]
-    offs = np.cumsum([0, *map(len, slots)])
+def _emit(template: Template, ids: pa.Array, hashes: pa.Array, base: int, k: int, row: np.ndarray, start: np.ndarray, h: np.ndarray, lists: list[np.ndarray], literal: bool) -> pa.RecordBatch:
+    """Rows of windows; lists: the slots of each, or for an item's literal windows their places (see _places)."""
+    offs = np.cumsum([0, *map(len, lists)])
     at = pa.array(row + base)
     counts = np.diff(template.first)
     return pa.RecordBatch.from_arrays(
         [
             ids.take(at), hashes.take(at), pa.array(np.full(len(row), k, np.int32)), pa.array(start - template.first[row]), pa.array(counts[row]),
-            pa.array(h.view(np.int64)), pa.array(np.full(len(row), literal)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(slots) if slots else np.zeros(0, np.int64))),
+            pa.array(h.view(np.int64)), pa.array(np.full(len(row), literal)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))),
         ],
         names=["id", "th", "k", "pos", "n_words", "h", "literal", "slots"],
     )
 
 
+def _slot_values(template: Template, start: np.ndarray, k: int) -> list[np.ndarray]:
+    return [template.value[s : s + k][template.slot[s : s + k]].view(np.int64) for s in start.tolist()]
+
+
+def _once(row: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows by row, hash and place, and where in it each row's hash begins."""
+    order = np.lexsort((start, h, row))
+    r, x = row[order], h[order]
+    return order, np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1])])) if len(order) else np.zeros(0, np.int64)
+
+
+def _places(template: Template, row: np.ndarray, start: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of the windows, those that are the first of their row and hash; for each, all places as 2 * place + (has no slot)."""
+    order, head = _once(row, start, h)
+    place = 2 * (start - template.first[row]) + (template.slots(start, k) == 0)
+    return order[head], np.split(place[order], head[1:])
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, buf, offs in K.text_chunks(batch.column(2)):
@@ -184,13 +206,18 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = np.diff(t.first)
             rows = np.repeat(np.arange(len(n)), n)
             led, leads = t.led()
-            for k in range(SHORTEST, WINDOW + 1):
-                for of, (start, h), literal in ((t, t.windows(k), False), (led, led.windows(k), False), (t, t.literal_windows(k), True)):
-                    own = n[rows[start]]
-                    fit = own >= WINDOW if k == WINDOW else own == k
-                    if of is led:
-                        fit &= np.isin(start, leads)
-                    yield _emit(of, rows, batch.column(0), batch.column(1), base, k, start[fit], h[fit], literal)
+            for k in range(1, WINDOW + 1):
+                fits = lambda start, k=k: n[rows[start]] >= WINDOW if k == WINDOW else n[rows[start]] == k  # noqa: B023, E731
+                for of in (t, led):
+                    start, h = of.windows(k)
+                    fit = fits(start) & (np.isin(start, leads) if of is led else True)
+                    start, h = start[fit], h[fit]
+                    yield _emit(of, batch.column(0), batch.column(1), base, k, rows[start], start, h, _slot_values(of, start, k), False)
+                start, h = t.literal_windows(k)
+                start, h = start[fits(start)], h[fits(start)]
+                if len(start):
+                    first, places = _places(t, rows[start], start, h, k)
+                    yield _emit(t, batch.column(0), batch.column(1), base, k, rows[start[first]], start[first], h[first], places, True)
 
 
 def _document_windows(sizes: list[int], table):
@@ -202,8 +229,13 @@ def _document_windows(sizes: list[int], table):
                 for k in sizes:
                     for (start, h), literal in ((t.windows(k), False), (t.literal_windows(k), True)):
                         hit = bitfilter.passes(table.value, h.view(np.int64))
-                        if hit.any():
-                            yield _emit(t, rows, batch.column(0), batch.column(1), base, k, start[hit], h[hit], literal)
+                        start, h = start[hit], h[hit]
+                        if literal:
+                            order, head = _once(rows[start], start, h)
+                            start, h = start[order[head]], h[order[head]]
+                        if len(start):
+                            lists = [np.zeros(0, np.int64)] * len(start) if literal else _slot_values(t, start, k)
+                            yield _emit(t, batch.column(0), batch.column(1), base, k, rows[start], start, h, lists, literal)
 
     return run
 
@@ -223,8 +255,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken, conflicts = set(), 0
         for j in np.lexsort((ipos, pos - ipos)).tolist():
             if literal[j]:
-                same[ipos[j] : ipos[j] + k[j]] = True
-                taken.add((pos[j], ipos[j]))
+                for place, plain in (divmod(x, 2) for x in islots[j]):
+                    same[place : place + k[j]] = True
+                    if plain:
+                        covered[place : place + k[j]] = True
+                    taken.add(place)
                 continue
             line = int(pos[j] - ipos[j])
             pairs = list(zip(islots[j], slots[j], strict=True))
@@ -233,7 +268,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             meaning.update({(line, a): b for a, b in pairs})
             covered[ipos[j] : ipos[j] + k[j]] = True
-            taken.add((pos[j], ipos[j]))
+            taken.add(int(ipos[j]))
         total = int(max(covered.sum(), same.sum()) if conflicts else (covered | same).sum())
         if total >= min(COVER, int(n[0])):
             out.append((doc, text, item, len(taken), total, int(n[0]), len(meaning), sum(a != b for (_, a), b in meaning.items()), conflicts))
@@ -252,11 +287,11 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = lambda df, key: df.select(F.col(key).cast("long").alias("id"), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
     items = stash(texts(benchmark, "item_id").mapInArrow(_item_windows, _ROW), "items")
-    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # WINDOW - SHORTEST + 1 values at most
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # WINDOW values at most
     table = spark.sparkContext.broadcast(bitfilter.build(items.select("h"), bitfilter.bits_for(items.count())))
     seen = texts(docs, "doc_id").mapInArrow(_document_windows(sizes, table), _ROW).withColumnRenamed("id", "doc_id")
     ours = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), F.col("k").alias("ik"), F.col("pos").alias("ipos"), F.col("n_words").alias("item_words"), F.col("h").alias("ih"), F.col("literal").alias("iliteral"), F.col("slots").alias("islots")).distinct()
-    pairs = seen.join(ours, (seen["h"] == ours["ih"]) & (seen["k"] == ours["ik"]) & (seen["literal"] == ours["iliteral"]) & (F.size("slots") == F.size("islots")))
+    pairs = seen.join(ours, (seen["h"] == ours["ih"]) & (seen["k"] == ours["ik"]) & (seen["literal"] == ours["iliteral"]) & (F.col("literal") | (F.size("slots") == F.size("islots"))))
     pairs = pairs.select("doc_id", "th", "item_id", "ith", "k", "pos", "ipos", "item_words", "literal", "slots", "islots")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return pairs.repartition(n, "doc_id", "th", "item_id", "ith").sortWithinPartitions("doc_id", "th", "item_id", "ith").mapInArrow(_judge, _FOUND)

@@ -62,3 +62,41 @@ def test_finds_verbatim_copies_of_any_case_and_context(spark):
 def test_first_word_may_follow_a_word_in_a_reparameterised_copy(spark):
     item = "What is the price of 12 red apples here?"
     assert set(find(spark, [(1, "now question 5) " + item.replace("12", "30") + " Tell me.", 1, "")], [(1, item, 0)])) == {(1, 1)}
+
+
+def test_repeated_words_make_few_rows_and_short_items_are_found(spark):
+    docs = [(1, "go " * 3000, 0, ""), (2, "we said hello there friend twice", 0, ""), (3, "nothing of it", 0, "")]
+    items = [(1, "go " * 200, 0), (2, "Hello there, friend!", 0), (3, "word", 0), (4, "12 apples", 0)]
+    got = find(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2)}
+    assert got[1, 1]["covered_words"] == 200
+    d = spark.createDataFrame(docs, "doc_id long, text string, k int, h string").selectExpr("doc_id AS id", "xxhash64(text) AS th", "text")
+    table = spark.sparkContext.broadcast(b"\xff" * (1 << 17))
+    assert d.filter("id = 1").mapInArrow(D._document_windows([8], table), D._ROW).count() == 1
+
+
+def test_template_search_matches_brute_force(spark):
+    """Questions whose numbers change, against a search by regular expressions with one number for each slot."""
+    import random
+    import re
+
+    r = random.Random(8)
+    filler = lambda: " ".join(r.choice("alpha beta gamma delta omega sigma".split()) + r.choice("abcdefgh") for _ in range(9))
+    items, docs = [], []
+    for i in range(12):
+        w = [r.choice("takes gives finds keeps shares sells buys holds moves counts".split()) + r.choice(["", "", f" {r.randint(1, 99)}"]) for _ in range(14)]
+        items.append((i, f"everyone {' '.join(w)} of them", 0))
+    for j in range(36):
+        text = items[j % 12][1]
+        if j % 3:
+            values = {}
+            text = re.sub(r"\d+", lambda m: values.setdefault(m.group(), str(100 + 7 * j + int(m.group()))), text)  # noqa: B023
+        docs.append((j, f"{filler()} {text if j % 4 else ' '.join(text.split()[::-1])} {filler()}", 0, ""))
+    want = set()
+    for j, text, _, _ in docs:
+        for i, item, _ in items:
+            groups = {}
+            pattern = " ".join((rf"(?P<n{groups.setdefault(x, len(groups))}>\d+)" if x not in groups else rf"(?P=n{groups[x]})") if x.isdigit() else re.escape(x) for x in item.split())
+            if re.search(rf"\b{pattern}\b", text):
+                want.add((j, i))
+    assert set(find(spark, docs, items)) == want and len(want) == 27
