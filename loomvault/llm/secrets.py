@@ -17,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -171,12 +173,14 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]
             run(digits, r.randint(1, 19)), f"{r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 255)}", f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
             f"+1 ({r.randint(200, 999)}) 555-{run(digits, 4)}", f"v{r.randint(0, 9)}.{r.randint(0, 20)}", f"https://example.org/{word().strip('.,!*')}/{run(letters, 6)}", f"user.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com",
             f"{run(letters, 6)}_{run(letters, 5)}({run(letters, 4)})", f"{word()}-{word()}", f"x{r.randint(0, 99)} = {r.randint(0, 9999)}", f"{run(letters, 5)}: {word()}", "ISBN " + run(digits, 13), run(letters.upper(), r.randint(2, 9)),
+            "".join([run(letters, r.randint(2, 6)), *(run(letters, r.randint(1, 8)).capitalize() for _ in range(r.randint(1, 6))), r.choice(["", "", run(digits, 1)]), r.choice(["", run(letters, 6).capitalize()])]),
+            f"https://{run(letters, 5)}.example.{r.choice(['com', 'org'])}/{r.choice(['watch?v=', 'v/', 'p/'])}{run(alnum + '-_', 11)}", f"{run(letters, 5)}_{run(letters, 7)}_{run(digits, 2)}",
         ])
 
     def secret() -> str:
         return r.choice([
             "AKIA" + run(letters.upper() + digits, 16), run("0123456789abcdef", r.choice([32, 40, 64])), run(alnum, r.randint(16, 48)), run(alnum + "-_", r.randint(20, 44)), "ghp_" + run(alnum, 36), "sk-" + run(alnum, 40),
-            "eyJ" + run(alnum, 20) + "." + run(alnum, 30) + "." + run(alnum, 27), run(alnum, 12) + "/" + run(alnum, 14) + "+" + run(alnum, 12), run(alnum, r.randint(8, 14)) + run(digits, 2),
+            "eyJ" + run(alnum, 20) + "." + run(alnum, 30) + "." + run(alnum, 27), run(alnum, 12) + "/" + run(alnum, 14) + "+" + run(alnum, 12), run(alnum, r.randint(8, 14)) + run(digits, 2), word().strip(".,!*") + run(digits, r.randint(1, 3)) + word().strip(".,!*") + run(digits, 1), "MII" + run(alnum + "+/", 61),
         ])
 
     out = []
@@ -187,7 +191,7 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]
             if r.random() < 0.55:
                 s = secret()
                 cue = r.choice([*CUES, "", ""])
-                sep = r.choice([" = ", "=", ": ", ":", " ", '": "', " = '"]) if cue else " "
+                sep = r.choice([" = ", "=", ": ", ":", " ", " is ", " is ", '": "', " = '"]) if cue else " "
                 plain = not re.search(r"\d", s) and not cue
                 text += f" {cue}{sep}" if cue else " "
                 if not plain:
@@ -226,29 +230,32 @@ def fit(lines: list[tuple[str, list[tuple[int, int]]]], steps: int = 50, rate: f
     for k in range(count):
         at[k, : first[k + 1] - first[k]] = np.arange(first[k], first[k + 1])
     live = at >= 0
+    last = np.diff(first) > 0  # lines with a token
     w, t = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
     t[O, I] = _FORBIDDEN
     gw, gt = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
-    start = np.array([0.0, 0.0, _FORBIDDEN])
     gold_w, gold_t = np.zeros_like(w), np.zeros_like(t)
     for k in range(feats.shape[1]):
         np.add.at(gold_w, (feats[:, k], tags), 1.0)
     pair = np.ones(len(tags), bool)
     pair[first[:-1][first[:-1] < len(tags)]] = False
     np.add.at(gold_t, (tags[np.flatnonzero(pair) - 1], tags[pair]), 1.0)
+    np.add.at(gold_t, (O, tags[first[:-1][last]]), 1.0)  # a text begins and ends as if outside tokens stood around it
+    np.add.at(gold_t, (tags[first[1:][last] - 1], O), 1.0)
     lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
     for _ in range(steps):
         u = w[feats].sum(axis=1)
         emit = np.where(live[:, :, None], u[np.maximum(at, 0)], 0.0)
         alpha, beta = np.zeros((count, n, 3)), np.zeros((count, n, 3))
-        alpha[:, 0] = emit[:, 0] + start
+        alpha[:, 0] = emit[:, 0] + t[O]
+        beta[:, -1] = t[:, O]
         for j in range(1, n):
             step = lse(alpha[:, j - 1, :, None] + t, 1) + emit[:, j]
             alpha[:, j] = np.where(live[:, j, None], step, alpha[:, j - 1])
         for j in range(n - 2, -1, -1):
             step = lse(t + (emit[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
-            beta[:, j] = np.where(live[:, j + 1, None], step, 0.0)
-        z = lse(alpha[:, -1], 1)
+            beta[:, j] = np.where(live[:, j + 1, None], step, t[:, O])
+        z = lse(alpha[:, -1] + t[:, O], 1)
         prob = np.where(live[:, :, None], np.exp(alpha + beta - z[:, None, None]), 0.0)
         flat = np.zeros((len(tags), 3))
         flat[at[live]] = prob[live]
@@ -260,6 +267,8 @@ def fit(lines: list[tuple[str, list[tuple[int, int]]]], steps: int = 50, rate: f
         for j in range(1, n):
             rows = live[:, j]
             grad_t -= np.exp(alpha[rows, j - 1, :, None] + t + (emit[rows, j] + beta[rows, j])[:, None, :] - z[rows, None, None]).sum(axis=0)
+        grad_t[O] -= prob[last, 0].sum(axis=0)
+        grad_t[:, O] -= flat[first[1:][last] - 1].sum(axis=0)
         grad_t[O, I] = 0
         grad_w, grad_t = grad_w / count - decay * w, grad_t / count - decay * np.where(t > _FORBIDDEN / 2, t, 0)
         gw += grad_w**2
@@ -275,7 +284,7 @@ def model() -> tuple[np.ndarray, np.ndarray]:
 
 
 def viterbi(u: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The best tags of a stretch with outside tokens, or nothing, on both sides."""
+    """The best tags of a stretch with outside tokens, or a text's edge (which counts as one), on both sides."""
     n = len(u)
     back = np.zeros((n, 3), np.int64)
     score = u[0] + t[O]
@@ -340,12 +349,21 @@ def spans_of(texts: pa.Array, weights: tuple[np.ndarray, np.ndarray]) -> Iterato
         for row in range(len(offs) - 1):
             raw = buf[offs[row] : offs[row + 1]].tobytes()
             found = base_spans(raw)
-            more = [(a, 3, b, a, b) for a, b in extra.get(row, []) if all(b <= f[0] or a >= f[2] for f in found)]
+            starts = [f[0] for f in found]
+            reach = list(accumulate((f[2] for f in found), max))  # the furthest end among the fixed spans up to each
+            more = []
+            for a, b in extra.get(row, []):
+                before = bisect_left(starts, b)
+                if not before or reach[before - 1] <= a:
+                    more.append((a, 3, b, a, b))
             yield raw, sorted(found + more)
 
 
 def _code_points(raw: bytes, spans: list[tuple[int, int, int, int, int]]) -> list[tuple[str, int, int]]:
-    return [(KINDS[k], len(raw[:a].decode("utf-8", "replace")), len(raw[:b].decode("utf-8", "replace"))) for a, k, b, _, _ in spans]
+    if not spans or raw.isascii():
+        return [(KINDS[k], a, b) for a, k, b, _, _ in spans]
+    lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    return [(KINDS[k], int(lead[a]), int(lead[b])) for a, k, b, _, _ in spans]
 
 
 _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long"

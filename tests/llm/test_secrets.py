@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -68,3 +69,26 @@ def test_redact(spark, docs, empty):
     assert S.scan(empty).count() == S.redact(empty).count() == 0
     assert S.redact(docs).columns == docs.columns and S.scan(docs).count() == docs.count()
     assert list(S.spans_of(pa.array([], pa.string()), S.model())) == []
+
+
+def test_decoding_is_the_best_path_at_the_edges_of_texts_too():
+    w, t = S.model()
+    lines = [x for x in (text for text, _ in S.training_lines(400, 99)) if 1 <= len(re.findall(r"[\w-]+", x)) <= 7]
+    assert len(lines) > 20
+    for text in lines:
+        raw = text.encode()
+        tokens = S.Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        u = w[tokens.features()].sum(axis=1)
+        if not 1 <= len(u) <= 8:
+            continue
+        score = lambda p: t[S.O, p[0]] + sum(u[i, k] for i, k in enumerate(p)) + sum(t[a, b] for a, b in zip(p[:-1], p[1:], strict=True)) + t[p[-1], S.O]  # noqa: B023, E731
+        best = max(itertools.product(range(3), repeat=len(u)), key=score)
+        begins = [int(tokens.start[i]) for i, k in enumerate(best) if k == S.B]
+        assert [a for _, a, _ in S.decode(tokens, w, t)] == begins
+
+
+def test_hand_made_lines():
+    found = lambda text: [text.encode()[f[0] : f[2]].decode() for _, spans in S.spans_of(pa.array([text]), S.model()) for f in spans]
+    assert found("my password is hunter2hunter2, do not tell") == ["hunter2hunter2"]
+    assert found("call getElementByIdAndUpdateValue2Controller(x) for it") == []
+    assert found("see https://video.example.com/watch?v=dQw4w9WgXcQ for more") == []
