@@ -6,11 +6,11 @@ by one at most): first the documents of its own arcs, and what a full shard refu
 whose shard has room. So balance is guaranteed, and with one more shard only the new arcs and overflow move.
 
 The ring is cut into CELLS equal cells and at the virtual nodes. Only counts by piece of the ring reach the driver (CELLS +
-shards * VNODES rows at most, whatever the input), where the walk is done on counts; a document then finds its shard from its rank in
+shards * VNODES rows at most, and one for every PIECE rows of larger pieces), where the walk is done on counts; a document then finds its shard from its rank in
 its piece. Texts are never shuffled, only their sizes and checksums.
 
 Defined results: a null text has size 1 and checksum 0; a null doc_id is placed by its text; equal doc_ids share a point and may be
-split between neighbouring shards by a quota; repeated rows are placed each, in either order; an empty table gives an empty table;
+split between neighbouring shards by a quota; repeated rows are placed each, in either order; very long texts count by their size alone; an empty table gives an empty table;
 extra columns are ignored.
 """
 
@@ -28,6 +28,8 @@ SHARDS = 16
 VNODES = 128
 #: Equal cells of the ring: the pieces by which documents are ranked, so none is long at any scale that rows reach.
 CELLS = 8192
+#: Rows of one piece (in practice of one doc_id) that a task ranks; a piece of more is cut by a row number written with the rows.
+PIECE = 1_000_000
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -96,12 +98,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
     located = facts.withColumn("point", point).withColumn("cell", cell).join(F.broadcast(inner), F.col("cell") == F.col("i_cell"), "left")
     below = F.coalesce(F.size(F.filter("marks", lambda m: m < F.col("point"))), F.lit(0))
     located = located.withColumn("piece", F.col("cell") * F.lit(most) + F.when(F.col("marks").isNull(), 0).otherwise(below)).drop("i_cell", "marks", "cell")
-    located = stash(located, "located")
+    located = stash(located.withColumn("rid", F.monotonically_increasing_id()), "located")
+    large = [(r["piece"], -(-r["n"] // PIECE)) for r in located.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PIECE).collect()]
+    cuts = F.broadcast(spark.createDataFrame(large, "c_piece int, parts int"))
+    sub = F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1)))
+    located = located.join(cuts, F.col("piece") == F.col("c_piece"), "left").withColumn("piece", F.shiftleft(F.col("piece").cast("long"), 20) + sub).drop("parts", "c_piece", "rid")
     tally = {r["piece"]: r["n"] for r in located.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).collect()}
     points = [p for p, _ in nodes]
     counts = []
     for piece in sorted(tally):
-        c, i = divmod(piece, most)
+        c, i = divmod(piece >> 20, most)
         marks = sorted(by_cell.get(c, []))
         top = marks[i] if i < len(marks) else -(2**63) + (c + 1) * width  # the piece's end: a node, or the cell's border
         counts.append((piece, bisect.bisect_left(points, top) % len(points), tally[piece]))
@@ -109,7 +115,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
     lists: dict[int, list[tuple[int, int, int, int]]] = {}
     for piece, lo, hi, shard, slot in placed:
         lists.setdefault(piece, []).append((lo, hi, shard, slot))
-    table = spark.createDataFrame(list(lists.items()), "p_piece int, runs array<struct<lo:long,hi:long,shard:int,slot:long>>")
+    table = spark.createDataFrame(list(lists.items()), "p_piece long, runs array<struct<lo:long,hi:long,shard:int,slot:long>>")
     rank = F.row_number().over(Window.partitionBy("piece").orderBy("point", "doc_id", "text_crc32", "size")) - 1
     ranked = located.withColumn("rank", rank).join(F.broadcast(table), F.col("piece") == F.col("p_piece"))
     mine = F.element_at(F.filter("runs", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"])), 1)
