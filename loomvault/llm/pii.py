@@ -3,7 +3,7 @@
 Numbers and dates that pass their validation are permuted, by a keyed Feistel network, within the set of valid values of
 their format: a card number becomes another with the same first digit and a right check digit, a telephone number another
 with valid area and exchange codes, an address another address, a social security number another that could be issued, a date another
-date. A permutation gives equal values equal pseudonyms everywhere and different values different ones, so what was linked
+date of its spelling (y-m-d, d/m/y, or m/d/y where the day is past the 12th). A permutation gives equal values equal pseudonyms everywhere and different values different ones, so what was linked
 across documents stays linked. Spelling (separators, brackets) is kept. An e-mail address has no such set; it becomes a keyed
 digest of its lower-case form at a reserved domain, which links equal addresses as well.
 
@@ -40,6 +40,7 @@ PATTERNS = {
 PATTERN = "|".join(PATTERNS.values())
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 _SIDE = 271  # its square is the least that holds DAYS
+_MONTHS, _LATE = 2400, 19  # months of those days; days of a month after the 12th at most
 
 
 def _quote(s: str) -> str:
@@ -82,13 +83,17 @@ def _card(key: str) -> str:
 
 
 def _phone(key: str) -> str:
+    # three sets, each permuted in itself: both codes from 200 on; the area below; the exchange alone below
     number = "right(d, 10)"
     area, exchange, line = f"cast(substr({number}, 1, 3) as bigint)", f"cast(substr({number}, 4, 3) as bigint)", f"cast(substr({number}, 7, 4) as bigint)"
+    three = lambda x: f"lpad(cast({x} as string), 3, '0')"
+    end = "lpad(cast(x.b as string), 4, '0')"
     n = f"((({area} - 200) * 800 + {exchange} - 200) * 10000 + {line})"
-    valid = f"{area} >= 200 and {exchange} >= 200"
     good = _with(_feistel(key, "phone", f"({n}) div 80000", f"({n}) % 80000", "80000", "80000"), "x", _with("x.a * 80000 + x.b", "n", "concat(cast(n div 8000000 + 200 as string), cast(n div 10000 % 800 + 200 as string), lpad(cast(n % 10000 as string), 4, '0'))"))
-    other = _with(_feistel(key, "phone10", f"substr({number}, 1, 5)", f"substr({number}, 6, 5)", "100000", "100000"), "x", "concat(lpad(cast(x.a as string), 5, '0'), lpad(cast(x.b as string), 5, '0'))")
-    return _with("regexp_replace(v, '[^0-9]', '')", "d", _with(f"concat(left(d, length(d) - 10), if({valid}, {good}, {other}))", "w", _respell("v", "w")))
+    low_area = _with(_feistel(key, "phone-area", f"{area} * 1000 + {exchange}", line, "200000", "10000"), "x", f"concat({three('x.a div 1000')}, {three('x.a % 1000')}, {end})")
+    low_exchange = _with(_feistel(key, "phone-exchange", f"({area} - 200) * 200 + {exchange}", line, "160000", "10000"), "x", f"concat({three('x.a div 200 + 200')}, {three('x.a % 200')}, {end})")
+    new = f"case when {area} < 200 then {low_area} when {exchange} < 200 then {low_exchange} else {good} end"
+    return _with("regexp_replace(v, '[^0-9]', '')", "d", _with(f"concat(left(d, length(d) - 10), {new})", "w", _respell("v", "w")))
 
 
 def _ip(key: str) -> str:
@@ -108,16 +113,30 @@ def _ssn(key: str) -> str:
     return f"if({valid}, {new}, null)"
 
 
+def _walk(step: str, inside: str, outside: int) -> str:
+    """SQL for the first number after k, on its cycle of a permutation, that is in a set; `outside` numbers are not.
+
+    step is SQL over w.n, inside over n. A walk leaves the set for `outside` steps in a row at most.
+    """
+    return f"aggregate(sequence(0, {outside}), named_struct('n', cast(k as bigint), 'done', false), (w, t) -> if(w.done, w, {_with(step, 'n', f'''named_struct('n', n, 'done', {inside})''')})).n"
+
+
 def _date(key: str) -> str:
-    # d/m/y where the second number can be a month, else m/d/y
+    # three spellings, each a set of its own: y-m-d; d/m/y, the second number a month; else m/d/y, whose days are past the 12th
     day_first = "cast(substr(v, 4, 2) as int) <= 12"
     iso = f"if(v like '____-__-__', v, if({day_first}, concat(right(v, 4), '-', substr(v, 4, 2), '-', left(v, 2)), concat(right(v, 4), '-', left(v, 2), '-', substr(v, 4, 2))))"
     step = _with(_feistel(key, "date", f"w.n div {_SIDE}", f"w.n % {_SIDE}", str(_SIDE), str(_SIDE)), "x", f"x.a * {_SIDE} + x.b")
-    # a walk leaves the set for _SIDE**2 - DAYS steps in a row at most
-    walk = f"aggregate(sequence(0, {_SIDE**2 - DAYS}), named_struct('n', cast(k as bigint), 'done', false), (w, t) -> if(w.done, w, {_with(step, 'n', f'''named_struct('n', n, 'done', n < {DAYS})''')})).n"
-    new_day = f"date_add(date'{FIRST_DAY}', cast({walk} as int))"
-    spelled = f"if(v like '____-__-__', date_format(e, 'yyyy-MM-dd'), if({day_first}, date_format(e, 'dd/MM/yyyy'), date_format(e, 'MM/dd/yyyy')))"
-    return _with(f"datediff(try_cast({iso} as date), date'{FIRST_DAY}')", "k", f"if(k >= 0 and k < {DAYS}, {_with(new_day, 'e', spelled)}, null)")
+    new_day = f"date_add(date'{FIRST_DAY}', cast({_walk(step, f'n < {DAYS}', _SIDE**2 - DAYS)} as int))"
+    any_order = _with(f"datediff(c, date'{FIRST_DAY}')", "k", _with(new_day, "e", "if(v like '____-__-__', date_format(e, 'yyyy-MM-dd'), date_format(e, 'dd/MM/yyyy'))"))
+    # month since the first day, and day past the 12th; what a month lacks of the 31st is walked over
+    first_year = int(FIRST_DAY[:4])
+    last = f"day(last_day(make_date({first_year} + cast(n div {_LATE} div 12 as int), cast(n div {_LATE} % 12 as int) + 1, 1)))"
+    late = _with(_feistel(key, "date-mdy", f"w.n div {_LATE}", f"w.n % {_LATE}", str(_MONTHS), str(_LATE)), "x", f"x.a * {_LATE} + x.b")
+    new_late = _walk(late, f"n % {_LATE} + 13 <= {last}", _MONTHS * 31 - DAYS)
+    spelled = f"concat(lpad(cast(n div {_LATE} % 12 + 1 as string), 2, '0'), '/', cast(n % {_LATE} + 13 as string), '/', cast({first_year} + n div {_LATE} div 12 as string))"
+    month_first = _with(f"((year(c) - {first_year}) * 12 + month(c) - 1) * {_LATE} + day(c) - 13", "k", _with(new_late, "n", spelled))
+    in_range = f"c >= date'{FIRST_DAY}' and c < date_add(date'{FIRST_DAY}', {DAYS})"
+    return _with(f"try_cast({iso} as date)", "c", f"if({in_range}, if(v like '____-__-__' or {day_first}, {any_order}, {month_first}), null)")
 
 
 def _email(key: str) -> str:
