@@ -7,7 +7,7 @@ WITH over AND over OR, and evaluated: OR takes the freest side, AND the strictes
 Each document is judged alone: one scan and one map, no shuffle.
 
 Defined results: a null or empty text has no words, no places, empty labels and score 0; a malformed expression yields the known labels of
-its identifiers and no value; a tag without a separator (: or =) counts only if all that follows in its expression are known licences; ties and repeated rows are judged each for itself; an empty table gives an empty
+its identifiers and no value; words of an expression that are neither known identifiers nor LicenseRef- ones give no label; very long texts are read whole; a tag without a separator (: or =) counts only if all that follows in its expression are known licences; ties and repeated rows are judged each for itself; an empty table gives an empty
 table; extra columns are ignored.
 """
 
@@ -44,12 +44,15 @@ TAGS = {"spdx license identifier": "spdx", "license expression": "spdx"}
 #: How far a label restricts reuse, from 0 (none) to 1 (no licence to reuse).
 RESTRICTION = {
     "public-domain": 0.0, "cc0-1.0": 0.0, "unlicense": 0.0, "wtfpl": 0.0, "0bsd": 0.0,
-    "mit": 0.1, "isc": 0.1, "bsd": 0.1, "bsd-2-clause": 0.1, "bsd-3-clause": 0.1, "zlib": 0.1, "apache-2.0": 0.15, "cc-by": 0.2, "cc-by-4.0": 0.2,
-    "mpl-2.0": 0.4, "epl-2.0": 0.4, "lgpl": 0.45, "lgpl-2.1": 0.45, "lgpl-3.0": 0.45, "cc-by-sa": 0.5,
-    "gpl": 0.6, "gpl-2.0": 0.6, "gpl-3.0": 0.6, "agpl": 0.7, "agpl-3.0": 0.7,
-    "cc-by-nc": 0.8, "cc-by-nc-sa": 0.85, "cc-by-nd": 0.85, "cc-by-nc-nd": 0.9, "reserved": 1.0, "proprietary": 1.0,
+    "mit": 0.1, "mit-0": 0.0, "isc": 0.1, "bsd": 0.1, "bsd-1-clause": 0.1, "bsd-2-clause": 0.1, "bsd-3-clause": 0.1, "bsd-4-clause": 0.15, "zlib": 0.1, "bsl-1.0": 0.1, "ncsa": 0.1, "postgresql": 0.1,
+    "python-2.0": 0.1, "psf-2.0": 0.1, "upl-1.0": 0.1, "artistic-2.0": 0.3, "apache-1.1": 0.15, "apache-2.0": 0.15, "cc-by": 0.2, "cc-by-3.0": 0.2, "cc-by-4.0": 0.2,
+    "mpl-1.1": 0.4, "mpl-2.0": 0.4, "epl-1.0": 0.4, "epl-2.0": 0.4, "cddl-1.0": 0.4, "lgpl": 0.45, "lgpl-2.0": 0.45, "lgpl-2.1": 0.45, "lgpl-3.0": 0.45, "cc-by-sa": 0.5, "cc-by-sa-3.0": 0.5, "cc-by-sa-4.0": 0.5,
+    "gpl": 0.6, "gpl-1.0": 0.6, "gpl-2.0": 0.6, "gpl-3.0": 0.6, "eupl-1.2": 0.6, "agpl": 0.7, "agpl-3.0": 0.7,
+    "cc-by-nc": 0.8, "cc-by-nc-4.0": 0.8, "cc-by-nd-4.0": 0.85, "cc-by-nc-sa-4.0": 0.85, "cc-by-nc-nd-4.0": 0.9, "cc-by-nc-sa": 0.85, "cc-by-nd": 0.85, "cc-by-nc-nd": 0.9, "reserved": 1.0, "proprietary": 1.0,
 }
 UNKNOWN = 0.5
+#: Identifiers that an expression may define by itself.
+_OWN = ("licenseref-", "documentref-")
 
 _WORD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _AFTER_TAG = re.compile(rb"([\s\"'`*_>)\]]*[:=]+)?[\s\"'`*<]*")
@@ -200,9 +203,10 @@ def judge(text: str | None) -> dict:
             if separated:
                 labels.update(x for x in _identifiers(expression) if x in RESTRICTION)
             continue
-        if not separated and not all(x in RESTRICTION for x in named):
+        known = [x for x in named if x in RESTRICTION or x.startswith(_OWN)]
+        if not known or not separated and len(known) < len(named):
             continue
-        labels.update(named)
+        labels.update(known)
         values.append(value)
     return {
         "n_words": n, "n_base": len(base), "first_word": min(base) if base else None, "last_word": max(base) if base else None,

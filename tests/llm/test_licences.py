@@ -52,3 +52,10 @@ def test_tags_in_prose_and_in_a_row():
     assert L.judge("the SPDX license identifier is a short string")["labels"] == ""
     r = L.judge("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0-only SPDX-License-Identifier: (ISC")
     assert (r["labels"], r["score"]) == ("gpl-2.0,isc,mit", 0.6)
+
+
+def test_words_that_name_no_licence_give_no_label():
+    assert L.judge("SPDX-License-Identifier: see the file")["labels"] == ""
+    assert L.judge("SPDX-License-Identifier: LicenseRef-Own AND Unheard-1.0")["labels"] == "licenseref-own"
+    r = L.judge("SPDX-License-Identifier: " + "MIT AND " * 60 + "GPL-3.0-only")
+    assert (r["labels"], r["score"]) == ("gpl-3.0,mit", 0.6)
