@@ -1,15 +1,17 @@
 """Token ids in Arrow stream files: fixed-size lists, so any sequence and its mask are a zero-copy view.
 
 A file holds record batches of BATCH sequences with three columns: `ids`, a fixed-size list of SEQUENCE unsigned 16-bit ids;
-`mask`, as many booleans (false for the padding at the file's end); and `docs`, for the documents that begin in the sequence
+`mask`, as many bytes (1, and 0 for the padding at the file's end; bits would have to be unpacked); and `docs`, for the documents that begin in the sequence
 their doc_id, place in it and number of ids. Documents follow each other without gaps in ascending doc_id order,
 within and across files, so the place of any id in the whole corpus is the file's base plus its place.
 
 One shuffle by ranges of doc_id orders the texts; each range is encoded and written by its task, a batch at a time. A file gets its
 name only when it is complete, so a task that runs again or twice leaves the same file. The manifest has a row for each file.
 
+Texts are encoded as the library does by itself: the string of an added token in a text becomes that token.
+
 Defined results: a null or empty text is the end id alone; null doc_ids come first; equal doc_ids go by their text's hash; repeated
-rows are written each; an empty table gives no file and no rows; extra columns are ignored.
+rows are written each; very long texts go through batch by batch; ties (equal doc_id and text) are alike, so their order shows nowhere; an empty table gives no file and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ _MANIFEST = "pid int, name string, n_docs long, n_tokens long, n_sequences long"
 
 
 def schema(sequence: int = SEQUENCE) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), sequence)), ("mask", pa.list_(pa.bool_(), sequence)), ("docs", pa.list_(_DOC))], metadata={"sequence": str(sequence)})
+    return pa.schema([("ids", pa.list_(pa.uint16(), sequence)), ("mask", pa.list_(pa.uint8(), sequence)), ("docs", pa.list_(_DOC))], metadata={"sequence": str(sequence)})
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -74,7 +76,7 @@ class Writer:
         n = -(-self.held // self.sequence)
         values = np.zeros(n * self.sequence, "<u2")
         values[: self.held] = np.concatenate(self.parts)
-        mask = np.arange(n * self.sequence) < self.held
+        mask = (np.arange(n * self.sequence) < self.held).astype(np.uint8)
         row = np.array([d[1] // self.sequence for d in self.docs], np.int64)
         offs = np.searchsorted(row, np.arange(n + 1))
         docs = pa.StructArray.from_arrays([pa.array([d[0] for d in self.docs], pa.int64()), pa.array([d[1] % self.sequence for d in self.docs], pa.int32()), pa.array([d[2] for d in self.docs], pa.int64())], fields=list(_DOC))
@@ -106,12 +108,12 @@ class Reader:
         return cls(pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)))
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of sequence k."""
+        """Ids and mask of sequence k, both views of the file."""
         b = self.file.get_batch(k // self.batch)
-        row = k % self.batch
         size = b.schema.field(0).type.list_size
-        ids = b.column(0).values.to_numpy(zero_copy_only=True)[row * size : (row + 1) * size]
-        return ids, b.column(1)[row].values.to_numpy(zero_copy_only=False)
+        at = slice(k % self.batch * size, (k % self.batch + 1) * size)
+        ids, mask = (b.column(c).values.to_numpy(zero_copy_only=True)[at] for c in (0, 1))
+        return ids, mask
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, place in the file, ids) of every document, a batch in memory at a time."""

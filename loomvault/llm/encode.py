@@ -5,10 +5,14 @@ between two characters that are no white space is such a cut, and so are the bor
 lone line break. Texts are split there, each distinct word is merged once by the library's model and kept for later texts,
 so most of a corpus costs a look-up. What is not certain to be one word of the pattern (other white space, apostrophes,
 letters beyond Latin-1) goes to the library's tokenizer as it stands between two certain cuts.
+
+That holds for the byte-level pre-tokenizer without a normalizer, which `_byte_level` checks. With any other tokenizer file, and for texts that
+hold the string of an added token (which the library cuts out and gives its own id), whole texts go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -39,6 +43,13 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+def _byte_level(file: dict) -> bool:
+    """Does this tokenizer cut texts as `Encoder.cut` and `_WORDS` take it to?"""
+    cuts, model = file["pre_tokenizer"] or {}, file["model"]
+    plain = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space")
+    return bool(plain and not file["normalizer"] and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 16-bit ids (the vocabulary has fewer than 65,536)."""
 
@@ -49,7 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = _byte_level(json.loads(self.tokenizer.to_str()))
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536:
             raise ValueError("the vocabulary does not fit 16-bit ids")
         self.merge = self.tokenizer.model.tokenize
@@ -77,7 +89,10 @@ class Encoder:
             if space:
                 words[0] = " " + words[0]
             return b"".join([self._word(w) for w in words])
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+        return self._library(piece)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -96,6 +111,8 @@ class Encoder:
         return b"".join([self._piece(p) for p in self.cut(text)])
 
     def encode_one(self, text: str) -> bytes:
+        if not self.known or any(t in text for t in self.added):
+            return self._library(text)
         parts = text.split(" ")
         if not parts[0] or parts[0][-1].isspace():
             return self._slow(text)

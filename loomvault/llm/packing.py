@@ -7,12 +7,15 @@ longest keeps it about half a token, and gives the served amounts a closed form.
 distributable: where a document goes follows from the number of tokens before it in its queue alone, and deficits carry over
 windows and partitions without a sequential pass. When a queue runs dry, a new phase shares its part among the rest.
 
+Targets: those handed in, or sources weighted by tokens ** TEMPERATURE, rounded to powers of two (see `by_temperature`), so that small sources
+are seen early and often. Sources of one size class run dry together, so there are as many phases as classes, whatever the number of sources.
+
 Documents are encoded once and written to the shared folder with their place in the partition's queues; only sums by partition and
 source are shuffled, and they are broadcast if they are few, else joined. Every source has its own queue, however many there
 are: the driver sees one row for each, tasks hold one number for each and compute a window's border from all of them.
 
-Defined results: a null or empty text is the end id alone; a null source is a queue of its own; repeated rows are packed each;
-an empty table gives no pieces; extra columns are ignored. Only the last sequence has padding.
+Defined results: a null or empty text is the end id alone; a null source is a queue of its own; repeated rows are packed each; ties
+go by partition and queue; very long texts are cut over as many sequences as they need; an empty table gives no pieces; extra columns are ignored. Only the last sequence has padding.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ WINDOW_SEQUENCES = 64
 #: Queues up to which the table of their numbers is broadcast, and a task keeps all of Windows.KEPT borders.
 QUEUES = 1024
 END_ID = 1
+#: Exponent of a source's tokens in its weight: 1 keeps the corpus' own proportions, 0 gives all size classes the same.
+TEMPERATURE = 0.7
 #: Rows of the (partition, source) table up to which it is broadcast (about 5 MB).
 BROADCAST_ROWS = 50_000
 
@@ -135,6 +140,20 @@ def plan(totals: list[int], weights: list[float] | None = None) -> list[Phase]:
     return phases
 
 
+def by_temperature(totals: list[int], temperature: float) -> list[Phase]:
+    """Phases in which queue k has the weight totals[k] * f, f = 2 ** -((1 - temperature) * bits), bits being those of its total.
+
+    Served at the time x are totals[k] * f * x tokens, all of them from x = 1 / f on, when the queue's whole class is done.
+    """
+    pace = [2.0 ** -((1 - temperature) * n.bit_length()) for n in totals]
+    done, at, phases = [0] * len(totals), 0, []
+    for x in sorted({1 / f for f, n in zip(pace, totals, strict=True) if n}):
+        upto = [n if 1 / f <= x else min(n, int(n * f * x)) for n, f in zip(totals, pace, strict=True)]
+        phases.append(Phase(at, sum(upto) - sum(done), tuple(done), tuple(b - a for a, b in zip(done, upto, strict=True))))
+        at, done = sum(upto), upto
+    return phases
+
+
 class Windows:
     """The windows of a plan. What queues have served by a window's border is kept for the windows asked for last."""
 
@@ -205,7 +224,7 @@ def _cut(phases: list[Phase], sequence: int, window: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, targets: dict[str | None, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """The pieces of all docs (doc_id, text, source): where each lies in its document and its sequence, and its ids (16-bit)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
@@ -214,7 +233,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUE
     sources = sums.groupBy("source").agg(F.sum("n").alias("n"))
     found = sources.orderBy(F.col("source").asc_nulls_first()).collect()  # one row a source
     names, totals = [r["source"] for r in found], [r["n"] for r in found]
-    weights = None if targets is None else [float(targets.get(s, 0)) for s in names]
+    phases = by_temperature(totals, temperature) if targets is None else plan(totals, [float(targets.get(s, 0)) for s in names])
     ids = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "q_source string, queue int")
     if len(names) <= QUEUES:
         ids = F.broadcast(ids)
@@ -225,7 +244,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUE
         bases = F.broadcast(bases)
     located = queued.join(bases, (F.col("pid") == F.col("b_pid")) & F.col("source").eqNullSafe(F.col("b_source")))
     located = located.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("begin"), "n", "ids")
-    return located.mapInArrow(_cut(plan(totals, weights), sequence, sequence * window_sequences), _PIECE)
+    return located.mapInArrow(_cut(phases, sequence, sequence * window_sequences), _PIECE)
 
 
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import json
 import random
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from tokenizers import Tokenizer
 
 from loomvault.llm import arrowfiles, packing
 from loomvault.llm.encode import Encoder, tokenizer_path
@@ -13,8 +15,20 @@ PATH = tokenizer_path()
 
 
 def library(texts):
-    e = Encoder(PATH)
-    return [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    """By a tokenizer that nothing has touched."""
+    return [np.array(x.ids, "<u2").tobytes() for x in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_added_tokens_in_a_text_are_tokens():
+    assert np.frombuffer(Encoder(PATH).encode(["a <|endoftext|> b"])[0], "<u2").tolist() == [64, 220, 50256, 275]
+
+
+def test_unknown_pretokenizers_go_to_the_library(tmp_path):
+    file = json.loads(open(PATH).read())
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    e = Encoder(str(tmp_path / "t.json"))
+    assert not e.known and e.encode(["one two"])[0] == np.array(Tokenizer.from_file(str(tmp_path / "t.json")).encode("one two", add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def test_encoder_matches_the_library():
@@ -41,8 +55,17 @@ def test_files_round_trip(spark, docs, rows, empty):
     order = [d for _, d, _, _ in got]
     assert order == sorted(order, key=lambda d: -1 if d is None else d)
     reader = arrowfiles.Reader.open(f"{folder}/{manifest[0]['name']}")
-    ids, mask = reader.sequence(0)
-    assert len(ids) == len(mask) == arrowfiles.SEQUENCE
+    stream = []
+    for r in manifest:
+        reader = arrowfiles.Reader.open(f"{folder}/{r['name']}")
+        for k in range(r["n_sequences"]):
+            ids, mask = reader.sequence(k)
+            assert len(ids) == len(mask) == arrowfiles.SEQUENCE and not ids.flags.owndata and not mask.flags.owndata
+            stream.append(ids[mask.astype(bool)])
+    by_place = {start: (n, crc) for start, _, n, crc in got}
+    stream = np.concatenate(stream).astype("<u4")
+    assert len(stream) == at
+    assert all(zlib.crc32(stream[start : start + n].tobytes()) == crc for start, (n, crc) in by_place.items())
     assert arrowfiles.write(empty, new_path(spark, "none"), PATH) == [] and arrowfiles.read(spark, folder, []).count() == 0
 
 
@@ -135,3 +158,29 @@ def test_shares_are_exact_for_many_queues_and_long_streams():
     for x in (big.length // 3, big.length - 12345):
         assert max(abs(d - Fraction(m * x, big.length)) for d, m in zip(big.upto(x).tolist(), big.served, strict=True)) <= 1
         assert sum(big.upto(x).tolist()) == x
+
+
+def test_windows_are_those_of_a_deficit_round_robin():
+    """Window by window, a sequential round-robin: each queue gets its share of the window and what it is owed from those before."""
+    for trial in range(30):
+        r = random.Random(trial)
+        totals = [r.randint(1, 900) for _ in range(r.randint(2, 6))]
+        for phase in packing.by_temperature(totals, 0.5) if trial % 2 else packing.plan(totals, [r.choice([1, 2, 5]) for _ in totals]):
+            owed = [Fraction(0)] * len(totals)
+            for x in range(0, phase.length, 64):
+                size = min(64, phase.length - x)
+                served = phase.upto(x + size) - phase.upto(x)
+                for k, m in enumerate(phase.served):
+                    owed[k] += Fraction(m * size, phase.length)
+                    assert abs(owed[k] - int(served[k])) < 1 + Fraction(1, 2)  # never serves far ahead of what is owed, nor leaves more
+                    owed[k] -= int(served[k])
+
+
+def test_temperature_lets_classes_run_dry_together():
+    totals = [1000, 1001, 9, 8, 0, 70000]
+    phases = packing.by_temperature(totals, 0.5)
+    assert len(phases) == 3 and [sum(p.served[k] for p in phases) for k in range(6)] == totals
+    shares = np.array(phases[0].served) / phases[0].length
+    assert shares[2] > 9 / sum(totals) * 2 and phases[1].served[2] == phases[1].served[3] == 0
+    assert [p.served for p in packing.by_temperature(totals, 1.0)] == [tuple(totals)]
+    assert packing.by_temperature([], 0.5) == [] == packing.by_temperature([0], 0.5)
