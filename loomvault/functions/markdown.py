@@ -57,15 +57,17 @@ def heading(chunk: Column) -> Column:
 def heading_paths(headings: Column) -> Column:
     """For each heading of a note in order, the texts of those above it and its own; empty where there is none.
 
-    A heading closes all of its level or deeper. The open ones always rise in level, so closing is a filter.
+    A heading closes all of its level or deeper. The open ones always rise in level, so closing is a filter. One fold carries the open
+    headings and the paths so far.
     """
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    start = F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("open"), F.array().cast("array<array<string>>").alias("paths"))
 
-    def opened(i: Column) -> Column:
-        return F.aggregate(F.slice(headings, F.lit(1), i), start, lambda open_, h: F.when(h.isNull(), open_).otherwise(F.concat(F.filter(open_, lambda x: x["level"] < h["level"]), F.array(h))))
+    def step(acc: Column, h: Column) -> Column:
+        now = F.when(h.isNull(), acc["open"]).otherwise(F.concat(F.filter(acc["open"], lambda x: x["level"] < h["level"]), F.array(h)))
+        path = lambda open_: F.when(h.isNull(), F.array().cast("array<string>")).otherwise(F.transform(open_, lambda x: x["text"]))
+        return F.get(F.transform(F.array(now), lambda o: F.struct(o.alias("open"), F.concat(acc["paths"], F.array(path(o))).alias("paths"))), F.lit(0))
 
-    path = lambda i: F.when(F.element_at(headings, i).isNull(), F.array().cast("array<string>")).otherwise(F.transform(opened(i), lambda x: x["text"]))
-    return F.when(F.size(headings) > 0, F.transform(F.sequence(F.lit(1), F.size(headings)), path)).otherwise(F.array().cast("array<array<string>>"))
+    return F.aggregate(headings, start, step, lambda acc: acc["paths"])
 
 
 def _null(x: Column) -> Column:

@@ -13,7 +13,7 @@ def tag_counts(sections: DataFrame, prefix: str | None = None) -> DataFrame:
     tags = sections.select("note_path", F.explode("tags").alias("tag"))
     if prefix:
         tags = tags.filter(F.col("tag").startswith(prefix))
-    return tags.groupBy("tag").agg(F.count_distinct("note_path").alias("notes"))
+    return tags.groupBy("tag").agg(F.count_distinct("note_path").alias("notes")).orderBy("tag")
 
 
 def tag_children(counts: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def tag_children(counts: DataFrame) -> DataFrame:
 
 def folder_counts(notes: DataFrame) -> DataFrame:
     """folder and the number of notes directly in it; notes at the root are in none."""
-    return notes.filter(F.col("folder").isNotNull()).groupBy("folder").agg(F.count(F.lit(1)).alias("notes"))
+    return notes.filter(F.col("folder").isNotNull()).groupBy("folder").agg(F.count(F.lit(1)).alias("notes")).orderBy("folder")
 
 
 def info(sections: DataFrame, folder: str = "") -> DataFrame:
@@ -34,6 +34,14 @@ def info(sections: DataFrame, folder: str = "") -> DataFrame:
     return below.agg(F.count_distinct("note_path").alias("note_count"), F.count_distinct("tag").alias("tag_count"))
 
 
+def notes_indexed(sections: DataFrame, path: str | None = None) -> DataFrame:
+    """The indexed notes, or the one at path (no row if it is not indexed): sections, tags, links and tokens of each."""
+    some = sections if path is None else sections.filter(F.col("note_path") == path)
+    parts = F.array_sort(F.collect_list(F.struct("ordinal", "section_path", "links"))).alias("parts")
+    out = some.groupBy("note_path").agg(parts, F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.sum("token_count").alias("token_count"))
+    return out.select("note_path", F.col("parts.section_path").alias("sections"), "tags", F.flatten("parts.links").alias("links"), "token_count")
+
+
 def note_list(sections: DataFrame, folder: str = "", recursive: bool = True) -> DataFrame:
     """Paths of the indexed notes of a folder."""
     test = paths.is_under_folder if recursive else paths.is_in_folder

@@ -19,8 +19,11 @@ def last_events(events: DataFrame, key: str = "path", order: tuple[str, ...] = (
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("e")).select(key, "e.*")
 
 
-def apply(state: DataFrame, events: DataFrame, key: str = "path") -> DataFrame:
-    """state with the last event of each key: deletions gone, others with the event's columns. Applying it twice changes nothing."""
-    last = events
+def apply(state: DataFrame, events: DataFrame, key: str = "path", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """state with the last event of each key: deletions gone, others with the event's columns. Applying it twice changes nothing.
+
+    Events without the columns of `order` (a difference of two listings) have one event for each key.
+    """
+    last = last_events(events, key, order) if set(order) <= set(events.columns) else events
     kept = state.join(last.select(key), key, "left_anti")
     return kept.unionByName(last.filter("op <> 'deleted'").select(*state.columns))

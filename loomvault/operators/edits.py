@@ -61,6 +61,7 @@ def patch_map(custom: Column, set_: Column, remove: list[str]) -> Column:
     return F.map_concat(kept, set_)
 
 
+# Fixed value: what a link to a stem looks like.
 def link_pattern(stem: str) -> str:
     """Wikilinks to a stem, with any folders before it; group 1 is what follows the stem."""
     return r"\[\[(?:[^\]\[|#]*/)?" + re.escape(stem) + r"(\]\]|#|\|)"
@@ -177,8 +178,24 @@ class Vault:
         self.tracked[to] = self.token(to)
         return self.tracked[to]
 
-    def rename(self, path: str, to: str, token: str | None = None, backlinks: Iterable[str] = ()) -> int:
-        """Move a note and rewrite the links of the given notes to it; how many were rewritten."""
+    def linking(self, stem: str) -> list[str]:
+        """Notes with a wikilink to a stem. For a vault of many notes, take `graph.backlinks` of the stored index instead."""
+        pattern, found = re.compile(link_pattern(stem)), []
+        for folder, _, names in os.walk(self.root):
+            for name in names:
+                path = os.path.relpath(os.path.join(folder, name), self.root).replace(os.sep, "/")
+                try:
+                    if name.endswith(".md") and pattern.search(self.read(path)):
+                        found.append(path)
+                except (OSError, UnicodeDecodeError):
+                    continue
+        return sorted(found)
+
+    def rename(self, path: str, to: str, token: str | None = None, backlinks: Iterable[str] | None = None, update_links: bool = True) -> int:
+        """Move a note and rewrite the links to it; how many notes were rewritten.
+
+        backlinks: the notes that may link to it; without them the vault is searched. update_links: False leaves all links.
+        """
         source, target = self._file(path, write=True), self._file(to, write=True)
         if not os.path.exists(source):
             raise FileNotFoundError(path)
@@ -189,8 +206,10 @@ class Vault:
         self.tracked.pop(path, None)
         self.tracked[to] = self.token(to)
         old, new = VaultPath.of(path).stem, VaultPath.of(to).stem
-        if old == new:
+        if old == new or not update_links:
             return 0
+        if backlinks is None:
+            backlinks = self.linking(old)
         pattern, done = re.compile(link_pattern(old)), 0
         for p in backlinks:
             try:

@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
-import json
+import uuid
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
+from ..functions import text
+from ..sources import scratch
+
+VERSION = 2
 TABLES = ("sections", "postings", "corpus", "revisions")
 
 
+def _counted(tokens: Column) -> Column:
+    """Each distinct token with its number, from the sorted array: no shuffle, since a section is one row."""
+
+    def count(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(words, i) != F.element_at(words, F.greatest(i - 1, F.lit(1)))))
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(at, lambda p, k: F.struct(F.element_at(words, p).alias("term"), (F.coalesce(F.get(at, k + 1), n + 1) - p).alias("tf")))), F.lit(0))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(F.array_sort(tokens)), count), F.lit(0))).otherwise(none)
+
+
 def postings(sections: DataFrame) -> DataFrame:
     """term, section_path, note_path, tf and the section's length dl."""
-    words = sections.select("section_path", "note_path", F.col("token_count").alias("dl"), F.explode("tokens").alias("term"))
-    return words.groupBy("term", "section_path").agg(F.first("note_path").alias("note_path"), F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+    words = sections.select("section_path", "note_path", F.col("token_count").alias("dl"), F.explode(_counted(F.col("tokens"))).alias("t"))
+    return words.select("t.term", "section_path", "note_path", F.col("t.tf").cast("int").alias("tf"), "dl")
+
+
+def indexed(sections: DataFrame) -> DataFrame:
+    """sections with the n-grams of their tags, as the tag ranking compares them."""
+    return sections.withColumn("tag_grams", F.array_distinct(text.ngrams(F.array_join("tags", " "))))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -23,7 +44,7 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 
 def corpus(sections: DataFrame) -> DataFrame:
     """One row: n sections, their total length, notes, and when."""
-    return sections.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_len"), F.count_distinct("note_path").alias("note_count"))
+    return sections.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_len"), F.count_distinct("note_path").alias("note_count"), F.current_timestamp().alias("last_indexed"))
 
 
 def upsert(sections: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -33,54 +54,72 @@ def upsert(sections: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataF
 
 
 class Store:
-    """Index tables below a folder. A new state is written beside the old one and then becomes current by a rename of a small file."""
+    """Index tables below a folder, as a base and the changes since.
+
+    A change holds the rows of changed notes, and the notes whose earlier rows are dead, so it costs what changed and not what is
+    stored; `compact` folds all into a new base. A numbered file names the parts of every table: a reader sees a state whole or not at
+    all, and a crash leaves the state before.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _meta(self) -> dict:
-        fs, p = self._fs(f"{self.root}/current.json")
-        if not fs.exists(p):
-            return {}
-        text = "".join(r["value"] for r in self.spark.read.text(f"{self.root}/current.json").collect())
-        try:
-            return json.loads(text)
-        except ValueError:
-            return {}
-
-    def _set_meta(self, meta: dict) -> None:
-        fs, draft = self._fs(f"{self.root}/draft.json")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(meta).encode()))
-        out.close()
-        _, final = self._fs(f"{self.root}/current.json")
-        fs.delete(final, False)
-        fs.rename(draft, final)
+    def _write(self, df: DataFrame, name: str, n: int) -> str:
+        path = f"{name}-{n}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.root}/{path}")
+        return path
 
     def save(self, **tables: DataFrame) -> None:
         """Write new states of the named tables; the others keep theirs."""
-        meta = self._meta()
+        n, meta = scratch.latest(self.spark, self.root)
         for name, df in tables.items():
             if name not in TABLES:
                 raise ValueError(f"no table is called {name}")
-            n = meta.get(name, {}).get("state", -1) + 1
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}-{n}")
-            meta[name] = {"state": n, "version": VERSION}
-        self._set_meta(meta)
+            meta[name] = {"version": VERSION, "parts": [[self._write(df, name, n + 1), None]]}
+        scratch.publish(self.spark, self.root, n + 1, meta)
 
     def load(self, name: str) -> DataFrame | None:
         """The current state; None where it is missing or of another version, so that it is built anew."""
-        meta = self._meta().get(name)
+        meta = scratch.latest(self.spark, self.root)[1].get(name)
         if not meta or meta.get("version") != VERSION:
             return None
-        return self.spark.read.parquet(f"{self.root}/{name}-{meta['state']}")
+        out = None
+        for part, gone in meta["parts"]:
+            rows = self.spark.read.parquet(f"{self.root}/{part}")
+            if out is not None and gone:
+                out = out.join(self.spark.read.parquet(f"{self.root}/{gone}"), "note_path", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _by_term(self, sections: DataFrame) -> DataFrame:
+        return postings(sections).repartitionByRange("term").sortWithinPartitions("term")
 
     def build(self, sections: DataFrame) -> None:
         """Sections, and postings and statistics of them."""
         self.save(sections=sections)
         stored = self.load("sections")
-        self.save(postings=postings(stored).repartitionByRange("term").sortWithinPartitions("term"), corpus=corpus(stored))
+        self.save(postings=self._by_term(stored), corpus=corpus(stored))
+
+    def change(self, changed: DataFrame, deleted: DataFrame) -> None:
+        """Replace all sections of the changed notes, and drop those of deleted ones (note_path): sections, postings and statistics.
+
+        Statistics are counted down by what goes and up by what comes. A note that is not stored goes without effect, so a
+        change may be applied again.
+        """
+        n, meta = scratch.latest(self.spark, self.root)
+        before = self.load("sections")
+        at = self._write(changed, "sections", n + 1)
+        fresh = self.spark.read.schema(changed.schema).parquet(f"{self.root}/{at}")
+        gone_at = self._write(fresh.select("note_path").union(deleted.select("note_path")).distinct(), "gone", n + 1)
+        lost = corpus(before.join(self.spark.read.parquet(f"{self.root}/{gone_at}"), "note_path", "left_semi")).first()
+        more, old = corpus(fresh).first(), self.load("corpus").first()
+        row = tuple(max(0, old[c] - lost[c]) + more[c] for c in ("n", "total_len", "note_count"))
+        meta["sections"]["parts"].append([at, gone_at])
+        meta["postings"]["parts"].append([self._write(self._by_term(fresh), "postings", n + 1), gone_at])
+        counts = self.spark.createDataFrame([(*row, datetime.now(UTC))], "n long, total_len long, note_count long, last_indexed timestamp")
+        meta["corpus"]["parts"] = [[self._write(counts, "corpus", n + 1), None]]
+        scratch.publish(self.spark, self.root, n + 1, meta)
+
+    def compact(self) -> None:
+        """A new base for all that changes have made."""
+        self.save(sections=self.load("sections"), postings=self.load("postings").repartitionByRange("term").sortWithinPartitions("term"))

@@ -90,10 +90,11 @@ def bm25_postings(postings: DataFrame, corpus: DataFrame, query: str) -> DataFra
 def tag_jaccard(found: DataFrame, query: str, n: int = text.NGRAM, threshold: float = 0.0) -> DataFrame:
     """found with the Jaccard similarity of the query's n-grams and those of the tags; sections without tags have none."""
     grams = sorted(set(text.ngrams_of(query, n)))
-    have = F.array_distinct(text.ngrams(F.array_join("tags", " "), n))
-    ask = F.array(*map(F.lit, grams))
-    score = F.size(F.array_intersect(have, ask)) / F.size(F.array_union(have, ask))
-    return found.filter(F.size("tags") > 0).withColumn("score", score).filter(F.col("score") > threshold)
+    stored = n == text.NGRAM and "tag_grams" in found.columns
+    have = F.col("tag_grams") if stored else F.array_distinct(text.ngrams(F.array_join("tags", " "), n))
+    score = lambda h: F.get(F.transform(F.array(F.size(F.array_intersect(h, F.array(*map(F.lit, grams))))), lambda both: both / (F.size(h) + len(grams) - both)), F.lit(0))
+    once = F.get(F.transform(F.array(have), score), F.lit(0))  # each of the two sizes is computed once
+    return found.filter(F.size("tags") > 0).withColumn("score", once).filter(F.col("score") > threshold)
 
 
 def _better(score: Column, key: Column, than_score: Column, than_key: Column) -> Column:
@@ -140,8 +141,11 @@ def within_budget(hits: DataFrame, tokens: int | None) -> DataFrame:
     return hits.withColumn("_total", total).filter(F.col("_total") <= tokens).drop("_total")
 
 
-def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0) -> DataFrame:
-    """Ranked sections: filters, both rankings, fusion and limit, then the token budget, then the threshold."""
+def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0, postings: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """Ranked sections: filters, both rankings, fusion and limit, then the token budget, then the threshold.
+
+    postings and corpus: those of a stored index, of which only the query's terms are read; without them sections are scanned.
+    """
     q = parse(query) if isinstance(query, str) else query
     spark = sections.sparkSession
     found = candidates(sections, q.tags, q.folders)
@@ -151,7 +155,13 @@ def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, toke
         first = found.orderBy("section_path").limit(limit)
         ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("section_path"))).withColumn("score", F.lit(1.0))
         return within_budget(ranked, token_limit)
-    best = rrf([bm25(found, sections, q.text), tag_jaccard(found, q.text)], limit=limit)
+    if postings is None:
+        words = bm25(found, sections, q.text)
+    else:
+        words = bm25_postings(postings, corpus, q.text)
+        if q.tags or q.folders:
+            words = words.join(found.select("section_path"), "section_path", "left_semi")
+    best = rrf([words, tag_jaccard(found, q.text)], limit=limit)
     ranks = spark.createDataFrame([(p, s, i + 1) for i, (p, s) in enumerate(best)], "section_path string, score double, rank int")
     ranked = found.join(F.broadcast(ranks), "section_path")
     return within_budget(ranked, token_limit).filter(F.col("score") >= threshold)
@@ -159,21 +169,22 @@ def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, toke
 
 def by_note(ranked: DataFrame) -> DataFrame:
     """Hits grouped by note: sections by rank, tags, links, tokens and the best score; notes with the best score come first."""
-    section = F.struct("rank", "section_path", "heading_path", "tags", "token_count", "score")
+    section = F.struct("rank", "section_path", "heading_path", "tags", "token_count", "score", "links")
     return (
         ranked.groupBy("note_path")
         .agg(
             F.array_sort(F.collect_list(section)).alias("sections"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
-            F.flatten(F.collect_list("links")).alias("links"), F.sum("token_count").alias("token_count"), F.max("score").alias("max_score"),
+            F.sum("token_count").alias("token_count"), F.max("score").alias("max_score"),
         )
+        .withColumn("links", F.flatten("sections.links"))
         .orderBy(F.desc("max_score"), "note_path")
     )
 
 
-def search(sections: DataFrame, query: str, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0) -> DataFrame:
+def search(sections: DataFrame, query: str, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0, postings: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Notes with their hits. Without text in the query, scores are null."""
     q = parse(query)
-    ranked = hits(sections, q, limit, token_limit, threshold)
+    ranked = hits(sections, q, limit, token_limit, threshold, postings, corpus)
     if not q.text.strip():
         ranked = ranked.withColumn("score", F.lit(None).cast("double"))
     return by_note(ranked)

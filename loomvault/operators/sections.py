@@ -60,9 +60,11 @@ def sections(files: DataFrame, yaml: bool = False, tokenizer: Callable[[Column],
     Of sections with the same path in a note, the last stays. Frontmatter tags belong to every section and come first.
     """
     p = parsed(files, yaml)
-    rows = p.select("path", "fm", F.posexplode(F.arrays_zip("chunks", "headings", "heading_paths")).alias("ordinal", "s"), "heading_paths")
-    later = F.expr("exists(slice(heading_paths, ordinal + 2, size(heading_paths)), h -> array_join(h, '/') = array_join(s.heading_paths, '/'))")
-    rows = rows.filter(~later)
+    joined = F.transform("heading_paths", lambda h: F.array_join(h, "/"))
+    # the first from the end is the last of its path; found in the note's row, so no row carries the whole note
+    last = F.get(F.transform(F.array(joined), lambda k: F.get(F.transform(F.array(F.reverse(k)), lambda r: F.transform(k, lambda x, i: F.array_position(r, x) == F.size(k) - i)), F.lit(0))), F.lit(0))
+    p = p.select("path", "fm", "chunks", "headings", "heading_paths", last.alias("last"))
+    rows = p.select("path", "fm", F.posexplode(F.arrays_zip("chunks", "headings", "heading_paths", "last")).alias("ordinal", "s")).filter("s.last")
     chunk = F.col("s.chunks")
     out = rows.select(
         F.col("path").alias("note_path"), paths.parent(F.col("path")).alias("folder"), "ordinal",
@@ -74,6 +76,38 @@ def sections(files: DataFrame, yaml: bool = False, tokenizer: Callable[[Column],
     return out.withColumn("token_count", F.size("tokens")).filter(~F.col("section_path").rlike(r"(^|[/#])\.\.(/|$)"))
 
 
+class SectionError(LookupError):
+    """A note without the section asked for, or no such note; the message lists the sections that there are."""
+
+
+def note_rows(sections_: DataFrame, note: str) -> DataFrame:
+    """The sections of one note, in order."""
+    return sections_.filter(F.col("note_path") == note).orderBy("ordinal")
+
+
+def section_resource(sections_: DataFrame, note: str, heading_path: list[str]) -> dict:
+    """One section for a reader: its path, text, sorted tags, links and word count."""
+    found = find_section(sections_, note, heading_path).collect()
+    if not found:
+        known = [r["section_path"] for r in note_rows(sections_, note).select("section_path").collect()]
+        raise SectionError(f"{note} has no section {'/'.join(heading_path)!r}; available: {', '.join(known) or 'none, the note is not indexed'}")
+    r = found[0]
+    return {"section_path": r["section_path"], "heading_path": r["heading_path"], "content": r["content"], "tags": sorted(set(r["tags"])), "links": r["links"], "word_count": r["word_count"]}
+
+
+def note_resource(files: DataFrame, note: str) -> dict:
+    """One note for a reader: title, sorted tags, headings, links, figures and text; an error if there is none."""
+    found = notes(files.filter(F.col("path") == note)).collect()
+    if not found:
+        raise SectionError(f"there is no note {note}")
+    return found[0].asDict()
+
+
+def serialise(frontmatter: str | None, chunks: list[str]) -> str:
+    """A note's text from its frontmatter block and the texts of its sections in order."""
+    return (f"---\n{frontmatter}\n---\n" if frontmatter is not None else "") + "".join(chunks)
+
+
 def find_section(sections_: DataFrame, note: str, heading_path: list[str]) -> DataFrame:
     """The first section of a note with exactly these headings."""
     want = F.array(*map(F.lit, heading_path)) if heading_path else F.array().cast("array<string>")

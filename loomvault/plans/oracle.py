@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..sources.projection import projection_sql
 
+# The patterns of the note format.
 _FM = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?"
 _H = r"(?m)^(#{1,6})\s+(.+?)(?:\s+#+)?$"
 _WIKI = r"(!?)\[\[([^#|^\]\n]*)(?:#([^^|#\]\n]*))?(?:#?\^([^|\]\n]*))?(?:\|([^\]\n]*))?\]\]"

@@ -12,6 +12,7 @@ from ..functions import data_uri, paths, text
 from ..functions import markdown as md
 from ..operators import catalog, changes, edits, graph, index, render, search, sections
 from ..operators.query import parse
+from ..sources import scratch
 from ..sources.projection import vault
 from .oracle import TAGGED, VAULT, bm25_cte, jaccard_cte, with_vault
 
@@ -40,6 +41,35 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.sections(vault(spark, sf_dir))
 
 
+_STORES: dict[tuple, index.Store] = {}
+
+
+def build_index(spark: SparkSession, sf_dir: str) -> index.Store:
+    """The vault's index, written anew to the shared folder."""
+    store = index.Store(spark, scratch.new_path(spark, "index"))
+    store.build(index.indexed(_sections(spark, sf_dir)))
+    return store
+
+
+def stored(spark: SparkSession, sf_dir: str) -> index.Store:
+    """The vault's index: built by the session's first query over these files, read by all others."""
+    fs, path = scratch.file_system(spark, f"{sf_dir}/documents.parquet")
+    at = fs.getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, at.getModificationTime(), at.getLen())
+    if key not in _STORES or _STORES[key].load("corpus") is None:
+        _STORES[key] = build_index(spark, sf_dir)
+    return _STORES[key]
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).load("sections")
+
+
+def _hits(spark: SparkSession, sf_dir: str, raw: str, **options) -> DataFrame:
+    s = stored(spark, sf_dir)
+    return search.hits(s.load("sections"), raw, postings=s.load("postings"), corpus=s.load("corpus"), **options)
+
+
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.notes(vault(spark, sf_dir))
 
@@ -168,7 +198,7 @@ def document_frequency(spark, sf_dir):
 
 @query(with_vault("SELECT count(*) AS n, sum(dl)::BIGINT AS total_len, count(DISTINCT note_path) AS note_count FROM lens"))
 def corpus_stats(spark, sf_dir):
-    return index.corpus(_sections(spark, sf_dir))
+    return index.corpus(_sections(spark, sf_dir)).drop("last_indexed")
 
 
 @query(with_vault("SELECT section_path, dl::INT AS token_count FROM lens"))
@@ -187,27 +217,27 @@ def trigrams(spark, sf_dir):
 
 @query(with_vault("SELECT section_path, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, section_path LIMIT 20", bm25_cte(_terms(WORDS))))
 def bm25_topk(spark, sf_dir):
-    s = _sections(spark, sf_dir)
+    s = _indexed(spark, sf_dir)
     best = search.bm25(s, s, WORDS).orderBy(F.desc("score"), "section_path").limit(20)
     return best.select("section_path", F.round("score", 6).alias("score"))
 
 
 @query(with_vault("SELECT section_path, round(score, 6) AS score FROM bm", bm25_cte(_terms(HYBRID), _IN_HYBRID.replace("tags", "l.tags").replace("note_path", "l.note_path"))))
 def bm25_filtered(spark, sf_dir):
-    s, q = _sections(spark, sf_dir), parse(HYBRID)
+    s, q = _indexed(spark, sf_dir), parse(HYBRID)
     return search.bm25(search.candidates(s, q.tags, q.folders), s, q.text).select("section_path", F.round("score", 6).alias("score"))
 
 
 @query(with_vault("SELECT section_path, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, section_path LIMIT 20", bm25_cte(_terms(WORDS))))
 def bm25_postings_topk(spark, sf_dir):
-    s = _sections(spark, sf_dir)
-    best = search.bm25_postings(index.postings(s), index.corpus(s), WORDS).orderBy(F.desc("score"), "section_path").limit(20)
+    s = stored(spark, sf_dir)
+    best = search.bm25_postings(s.load("postings"), s.load("corpus"), WORDS).orderBy(F.desc("score"), "section_path").limit(20)
     return best.select("section_path", F.round("score", 6).alias("score"))
 
 
 @query(with_vault("SELECT section_path, round(score, 6) AS score FROM jq", TAGGED, jaccard_cte(_grams(HYBRID))))
 def tag_jaccard(spark, sf_dir):
-    return search.tag_jaccard(_sections(spark, sf_dir), parse(HYBRID).text).select("section_path", F.round("score", 6).alias("score"))
+    return search.tag_jaccard(_indexed(spark, sf_dir), parse(HYBRID).text).select("section_path", F.round("score", 6).alias("score"))
 
 
 def _fused(limit: int) -> tuple[str, ...]:
@@ -224,22 +254,23 @@ def _fused(limit: int) -> tuple[str, ...]:
 
 @query(with_vault("SELECT section_path, round(score, 6) AS score, rank::INT AS rank FROM top", *_fused(20)))
 def rrf_hybrid(spark, sf_dir):
-    return search.hits(_sections(spark, sf_dir), HYBRID).select("section_path", F.round("score", 6).alias("score"), "rank")
+    return _hits(spark, sf_dir, HYBRID).select("section_path", F.round("score", 6).alias("score"), "rank")
 
 
 @query(with_vault("SELECT section_path, round(score, 6) AS score, rank::INT AS rank FROM top WHERE score >= 0.025e0", *_fused(20)))
 def rrf_threshold(spark, sf_dir):
-    return search.hits(_sections(spark, sf_dir), HYBRID, threshold=0.025).select("section_path", F.round("score", 6).alias("score"), "rank")
+    return _hits(spark, sf_dir, HYBRID, threshold=0.025).select("section_path", F.round("score", 6).alias("score"), "rank")
 
 
 @query(with_vault("SELECT section_path, dl::INT AS token_count, rank::INT AS rank FROM spent WHERE total <= 2500", *_fused(20)))
 def token_budget(spark, sf_dir):
-    return search.hits(_sections(spark, sf_dir), HYBRID, token_limit=2500).select("section_path", "token_count", "rank")
+    return _hits(spark, sf_dir, HYBRID, token_limit=2500).select("section_path", "token_count", "rank")
 
 
 @query(with_vault("SELECT note_path, string_agg(section_path, ' ' ORDER BY rank) AS sections, sum(dl)::BIGINT AS token_count, round(max(score), 6) AS max_score FROM top GROUP BY note_path", *_fused(20)))
 def notes_grouped(spark, sf_dir):
-    return search.search(_sections(spark, sf_dir), HYBRID).select("note_path", F.array_join("sections.section_path", " ").alias("sections"), "token_count", F.round("max_score", 6).alias("max_score"))
+    s = stored(spark, sf_dir)
+    return search.search(s.load("sections"), HYBRID, postings=s.load("postings"), corpus=s.load("corpus")).select("note_path", F.array_join("sections.section_path", " ").alias("sections"), "token_count", F.round("max_score", 6).alias("max_score"))
 
 
 _FILTERED = "(note_path LIKE 'src1/%' OR note_path LIKE 'src2/%') AND list_contains(tags, 'bucket/b2')"
@@ -247,27 +278,27 @@ _FILTERED = "(note_path LIKE 'src1/%' OR note_path LIKE 'src2/%') AND list_conta
 
 @query(with_vault(f"SELECT section_path, dl::INT AS token_count FROM lens WHERE {_FILTERED} ORDER BY section_path LIMIT 20"))
 def filter_only_search(spark, sf_dir):
-    return search.hits(_sections(spark, sf_dir), FILTERS).select("section_path", "token_count")
+    return _hits(spark, sf_dir, FILTERS).select("section_path", "token_count")
 
 
 @query(with_vault("SELECT section_path FROM sections WHERE len(list_filter(tags, lambda t: t = 'bucket' OR starts_with(t, 'bucket/'))) > 0"))
 def tag_expand(spark, sf_dir):
-    return search.candidates(_sections(spark, sf_dir), tags=["bucket"]).select("section_path")
+    return search.candidates(_indexed(spark, sf_dir), tags=["bucket"]).select("section_path")
 
 
 @query(with_vault("SELECT section_path FROM sections WHERE NOT list_contains(tags, 'lang/en') AND NOT list_contains(tags, 'todo')"))
 def tag_exclude(spark, sf_dir):
-    return search.candidates(_sections(spark, sf_dir), exclude=["lang/en", "todo"]).select("section_path")
+    return search.candidates(_indexed(spark, sf_dir), exclude=["lang/en", "todo"]).select("section_path")
 
 
 @query(with_vault("SELECT DISTINCT note_path FROM sections WHERE note_path LIKE 'src1/%'"))
 def folder_recursive(spark, sf_dir):
-    return catalog.note_list(_sections(spark, sf_dir), "src1/")
+    return catalog.note_list(_indexed(spark, sf_dir), "src1/")
 
 
 @query(with_vault("SELECT DISTINCT note_path FROM sections WHERE folder = 'src1/de/'"))
 def folder_direct(spark, sf_dir):
-    return catalog.note_list(_sections(spark, sf_dir), "src1/de/", recursive=False)
+    return catalog.note_list(_indexed(spark, sf_dir), "src1/de/", recursive=False)
 
 
 # ---- catalogue and graph -------------------------------------------------------------------------------------------
@@ -277,17 +308,17 @@ _COUNTS = "counts AS (SELECT tag, count(DISTINCT note_path) AS notes FROM (SELEC
 
 @query(with_vault("SELECT tag, notes FROM counts", _COUNTS))
 def tag_counts(spark, sf_dir):
-    return catalog.tag_counts(_sections(spark, sf_dir))
+    return catalog.tag_counts(_indexed(spark, sf_dir))
 
 
 @query(with_vault("SELECT tag, notes FROM counts WHERE starts_with(tag, 'source/src1')", _COUNTS))
 def tag_prefix(spark, sf_dir):
-    return catalog.tag_counts(_sections(spark, sf_dir), "source/src1")
+    return catalog.tag_counts(_indexed(spark, sf_dir), "source/src1")
 
 
 @query(with_vault("SELECT c.tag, c.notes, coalesce((SELECT string_agg(d.tag, ' ' ORDER BY d.tag) FROM counts d WHERE starts_with(d.tag, c.tag || '/') AND position('/' IN substr(d.tag, length(c.tag) + 2)) = 0), '') AS children FROM counts c", _COUNTS))
 def tag_children(spark, sf_dir):
-    return catalog.tag_children(catalog.tag_counts(_sections(spark, sf_dir))).select("tag", "notes", F.array_join("children", " ").alias("children"))
+    return catalog.tag_children(catalog.tag_counts(_indexed(spark, sf_dir))).select("tag", "notes", F.array_join("children", " ").alias("children"))
 
 
 @query(f"WITH {VAULT} f AS (SELECT regexp_extract(path, '^(.*/)[^/]+$', 1) AS folder FROM vault) SELECT folder, count(*) AS notes FROM f GROUP BY folder")
@@ -297,17 +328,17 @@ def folder_counts(spark, sf_dir):
 
 @query(with_vault("SELECT count(DISTINCT note_path) AS note_count, count(DISTINCT tag) AS tag_count FROM (SELECT note_path, unnest(tags) AS tag FROM sections)"))
 def vault_info(spark, sf_dir):
-    return catalog.info(_sections(spark, sf_dir))
+    return catalog.info(_indexed(spark, sf_dir))
 
 
 @query(with_vault("SELECT count(DISTINCT note_path) AS note_count, count(DISTINCT tag) AS tag_count FROM (SELECT note_path, unnest(tags) AS tag FROM sections WHERE note_path LIKE 'src3/%')"))
 def folder_info(spark, sf_dir):
-    return catalog.info(_sections(spark, sf_dir), "src3/")
+    return catalog.info(_indexed(spark, sf_dir), "src3/")
 
 
 @query(with_vault("SELECT v.path, w.source FROM (SELECT DISTINCT note_path AS source, target FROM wiki) w JOIN vault v ON w.target = regexp_extract(v.path, '([^/]+)\\.md$', 1)"))
 def backlinks(spark, sf_dir):
-    return graph.backlinks(graph.edges(_sections(spark, sf_dir)), vault(spark, sf_dir).select("path"))
+    return graph.backlinks(graph.edges(_indexed(spark, sf_dir)), vault(spark, sf_dir).select("path"))
 
 
 _FORWARD = "fwd AS (SELECT DISTINCT note_path, CASE WHEN target LIKE '%.md' THEN target ELSE target || '.md' END AS target FROM wiki UNION SELECT DISTINCT note_path, target FROM md WHERE NOT starts_with(target, 'http'))"
@@ -315,36 +346,37 @@ _FORWARD = "fwd AS (SELECT DISTINCT note_path, CASE WHEN target LIKE '%.md' THEN
 
 @query(with_vault("SELECT note_path, target FROM fwd", _FORWARD))
 def forward_links(spark, sf_dir):
-    return graph.forward_links(graph.edges(_sections(spark, sf_dir)))
+    return graph.forward_links(graph.edges(_indexed(spark, sf_dir)))
 
 
 @query(with_vault("SELECT note_path, target FROM fwd WHERE target NOT IN (SELECT path FROM vault) AND target NOT IN (SELECT regexp_extract(path, '([^/]+)$', 1) FROM vault)", _FORWARD))
 def dangling_links(spark, sf_dir):
-    return graph.dangling(graph.forward_links(graph.edges(_sections(spark, sf_dir))), vault(spark, sf_dir).select("path"))
+    return graph.dangling(graph.forward_links(graph.edges(_indexed(spark, sf_dir))), vault(spark, sf_dir).select("path"))
 
 
 @query(with_vault("SELECT note_path, link_type, target, display, count(*) AS n FROM (SELECT DISTINCT note_path, 'wiki' AS link_type, target, nullif(alias, '') AS display, heading, embed FROM wiki UNION ALL SELECT note_path, 'markdown', target, txt, '', '' FROM md) GROUP BY ALL"))
 def link_infos(spark, sf_dir):
-    links = _sections(spark, sf_dir).select("note_path", F.explode(F.transform(F.filter("links", lambda x: x["kind"].isin("wiki", "markdown")), md.link_info)).alias("i"))
+    links = _indexed(spark, sf_dir).select("note_path", F.explode(F.transform(F.filter("links", lambda x: x["kind"].isin("wiki", "markdown")), md.link_info)).alias("i"))
     return links.groupBy("note_path", "i.link_type", "i.target", "i.display").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_vault("SELECT string_agg(b, chr(10) || '---' || chr(10) || chr(10) ORDER BY best DESC, note_path, rank) AS markdown FROM (SELECT '<!-- ' || t.note_path || ' | score: ' || printf('%.2f', t.score) || ' | tokens: ' || t.dl || ' -->' || chr(10) || chr(10) || '## ' || s.heading_path[-1] || chr(10) || chr(10) || trim(s.content, chr(10) || ' ') || CASE WHEN t.rank = max(t.rank) OVER () AND false THEN '' ELSE chr(10) END AS b, max(t.score) OVER (PARTITION BY t.note_path) AS best, t.note_path, t.rank FROM top t JOIN sections s USING (section_path))", *_fused(5)))
 def render_hits(spark, sf_dir):
-    return render.render(search.hits(_sections(spark, sf_dir), HYBRID, limit=5))
+    return render.render(_hits(spark, sf_dir, HYBRID, limit=5))
 
 
 # ---- edits and changes ---------------------------------------------------------------------------------------------
 
-_REV = "now AS (SELECT doc_id, 'doc' || doc_id || '.md' AS path, n_chars || ':' || doc_id AS token FROM documents WHERE doc_id % 7 <> 0), was AS (SELECT 'doc' || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE n_chars || ':' || doc_id END AS token FROM documents WHERE doc_id % 11 <> 0)"
+_REV = "now AS (SELECT doc_id, 'doc' || doc_id || '.md' AS path, n_chars || ':' || doc_id AS token FROM documents), was AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'draft' ELSE 'doc' END || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE n_chars || ':' || doc_id END AS token FROM documents)"
 
 
 def _revisions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
     path = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
     token = F.concat_ws(":", "n_chars", "doc_id")
-    # two states of one vault: some files came later, some are gone, some have changed
-    return d.filter("doc_id % 7 <> 0").select(path, token.alias("token")), d.filter("doc_id % 11 <> 0").select(path, F.when(F.col("doc_id") % 5 == 0, "old").otherwise(token).alias("token"))
+    # two states of one vault, each of all documents: some files have another name since (they are gone and new), some have changed
+    old = F.concat(F.when(F.col("doc_id") % 7 == 0, "draft").otherwise("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
+    return d.select(path, token.alias("token")), d.select(old, F.when(F.col("doc_id") % 5 == 0, "old").otherwise(token).alias("token"))
 
 
 @query(f"WITH {_REV} SELECT CASE WHEN was.token IS NULL THEN 'created' WHEN now.token IS NULL THEN 'deleted' ELSE 'updated' END AS op, coalesce(now.path, was.path) AS path, now.token AS token FROM now FULL OUTER JOIN was ON now.path = was.path WHERE now.token IS DISTINCT FROM was.token")
@@ -407,12 +439,9 @@ def event_upsert(spark, sf_dir):
 @query(f"WITH {_EVENTS} SELECT user_id, e.op AS op, e.value AS value, e.event_id AS event_id FROM last WHERE e.op <> 'error'")
 def event_stream_upsert(spark, sf_dir):
     """The same by Structured Streaming: micro-batches merged into a keyed state."""
-    import uuid
-
     from ..streaming.sync import KeyedState
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-    root = f"{base.rstrip('/')}/loomvault-stream-{uuid.uuid4().hex}"
+    root = scratch.new_path(spark, "stream")
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     state = KeyedState(spark, root, "user_id long, op string, value double, event_id long, ts timestamp", "user_id", ("ts", "event_id"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
@@ -422,6 +451,42 @@ def event_stream_upsert(spark, sf_dir):
     return state.read().filter("op <> 'error'").select("user_id", "op", "value", "event_id")
 
 
+_STATE = "state AS (SELECT DISTINCT user_id, 'seed' AS op, 0e0 AS value, -1::BIGINT AS event_id FROM events UNION ALL SELECT DISTINCT user_id + 1000000, 'seed', 0e0, -1 FROM events)"
+
+
+@query(f"WITH {_EVENTS}, {_STATE} SELECT user_id, e.op AS op, e.value AS value, e.event_id AS event_id FROM last WHERE e.op <> 'error' UNION ALL SELECT * FROM state WHERE user_id NOT IN (SELECT user_id FROM last)")
+def change_apply(spark, sf_dir):
+    """A log of changes applied to a state that has some of its keys and others: an error deletes."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.when(F.col("event_type") == "error", "deleted").otherwise(F.col("event_type")).alias("op"), "value", "event_id", "ts")
+    users = events.select("user_id").distinct()
+    state = users.union(users.select(F.col("user_id") + 1000000)).select("user_id", F.lit("seed").alias("op"), F.lit(0.0).alias("value"), F.lit(-1).cast("long").alias("event_id"))
+    return changes.apply(state, events, "user_id", ("ts", "event_id"))
+
+
+@query(with_vault("SELECT section_path, w AS term, count(*)::INT AS tf FROM toks WHERE note_path NOT LIKE 'src2/%' GROUP BY ALL"))
+def index_change(spark, sf_dir):
+    """The stored postings after a change: the notes of one folder are gone, those of another come again."""
+    store = build_index(spark, sf_dir)
+    all_ = store.load("sections")
+    store.change(all_.filter("note_path LIKE 'src1/%'"), all_.filter("note_path LIKE 'src2/%'").select("note_path").distinct())
+    return store.load("postings").select("section_path", "term", "tf")
+
+
+@query(with_vault("SELECT count(*) AS n, sum(dl)::BIGINT AS total_len, count(DISTINCT note_path) AS note_count FROM lens WHERE note_path NOT LIKE 'src2/%'"))
+def corpus_after_change(spark, sf_dir):
+    """The stored statistics, counted down and up by the same change."""
+    store = build_index(spark, sf_dir)
+    all_ = store.load("sections")
+    store.change(all_.filter("note_path LIKE 'src1/%'"), all_.filter("note_path LIKE 'src2/%'").select("note_path").distinct())
+    return store.load("corpus").drop("last_indexed")
+
+
+@query(with_vault("SELECT note_path, string_agg(section_path, ' ' ORDER BY ordinal) AS sections, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ' ') AS tags, sum(dl)::BIGINT AS token_count FROM (SELECT s.note_path, s.section_path, s.ordinal, s.tags, l.dl FROM sections s JOIN lens l USING (section_path)) GROUP BY note_path"))
+def notes_indexed(spark, sf_dir):
+    n = catalog.notes_indexed(_indexed(spark, sf_dir))
+    return n.select("note_path", F.array_join("sections", " ").alias("sections"), F.array_join("tags", " ").alias("tags"), "token_count")
+
+
 @query()
 def stemmed_terms(spark, sf_dir):
     """Stemmed terms with their frequencies, in each note's language (an algorithm in Python has no SQL)."""

@@ -91,6 +91,35 @@ def test_diff_and_events(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, now.collect())) == sorted(map(tuple, changes.apply(once, d).collect()))
 
 
+def test_apply_takes_the_last_event_of_a_key(spark):
+    was = spark.createDataFrame([("a", "0"), ("z", "9")], "path string, token string")
+    events = spark.createDataFrame([("updated", "a", "1", 1), ("updated", "a", "2", 2), ("created", "b", "1", 1), ("deleted", "b", None, 2), ("created", "c", "5", 3)], "op string, path string, token string, ts int")
+    assert sorted(map(tuple, changes.apply(was, events).collect())) == [("a", "2"), ("c", "5"), ("z", "9")]
+
+
+def test_keyed_state_survives_a_restart(spark, tmp_path):
+    state = lambda: sync.KeyedState(spark, f"file://{tmp_path}/state", "id long, v string, ts int", "id", ("ts",))
+    batch = lambda *rows: spark.createDataFrame(rows, "id long, v string, ts int")
+    assert state().read().count() == 0
+    state().merge(batch((1, "a", 1), (2, "b", 1), (2, "c", 2)), 0)
+    state().merge(batch((1, "d", 3), (3, "e", 1)), 1)
+    state().merge(batch((9, "replayed", 9)), 1)
+    state().merge(batch(), 2)
+    assert sorted(map(tuple, state().read().collect())) == [(1, "d", 3), (2, "c", 2), (3, "e", 1)]
+
+
+def test_scan_of_a_uri(spark, v, tmp_path):
+    v.create("d/n.md", "x")
+    assert source.notes(spark, f"file://{tmp_path}").first()["path"] == "d/n.md" == source.listing(spark, f"file:{tmp_path}/").first()["path"]
+
+
+def test_rename_finds_the_links(v):
+    for path, text in (("target.md", "x"), ("a.md", "[[target]]"), ("b/c.md", "see [[x/target#h|t]]"), ("d.md", "[[targets]]")):
+        v.create(path, text)
+    assert v.rename("target.md", "new.md") == 2 and v.read("b/c.md") == "see [[new#h|t]]"
+    assert v.rename("new.md", "newer.md", update_links=False) == 0 and v.read("a.md") == "[[new]]"
+
+
 def test_stream_follows_files(spark, v, tmp_path):
     root = tmp_path / "vault"
     root.mkdir()

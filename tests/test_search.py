@@ -103,6 +103,32 @@ def test_store(spark, s, tmp_path):
     assert store.load("postings") is None
     store.build(s)
     assert store.load("corpus").first()["n"] == s.count() and store.load("postings").count() == index.postings(s).count()
-    gone = index.upsert(store.load("sections"), s.filter("false"), s.filter("note_path = 'Home.md'").select("note_path"))
-    store.build(gone)
-    assert index.Store(spark, f"file://{tmp_path}/index").load("sections").filter("note_path = 'Home.md'").count() == 0
+    found = search.hits(store.load("sections"), "rust language", postings=store.load("postings"), corpus=store.load("corpus"))
+    assert [tuple(r) for r in found.select("section_path", "rank", F.round("score", 9)).collect()] == [tuple(r) for r in search.hits(s, "rust language").select("section_path", "rank", F.round("score", 9)).collect()]
+    # a note goes, another one changes, a third one was never there; twice, as a replay would
+    new = sections.sections(spark.createDataFrame([("wiki/Rust.md", "# Rust\nrust rust oxide")], "path string, content string"))
+    for _ in range(2):
+        store.change(new, spark.createDataFrame([("Home.md",), ("none.md",)], "note_path string"))
+        want = index.upsert(s, new, s.filter("note_path = 'Home.md'").select("note_path"))
+        again = index.Store(spark, f"file://{tmp_path}/index")
+        rows = lambda df: sorted(map(str, df.drop("last_indexed").collect()))
+        assert rows(again.load("sections").select("section_path", "tokens")) == rows(want.select("section_path", "tokens"))
+        assert rows(again.load("postings").select(*index.postings(want).columns)) == rows(index.postings(want))
+        assert rows(again.load("corpus")) == rows(index.corpus(want))
+    store.compact()
+    assert rows(store.load("postings").select(*index.postings(want).columns)) == rows(index.postings(want))
+    (tmp_path / "index" / "state-99.json").write_text('{"sections": ')  # a state file that was broken off
+    assert rows(store.load("corpus")) == rows(index.corpus(want))
+
+
+def test_resources(s, spark):
+    r = sections.section_resource(s, "wiki/Rust.md", ["Rust", "Async"])
+    assert (r["section_path"], r["tags"], r["word_count"]) == ("wiki/Rust.md#Rust/Async", ["async", "programming/rust"], 7)
+    with pytest.raises(sections.SectionError, match="wiki/Rust.md#Rust, wiki/Rust.md#Rust/Async"):
+        sections.section_resource(s, "wiki/Rust.md", ["None"])
+    assert sections.note_resource(spark.createDataFrame(NOTES, "path string, content string"), "Home.md")["title"] == "Home"
+    (n,) = catalog.notes_indexed(s, "wiki/Rust.md").collect()
+    assert n["sections"] == ["wiki/Rust.md#Rust", "wiki/Rust.md#Rust/Async"] and n["links"][0]["target"] == "Home"
+    assert catalog.notes_indexed(s, "none.md").count() == 0
+    p = sections.parsed(spark.createDataFrame(NOTES, "path string, content string")).filter("path = 'wiki/Rust.md'").first()
+    assert sections.serialise("tags:\n  - programming/rust", p["chunks"]) == NOTES[0][1]
