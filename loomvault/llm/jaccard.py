@@ -505,5 +505,19 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return kept.select(*docs.columns).unionByName(docs.filter(~words))
 
 
+#: DuckDB's own way to op7: shingles as text, pairs counted by their shared shingles, links followed by recursion over distinct sets.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))) END AS s FROM words),
+points AS (SELECT s, min(rid) AS id, min(doc_id) AS least, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT id, n, unnest(s) AS e FROM points),
+pairs AS (SELECT a.id AS x, b.id AS y FROM items a JOIN items b ON a.e = b.e AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT id AS x, id AS y FROM points UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT r.x AS id, min(p.least) AS component_id FROM reach r JOIN points p ON p.id = r.y GROUP BY r.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE l.component_id END AS component_id FROM sets s LEFT JOIN points p ON p.s = s.s LEFT JOIN least l ON l.id = p.id
+"""
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir), k=4, percent=85)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once: bounds a worker's memory whatever the size of the Arrow batch.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Longer words are hashed by BLAKE2, as the polynomial below is weak on very long structured strings.
 LONG_WORD = 512
 

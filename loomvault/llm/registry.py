@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .arrowfiles import op8_arrow_token_files
 from .decontaminate import op1_benchmark_decontamination
+from .jaccard import ORACLE_SQL as JACCARD_SQL
 from .jaccard import op7_ngram_jaccard_join
 from .licences import op6_license_scan
 from .packing import op9_mixture_packing
@@ -16,6 +17,7 @@ from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import op2_quality_rules
 from .secrets import op3_secret_scan
 from .sharding import op4_hash_ring_shards
+from .substrings import ORACLE_SQL as SUBSTRINGS_SQL
 from .substrings import op10_recompression_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_recompression_dedup": op10_recompression_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL, "op7_ngram_jaccard_join": JACCARD_SQL, "op10_recompression_dedup": SUBSTRINGS_SQL}

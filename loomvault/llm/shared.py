@@ -1,41 +1,12 @@
-"""What the operators share: the shared folder, written intermediate tables, column checks."""
+"""What the operators share: written intermediate tables, new column names, the documents."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; where it names none (a local test), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        key = spark.sparkContext.applicationId
-        if key not in _own:
-            _own[key] = "file://" + tempfile.mkdtemp(prefix="loomvault-")
-            spark.sparkContext.setCheckpointDir(_own[key])
-        at = _own[key]
-    return at.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended; its folder goes with it
-        pass
-
+from ..sources.scratch import new_path, shared_folder
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/loomvault-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
+__all__ = ["documents", "fresh", "new_path", "shared_folder", "stash"]
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

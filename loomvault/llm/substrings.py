@@ -281,5 +281,18 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, digest: bo
     )
 
 
+#: DuckDB's own way to op10: every window as text, counted.
+ORACLE_SQL = r"""
+WITH words AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+wins AS (SELECT rid, i, md5(array_to_string(w[i:i+34], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+twice AS (SELECT h FROM wins GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT rid, i FROM wins WHERE h IN (SELECT h FROM twice)),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS k FROM starts),
+lists AS (SELECT rid, list(k) AS ks FROM gone GROUP BY rid),
+kept AS (SELECT a.rid, string_agg(a.x, ' ' ORDER BY a.k) AS t FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM words) a LEFT JOIN gone g ON g.rid = a.rid AND g.k = a.k WHERE g.k IS NULL GROUP BY a.rid)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(l.ks), 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM words w LEFT JOIN lists l USING (rid) LEFT JOIN kept k USING (rid)
+"""
+
+
 def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")

@@ -43,8 +43,18 @@ def test_one_of_each(docs, rows):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     got = kept.collect()
-    blank = sum(g < 0 for g in group)
-    assert len(got) == len({g for g in group if g >= 0}) + blank
+    first = {}  # of each group the least doc_id, nulls last; equal rows are one
+    for x, g in zip(rows, group, strict=True):
+        if g >= 0 and (g not in first or (x["doc_id"] is None, x["doc_id"] or 0) < (first[g]["doc_id"] is None, first[g]["doc_id"] or 0)):
+            first[g] = x
+    want = [x for x, g in zip(rows, group, strict=True) if g < 0] + list(first.values())
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(x["doc_id"]) for x in want)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "p", 1, None), (2, "a b c d e f", "q", 2, "x"), (3, None, None, 3, "y"), (None, "g h", "r", 4, "z")], "doc_id int, text string, h string, K_ID int, th2 string")
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and sorted(str(tuple(r)) for r in kept.collect()) == sorted(str(tuple(r)) for r in df.filter("doc_id is null or doc_id <> 2").collect())
 
 
 def test_empty(empty):
