@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files: fixed-size lists, so any sequence and its mask are a zero-copy view.
 
 A file holds record batches of BATCH sequences with three columns: `ids`, a fixed-size list of SEQUENCE unsigned 16-bit ids;
-`mask`, as many bytes (1, and 0 for the padding at the file's end; bits would have to be unpacked); and `docs`, for the documents that begin in the sequence
+`mask`, a fixed-size list of bytes that hold one bit for each id, the lowest first (0 for the padding at the file's end); and `docs`, for the documents that begin in the sequence
 their doc_id, place in it and number of ids. Documents follow each other without gaps in ascending doc_id order,
 within and across files, so the place of any id in the whole corpus is the file's base plus its place.
 
@@ -38,8 +38,17 @@ _DOC = pa.struct([("doc_id", pa.int64()), ("offset", pa.int32()), ("n", pa.int64
 _MANIFEST = "pid int, name string, n_docs long, n_tokens long, n_sequences long"
 
 
+def mask_bytes(sequence: int) -> int:
+    return -(-sequence // 8)
+
+
+def unpacked(mask: np.ndarray, sequence: int = SEQUENCE) -> np.ndarray:
+    """A mask's bits as booleans (a copy)."""
+    return np.unpackbits(mask, count=sequence, bitorder="little").astype(bool)
+
+
 def schema(sequence: int = SEQUENCE) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), sequence)), ("mask", pa.list_(pa.uint8(), sequence)), ("docs", pa.list_(_DOC))], metadata={"sequence": str(sequence)})
+    return pa.schema([("ids", pa.list_(pa.uint16(), sequence)), ("mask", pa.list_(pa.uint8(), mask_bytes(sequence))), ("docs", pa.list_(_DOC))], metadata={"sequence": str(sequence)})
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -76,13 +85,13 @@ class Writer:
         n = -(-self.held // self.sequence)
         values = np.zeros(n * self.sequence, "<u2")
         values[: self.held] = np.concatenate(self.parts)
-        mask = (np.arange(n * self.sequence) < self.held).astype(np.uint8)
+        mask = np.packbits((np.arange(n * self.sequence) < self.held).reshape(n, self.sequence), axis=1, bitorder="little").ravel()
         row = np.array([d[1] // self.sequence for d in self.docs], np.int64)
         offs = np.searchsorted(row, np.arange(n + 1))
         docs = pa.StructArray.from_arrays([pa.array([d[0] for d in self.docs], pa.int64()), pa.array([d[1] % self.sequence for d in self.docs], pa.int32()), pa.array([d[2] for d in self.docs], pa.int64())], fields=list(_DOC))
         self.out.write_batch(
             pa.RecordBatch.from_arrays(
-                [pa.FixedSizeListArray.from_arrays(pa.array(values), self.sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.sequence), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), docs)],
+                [pa.FixedSizeListArray.from_arrays(pa.array(values), self.sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), mask_bytes(self.sequence)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), docs)],
                 schema=schema(self.sequence),
             )
         )
@@ -108,11 +117,10 @@ class Reader:
         return cls(pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)))
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k, both views of the file."""
+        """Ids and mask (one bit each, see `unpacked`) of sequence k, both views of the file."""
         b = self.file.get_batch(k // self.batch)
-        size = b.schema.field(0).type.list_size
-        at = slice(k % self.batch * size, (k % self.batch + 1) * size)
-        ids, mask = (b.column(c).values.to_numpy(zero_copy_only=True)[at] for c in (0, 1))
+        row = k % self.batch
+        ids, mask = (b.column(c).values.to_numpy(zero_copy_only=True)[row * n : (row + 1) * n] for c in (0, 1) if (n := b.schema.field(c).type.list_size))
         return ids, mask
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
