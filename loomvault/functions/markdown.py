@@ -119,6 +119,14 @@ def link_text(link: Column) -> Column:
     return F.when(link["kind"] == "wiki", F.concat(mark, wiki)).when(link["kind"] == "markdown", F.concat(mark, md)).otherwise(F.concat(F.lit("<"), link["target"], F.lit(">")))
 
 
+def parse_link(text: Column) -> Column:
+    """The one link that a string is, as a wikilink, a Markdown link, a web address or an e-mail address in this order; else null."""
+    whole = lambda pattern: text.rlike(rf"\A(?:{pattern})\z")
+    first = lambda found: F.get(found, F.lit(0))
+    out = F.when(whole(WIKILINK), first(wikilinks(text))).when(whole(MARKDOWN_LINK), first(markdown_links(text)))
+    return out.when(whole(URL), first(urls(text))).when(whole(EMAIL), first(emails(text)))
+
+
 def link_info(link: Column) -> Column:
     return F.struct(link["kind"].alias("link_type"), link["target"].alias("target"), F.when(link["kind"] == "wiki", link["alias"]).when(link["kind"] == "markdown", link["text"]).alias("display"))
 

@@ -23,9 +23,9 @@ def tag_children(counts: DataFrame) -> DataFrame:
     return counts.join(lists, counts["tag"] == lists["above"], "left").select("tag", "notes", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
 
 
-def folder_counts(notes: DataFrame) -> DataFrame:
-    """folder and the number of notes directly in it; notes at the root are in none."""
-    return notes.filter(F.col("folder").isNotNull()).groupBy("folder").agg(F.count(F.lit(1)).alias("notes")).orderBy("folder")
+def folder_counts(notes: DataFrame, folder: str = "") -> DataFrame:
+    """folder and the number of notes directly in it, for the folder given and all below it; notes at the root are in none."""
+    return notes.filter(F.col("folder").isNotNull() & paths.is_under_folder(F.col("folder"), folder)).groupBy("folder").agg(F.count(F.lit(1)).alias("notes")).orderBy("folder")
 
 
 def info(sections: DataFrame, folder: str = "") -> DataFrame:

@@ -140,8 +140,14 @@ class Vault:
     def create(self, path: str, content: str, fm: dict[str, Any] | None = None) -> str:
         return self.write(path, content if fm is None else f"{frontmatter.dump(frontmatter.patch(frontmatter.EMPTY, fm))}\n{content}")
 
-    def save(self, path: str, content: str) -> str:
+    def validate(self, path: str, token: str) -> bool:
+        """Whether token is the revision tracked; any is right for a path that is not tracked."""
+        return self.tracked.get(path, token) == token
+
+    def save(self, path: str, content: str, fm: dict[str, Any] | None = None) -> str:
         """Create or overwrite, expecting the tracked revision."""
+        if fm is not None:
+            content = f"{frontmatter.dump(frontmatter.patch(frontmatter.EMPTY, fm))}\n{content}"
         return self.write(path, content, self.tracked.get(path) if self.exists(path) else None)
 
     def _edit(self, path: str, change) -> str:
@@ -163,10 +169,14 @@ class Vault:
         return self._edit(path, lambda s: f"{s}\n{more}")
 
     def delete(self, path: str, token: str | None = None) -> None:
+        """Remove a file in revision `token`, or, without one, in the revision tracked; a file that is not tracked needs a token."""
         full = self._file(path, write=True)
         if not os.path.exists(full):
             raise FileNotFoundError(path)
-        if token is not None and token != self.token(path):
+        token = token if token is not None else self.tracked.get(path)
+        if token is None:
+            raise FileNotFoundError(f"{path} is not tracked")
+        if token != self.token(path):
             raise Conflict(path)
         os.remove(full)
         self.tracked.pop(path, None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ K1, B = 1.2, 0.75
 RRF_K = 60.0
 LIMIT = 20
 
+#: (candidates, the query's text) to section_path and score.
+Scorer = Callable[[DataFrame, str], DataFrame]
+
 
 def has_tag(tags: Column, name: str) -> Column:
     """The tag itself or one below it."""
@@ -141,10 +145,11 @@ def within_budget(hits: DataFrame, tokens: int | None) -> DataFrame:
     return hits.withColumn("_total", total).filter(F.col("_total") <= tokens).drop("_total")
 
 
-def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0, postings: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0, postings: DataFrame | None = None, corpus: DataFrame | None = None, scorers: Sequence[Scorer] | None = None) -> DataFrame:
     """Ranked sections: filters, both rankings, fusion and limit, then the token budget, then the threshold.
 
     postings and corpus: those of a stored index, of which only the query's terms are read; without them sections are scanned.
+    scorers: rankings to fuse in place of words and tags.
     """
     q = parse(query) if isinstance(query, str) else query
     spark = sections.sparkSession
@@ -155,13 +160,16 @@ def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, toke
         first = found.orderBy("section_path").limit(limit)
         ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("section_path"))).withColumn("score", F.lit(1.0))
         return within_budget(ranked, token_limit)
-    if postings is None:
-        words = bm25(found, sections, q.text)
+    if scorers is not None:
+        lists = [s(found, q.text) for s in scorers]
+    elif postings is None:
+        lists = [bm25(found, sections, q.text), tag_jaccard(found, q.text)]
     else:
         words = bm25_postings(postings, corpus, q.text)
         if q.tags or q.folders:
             words = words.join(found.select("section_path"), "section_path", "left_semi")
-    best = rrf([words, tag_jaccard(found, q.text)], limit=limit)
+        lists = [words, tag_jaccard(found, q.text)]
+    best = rrf(lists, limit=limit)
     ranks = spark.createDataFrame([(p, s, i + 1) for i, (p, s) in enumerate(best)], "section_path string, score double, rank int")
     ranked = found.join(F.broadcast(ranks), "section_path")
     return within_budget(ranked, token_limit).filter(F.col("score") >= threshold)

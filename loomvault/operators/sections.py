@@ -85,14 +85,25 @@ def note_rows(sections_: DataFrame, note: str) -> DataFrame:
     return sections_.filter(F.col("note_path") == note).orderBy("ordinal")
 
 
+def section_rows(sections_: DataFrame) -> DataFrame:
+    """Sections as readers get them: path, text, sorted tags, links and word count."""
+    return sections_.select("note_path", "ordinal", "section_path", "heading_path", "content", F.array_sort(F.array_distinct("tags")).alias("tags"), "links", "word_count")
+
+
+def exists(sections_: DataFrame, note: str, heading_path: list[str] | None = None) -> bool:
+    """Whether a note, or a section of it, is indexed."""
+    found = sections_.filter(F.col("note_path") == note) if heading_path is None else find_section(sections_, note, heading_path)
+    return not found.isEmpty()
+
+
 def section_resource(sections_: DataFrame, note: str, heading_path: list[str]) -> dict:
     """One section for a reader: its path, text, sorted tags, links and word count."""
-    found = find_section(sections_, note, heading_path).collect()
+    found = section_rows(find_section(sections_, note, heading_path)).collect()
     if not found:
         known = [r["section_path"] for r in note_rows(sections_, note).select("section_path").collect()]
         raise SectionError(f"{note} has no section {'/'.join(heading_path)!r}; available: {', '.join(known) or 'none, the note is not indexed'}")
     r = found[0]
-    return {"section_path": r["section_path"], "heading_path": r["heading_path"], "content": r["content"], "tags": sorted(set(r["tags"])), "links": r["links"], "word_count": r["word_count"]}
+    return {"section_path": r["section_path"], "heading_path": r["heading_path"], "content": r["content"], "tags": r["tags"], "links": r["links"], "word_count": r["word_count"]}
 
 
 def note_resource(files: DataFrame, note: str) -> dict:
@@ -103,6 +114,13 @@ def note_resource(files: DataFrame, note: str) -> dict:
     return found[0].asDict()
 
 
+def serialised(files: DataFrame) -> DataFrame:
+    """path and text of each note, put together again from its frontmatter block and its sections; blank pieces are lost."""
+    p = parsed(files).withColumn("block", md.frontmatter_text(F.col("content")))
+    head = F.coalesce(F.concat(F.lit("---\n"), "block", F.lit("\n---\n")), F.lit(""))
+    return p.select("path", F.concat(head, F.array_join("chunks", "")).alias("content"))
+
+
 def serialise(frontmatter: str | None, chunks: list[str]) -> str:
     """A note's text from its frontmatter block and the texts of its sections in order."""
     return (f"---\n{frontmatter}\n---\n" if frontmatter is not None else "") + "".join(chunks)

@@ -487,6 +487,41 @@ def notes_indexed(spark, sf_dir):
     return n.select("note_path", F.array_join("sections", " ").alias("sections"), F.array_join("tags", " ").alias("tags"), "token_count")
 
 
+@query(with_vault("SELECT path, md5('---' || chr(10) || fm || chr(10) || '---' || chr(10) || string_agg(chunk, '' ORDER BY ordinal)) AS md5 FROM chunks GROUP BY path, fm"))
+def note_serialise(spark, sf_dir):
+    return sections.serialised(vault(spark, sf_dir)).select("path", F.md5("content").alias("md5"))
+
+
+@query(with_vault("SELECT section_path, array_to_string(tags, ' ') AS tags, len(list_filter(string_split_regex(content, '[\\s]+'), lambda w: w <> ''))::INT AS words, md5(content) AS content_md5 FROM sections"))
+def section_resources(spark, sf_dir):
+    return sections.section_rows(_indexed(spark, sf_dir)).select("section_path", F.array_join("tags", " ").alias("tags"), F.col("word_count").alias("words"), F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {VAULT} f AS (SELECT regexp_extract(path, '^(.*/)[^/]+$', 1) AS folder FROM vault) SELECT folder, count(*) AS notes FROM f WHERE starts_with(folder, 'src2/') GROUP BY folder")
+def folder_counts_below(spark, sf_dir):
+    return catalog.folder_counts(_indexed(spark, sf_dir).select("note_path", "folder").distinct(), "src2/")
+
+
+_WRITTEN = """written AS (SELECT DISTINCT note_path, 'wiki' AS kind, target, embed || '[[' || target || CASE WHEN heading <> '' THEN '#' || heading ELSE '' END || CASE WHEN alias <> '' THEN '|' || alias ELSE '' END || ']]' AS link FROM wiki
+UNION SELECT DISTINCT note_path, 'markdown', target, '[' || txt || '](' || target || CASE WHEN title <> '' THEN ' "' || title || '"' ELSE '' END || ')' FROM md
+UNION SELECT note_path, 'url', u, '<' || u || '>' FROM (SELECT note_path, unnest(regexp_extract_all(content, '<([a-zA-Z][a-zA-Z0-9+.-]*://[^\\s>]+)>', 1)) AS u FROM sections)
+UNION SELECT note_path, 'email', u, '<' || u || '>' FROM (SELECT note_path, unnest(regexp_extract_all(content, '<([^\\s@>]+@[^\\s>]+)>', 1)) AS u FROM sections))"""
+
+
+@query(with_vault("SELECT * FROM written", _WRITTEN))
+def link_parse(spark, sf_dir):
+    """Each link as it is written, and what that string alone is parsed to."""
+    written = _indexed(spark, sf_dir).select("note_path", F.explode(F.transform("links", md.link_text)).alias("link")).distinct()
+    return written.withColumn("p", md.parse_link(F.col("link"))).select("note_path", "p.kind", "p.target", "link")
+
+
+@query(with_vault(f"SELECT section_path, round(1e0 / (60 + r), 6) AS score, r::INT AS rank FROM (SELECT section_path, row_number() OVER (ORDER BY dl DESC, section_path) AS r FROM lens WHERE {_IN_HYBRID}) WHERE r <= 20"))
+def scorer_hits(spark, sf_dir):
+    """A search that ranks by a scorer of its own: the longest sections first."""
+    longest = lambda found, _: found.select("section_path", F.col("token_count").cast("double").alias("score"))
+    return _hits(spark, sf_dir, HYBRID, scorers=[longest]).select("section_path", F.round("score", 6).alias("score"), "rank")
+
+
 @query()
 def stemmed_terms(spark, sf_dir):
     """Stemmed terms with their frequencies, in each note's language (an algorithm in Python has no SQL)."""
