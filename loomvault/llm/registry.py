@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrowfiles import op8_arrow_token_files
+from .centroids import ORACLE_SQL as CENTROIDS_SQL
+from .centroids import op13_annulus_clusters
 from .decontaminate import op1_benchmark_decontamination
+from .infill import ORACLE_SQL as INFILL_SQL
+from .infill import op12_chunked_infill
 from .jaccard import ORACLE_SQL as JACCARD_SQL
 from .jaccard import op7_ngram_jaccard_join
 from .licences import op6_license_scan
@@ -31,6 +35,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arrow_token_files": op8_arrow_token_files,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_recompression_dedup": op10_recompression_dedup,
+    "op12_chunked_infill": op12_chunked_infill,
+    "op13_annulus_clusters": op13_annulus_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL, "op7_ngram_jaccard_join": JACCARD_SQL, "op10_recompression_dedup": SUBSTRINGS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL, "op7_ngram_jaccard_join": JACCARD_SQL, "op10_recompression_dedup": SUBSTRINGS_SQL, "op12_chunked_infill": INFILL_SQL, "op13_annulus_clusters": CENTROIDS_SQL}
