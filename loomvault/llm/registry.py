@@ -23,6 +23,8 @@ from .secrets import op3_secret_scan
 from .sharding import op4_hash_ring_shards
 from .substrings import ORACLE_SQL as SUBSTRINGS_SQL
 from .substrings import op10_recompression_dedup
+from .suffixes import ORACLE_SQL as SUFFIXES_SQL
+from .suffixes import op11_induced_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -35,8 +37,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arrow_token_files": op8_arrow_token_files,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_recompression_dedup": op10_recompression_dedup,
+    "op11_induced_suffix_dedup": op11_induced_suffix_dedup,
     "op12_chunked_infill": op12_chunked_infill,
     "op13_annulus_clusters": op13_annulus_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL, "op7_ngram_jaccard_join": JACCARD_SQL, "op10_recompression_dedup": SUBSTRINGS_SQL, "op12_chunked_infill": INFILL_SQL, "op13_annulus_clusters": CENTROIDS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL, "op7_ngram_jaccard_join": JACCARD_SQL, "op10_recompression_dedup": SUBSTRINGS_SQL, "op11_induced_suffix_dedup": SUFFIXES_SQL, "op12_chunked_infill": INFILL_SQL, "op13_annulus_clusters": CENTROIDS_SQL}
