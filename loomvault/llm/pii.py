@@ -2,7 +2,7 @@
 
 Numbers and dates that pass their validation are permuted, by a keyed Feistel network, within the set of valid values of
 their format: a card number becomes another with the same first digit and a right check digit, a telephone number another
-with valid area and exchange codes, an address another address, a social security number another that could be issued, a date another
+of its kind, an address another address, a social security number another that could be issued, a date another
 date of its spelling (y-m-d, d/m/y, or m/d/y where the day is past the 12th). A permutation gives equal values equal pseudonyms everywhere and different values different ones, so what was linked
 across documents stays linked. Spelling (separators, brackets) is kept. An e-mail address has no such set; it becomes a keyed
 digest of its lower-case form at a reserved domain, which links equal addresses as well.
@@ -11,8 +11,12 @@ A network works on pairs (a, b) of numbers below (A, B): in turn a or b gets a k
 round function is SHA-256 over key, kind, round and value. Dates (a set without a fitting product) walk the cycle until they
 are in the set again. All of it is one projection: no shuffle, no Python.
 
+Telephone numbers are permuted whatever their codes: those whose area or exchange code cannot be assigned form two sets of their own, as
+people write such numbers too. An address with leading zeros (010.0.0.1) fails validation, since it can be read in two ways.
+
 Defined results: a null text stays null and an empty one empty; both count nothing; candidates that fail their validation stay as
-they are; repeated rows are treated alike; very long texts are handled whole; an empty table gives an empty table; extra columns are
+they are; where candidates overlap, the leftmost counts, and of those that start together the first in PATTERNS; repeated rows are treated alike; very
+long texts are handled whole, and no pattern needs stack by their length; an empty table gives an empty table; extra columns are
 ignored by `pseudonymise` when it builds its own result and never read.
 """
 
@@ -30,7 +34,7 @@ KINDS = ("email", "ip", "date", "phone", "ssn", "card")
 
 #: Candidates, by kind; validation follows.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}",  # 127 labels, as many as a domain may have; each costs stack
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[/-][0-9])",
     "phone": r"(?:\+1[ .-]?|(?<![0-9A-Za-z+.-]))(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
@@ -100,7 +104,7 @@ def _ip(key: str) -> str:
     part = lambda k: f"cast(o[{k}] as bigint)"
     net = _feistel(key, "ip", f"{part(0)} * 256 + {part(1)}", f"{part(2)} * 256 + {part(3)}", "65536", "65536")
     new = _with(net, "x", "concat_ws('.', x.a div 256, x.a % 256, x.b div 256, x.b % 256)")
-    return _with(r"split(v, '[.]')", "o", f"if(forall(o, q -> cast(q as int) <= 255), {new}, null)")
+    return _with(r"split(v, '[.]')", "o", f"if(forall(o, q -> cast(q as int) <= 255 and not q rlike '^0[0-9]'), {new}, null)")
 
 
 def _ssn(key: str) -> str:

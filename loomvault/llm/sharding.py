@@ -28,7 +28,8 @@ SHARDS = 16
 VNODES = 128
 #: Equal cells of the ring: the pieces by which documents are ranked, so none is long at any scale that rows reach.
 CELLS = 8192
-#: Rows of one piece (in practice of one doc_id) that a task ranks; a piece of more is cut by a row number written with the rows.
+#: Rows of one piece that a task ranks. A piece of more is cut by a hash of its rows, and more rows than that which are equal by a row number,
+#: which tells apart none but them: where a row goes never depends on how the files were split.
 PIECE = 1_000_000
 
 
@@ -77,6 +78,24 @@ def walk(counts: list[tuple[int, int, int]], nodes: list[tuple[int, int]], room:
     return placed
 
 
+#: Bits of a piece's number for its parts, and for the parts of equal rows.
+_BITS = 20
+
+
+def _cut(located: DataFrame) -> DataFrame:
+    """located with the pieces' final numbers: piece, part by the row's hash, part of equal rows."""
+    spark, count = located.sparkSession, F.count(F.lit(1)).alias("n")
+    parts = lambda df: [(*r[:-1], -(-r["n"] // PIECE)) for r in df.filter(F.col("n") > PIECE).collect()]  # noqa: E731  one for PIECE rows at most
+    cuts = F.broadcast(spark.createDataFrame(parts(located.groupBy("piece").agg(count)), "c_piece int, parts int"))
+    equal = parts(located.join(cuts, F.col("piece") == F.col("c_piece")).groupBy("point", "text_crc32", "size").agg(count))
+    many = F.broadcast(spark.createDataFrame(equal, "e_point long, e_crc long, e_size long, e_parts int"))
+    out = located.join(cuts, F.col("piece") == F.col("c_piece"), "left").join(many, (F.col("point") == F.col("e_point")) & (F.col("text_crc32") == F.col("e_crc")) & (F.col("size") == F.col("e_size")), "left")
+    part = F.pmod(F.xxhash64("point", "text_crc32", "size"), F.coalesce("parts", F.lit(1)))
+    inner = F.pmod(F.xxhash64("rid"), F.coalesce("e_parts", F.lit(1)))
+    number = F.shiftleft(F.shiftleft(F.col("piece").cast("long"), _BITS) + part, _BITS) + inner
+    return out.withColumn("piece", number).select(*located.columns)
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of docs."""
     spark = docs.sparkSession
@@ -99,15 +118,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
     below = F.coalesce(F.size(F.filter("marks", lambda m: m < F.col("point"))), F.lit(0))
     located = located.withColumn("piece", F.col("cell") * F.lit(most) + F.when(F.col("marks").isNull(), 0).otherwise(below)).drop("i_cell", "marks", "cell")
     located = stash(located.withColumn("rid", F.monotonically_increasing_id()), "located")
-    large = [(r["piece"], -(-r["n"] // PIECE)) for r in located.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PIECE).collect()]
-    cuts = F.broadcast(spark.createDataFrame(large, "c_piece int, parts int"))
-    sub = F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1)))
-    located = located.join(cuts, F.col("piece") == F.col("c_piece"), "left").withColumn("piece", F.shiftleft(F.col("piece").cast("long"), 20) + sub).drop("parts", "c_piece", "rid")
+    located = _cut(located).drop("rid")
     tally = {r["piece"]: r["n"] for r in located.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).collect()}
     points = [p for p, _ in nodes]
     counts = []
     for piece in sorted(tally):
-        c, i = divmod(piece >> 20, most)
+        c, i = divmod(piece >> 2 * _BITS, most)
         marks = sorted(by_cell.get(c, []))
         top = marks[i] if i < len(marks) else -(2**63) + (c + 1) * width  # the piece's end: a node, or the cell's border
         counts.append((piece, bisect.bisect_left(points, top) % len(points), tally[piece]))

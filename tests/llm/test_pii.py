@@ -99,3 +99,21 @@ def test_no_two_values_share_a_pseudonym(spark):
             assert (int(old[3:5]) > 12) == (int(made[3:5]) > 12)
         if "(" in old:
             assert (int(old[1:4]) < 200) == (int(made[1:4]) < 200)
+
+
+def test_long_repeats_of_what_patterns_repeat(spark):
+    """Each pattern's repeated parts, at a length at which recursion by repeats would end the JVM."""
+    n = 60_000
+    texts = ["a@" + "b." * n + "1", "a@" + "bc." * 100 + "org", "x" * n + "@mail.com", "1." * n, "1234 " * n, "4111-" * n, "1970-01-01/" * n, "(212) " * n, "1" * n, "a@b" * n, "+1 " * n]
+    out = run(spark, texts)
+    assert out[0]["text"] == texts[0]
+    assert re.fullmatch(r"user\.[0-9a-f]{16}@mail\.invalid", out[1]["text"]) and re.fullmatch(r"user\.[0-9a-f]{16}@mail\.invalid", out[2]["text"])
+    assert out[3]["text"] == texts[3]
+
+
+def test_spellings_of_one_address_and_numbers_without_a_valid_code(spark):
+    out = run(spark, ["010.0.0.1", "10.0.0.1", "123-456-7890 123-456-7891", "256.1.1.1"])
+    assert out[0]["text"] == "010.0.0.1" and out[0]["n_ip"] == 0 and out[3]["text"] == "256.1.1.1"
+    assert out[1]["text"] == ip("10.0.0.1")
+    a, b = out[2]["text"].split()
+    assert a != b and a[0] in "01" and b[0] in "01" and out[2]["n_phone"] == 2

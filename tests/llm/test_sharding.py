@@ -47,6 +47,13 @@ def test_large_pieces_are_cut(spark, docs, rows, monkeypatch):
     assert len({(r["shard"], r["slot"]) for r in got}) == 700
 
 
+def test_splits_of_the_files_change_nothing(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id % 40 AS doc_id", "cast(id % 90 AS string) AS text").union(spark.range(200).selectExpr("7 AS doc_id", "'same'"))
+    monkeypatch.setattr(S, "PIECE", 10)
+    got = [Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in S.assign(df.repartition(n), 5).collect()) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 500
+
+
 def test_rows_go_where_a_walk_row_by_row_puts_them(spark):
     """Brute force: each document to the shard of the next node clockwise; overflow of full shards, node by node, to the next with room."""
     n, shards, vnodes = 400, 5, 8
