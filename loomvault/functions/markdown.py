@@ -36,7 +36,7 @@ def body(content: Column) -> Column:
 def plain_frontmatter(block: Column) -> Column:
     """Title and tags of a block of plain `key: value` lines and `- item` lists. For other YAML see functions.frontmatter."""
     title = F.nullif(F.trim(F.regexp_extract(block, r"(?md)^title:[ ]*(.*)$", 1)), F.lit(""))
-    lines = F.regexp_extract(F.concat(block, F.lit("\n")), r"(?md)^tags:[ ]*\n((?:[ ]*- .*\n)*)", 1)
+    lines = F.regexp_extract(F.concat(block, F.lit("\n")), r"(?md)^tags:[ ]*\n((?:[ ]*- .*\n)*+)", 1)  # possessive: a loop, where a list of any length needs no stack
     tags = F.regexp_extract_all(lines, F.lit(r"(?md)^[ ]*- (.*)$"), F.lit(1))
     return F.struct(title.alias("title"), F.coalesce(F.transform(tags, lambda t: F.trim(t)), F.array().cast("array<string>")).alias("tags"))
 
