@@ -1,18 +1,36 @@
-"""The stored index: postings, corpus statistics, sections and revisions as Parquet tables."""
+"""The stored index: sections, postings in blocks, n-grams of tags, and counted views, as Parquet tables that changes keep up to date."""
 
 from __future__ import annotations
 
+import functools
+import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..sources import scratch
 
-VERSION = 2
-TABLES = ("sections", "postings", "corpus", "revisions")
+VERSION = 3
+#: Runs of one level that are merged, the level of a whole build, and a writer's attempts.
+FAN, BASE, ATTEMPTS = 4, 99, 10
+#: Notes of a change that are looked up by name, in a filter that reaches the scan; more of them are joined.
+FEW = 1_000
+#: Sections of a bin: as many postings a block has at most.
+BIN = 512
+
+#: Views that changes keep counted: their key columns and the name of the count.
+VIEWS = {
+    "terms": (("term",), "df"),
+    "tags": (("tag",), "notes"),
+    "folders": (("folder",), "notes"),
+    "links": (("note_path", "kind", "target"), "n"),
+}
 
 
 def _counted(tokens: Column) -> Column:
@@ -38,6 +56,43 @@ def indexed(sections: DataFrame) -> DataFrame:
     return sections.withColumn("tag_grams", F.array_distinct(text.ngrams(F.array_join("tags", " "))))
 
 
+def blocks(sections: DataFrame) -> DataFrame:
+    """Postings by term and bin: n, the largest tf, the least dl/tf, and the postings themselves.
+
+    A section's bin follows from its length and the hash of its path, so a bin is the same sections for every term, none has many more than BIN,
+    and its sections are of about one length. The two extremes bound the score part of a term in the bin, whatever the corpus' mean length.
+    """
+    words = postings(sections)
+    bucket = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) * 2).cast("int")
+    sizes = sections.groupBy(bucket(F.col("token_count")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    parts = F.broadcast(sizes.select(F.col("b").alias("_b"), F.ceil(F.col("n") / BIN).alias("_parts")))  # two rows for each doubling of the length
+    dealt = words.withColumn("_bucket", bucket(F.col("dl"))).join(parts, F.col("_bucket") == F.col("_b"))
+    bin_ = (F.shiftleft(F.col("_bucket").cast("long"), 40) + F.pmod(F.xxhash64("section_path"), F.col("_parts"))).alias("bin")
+    posts = F.collect_list(F.struct("section_path", "note_path", "tf", "dl")).alias("posts")
+    return dealt.groupBy("term", bin_).agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("dl") / F.col("tf")).alias("min_ratio"), posts)
+
+
+def grams(sections: DataFrame) -> DataFrame:
+    """gram, section_path, note_path and the number of different grams of the section's tags; sections without tags have none."""
+    held = sections.filter(F.size("tags") > 0).select("section_path", "note_path", F.array_distinct(text.ngrams(F.array_join("tags", " "))).alias("g"))
+    return held.select(F.explode("g").alias("gram"), "section_path", "note_path", F.size("g").alias("n_grams"))
+
+
+def counted(sections: DataFrame) -> DataFrame:
+    """What sections add to the views: view, key (the first of the keys, by which readers look up), keys, delta. Sections of a note belong together."""
+    row = lambda view, *keys: [F.lit(view).alias("view"), F.array(*keys).alias("keys")]
+    terms = sections.select(F.explode(F.array_distinct("tokens")).alias("t")).select(*row("terms", F.col("t")))
+    tags = sections.select("note_path", F.explode("tags").alias("t")).distinct().select(*row("tags", F.col("t")))
+    folders = sections.filter("folder is not null").select("note_path", "folder").distinct().select(*row("folders", F.col("folder")))
+    links = sections.select("note_path", F.explode("links").alias("l")).select(*row("links", F.col("note_path"), F.col("l.kind"), F.col("l.target")))
+    rows = terms.unionByName(tags).unionByName(folders).unionByName(links)
+    return rows.groupBy("view", F.get("keys", F.lit(0)).alias("key"), "keys").agg(F.count(F.lit(1)).alias("delta"))
+
+
+def _summed(delta: DataFrame) -> DataFrame:
+    return delta.groupBy("view", "key", "keys").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
+
+
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -54,72 +109,221 @@ def upsert(sections: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataF
 
 
 class Store:
-    """Index tables below a folder, as a base and the changes since.
+    """Index tables below a folder, as levels of runs.
 
-    A change holds the rows of changed notes, and the notes whose earlier rows are dead, so it costs what changed and not what is
-    stored; `compact` folds all into a new base. A numbered file names the parts of every table: a reader sees a state whole or not at
-    all, and a crash leaves the state before.
+    A run has the rows of the notes that a change brought, the notes whose rows in earlier runs are dead, and what the change added to or took from
+    each count. FAN runs of one level are merged into one of the next, so a reader meets fewer than FAN runs on each level, whatever the
+    number of changes, and a row is rewritten once a level. A numbered file names the runs: a reader sees a state whole or not at
+    all, a crash leaves the state before, and a writer that another has overtaken starts again from the new state.
+
+    Tables of a run: sections, sorted by note; blocks, a term's postings by bin (see `blocks`); grams, the inverted lists of the n-grams of
+    tags; counts, signed differences of the views; gone, the dead notes. A note's rows are alive in a run if no later run has it in `gone`.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _write(self, df: DataFrame, name: str, n: int) -> str:
-        path = f"{name}-{n}-{uuid.uuid4().hex[:8]}"
+    # ---- states
+
+    def meta(self) -> tuple[int, dict]:
+        """The highest number taken and the content of the current state; an empty state where there is none of this version."""
+        highest = (scratch.states(self.spark, self.root) or [-1])[0]  # of a broken-off file too: its number is taken
+        meta = scratch.latest(self.spark, self.root)[1]
+        return highest, meta if meta.get("version") == VERSION else {"version": VERSION, "seq": 0, "runs": [], "schemas": {}}
+
+    def _commit(self, make: Callable[[int, dict], dict]) -> None:
+        """Publish what `make` makes of the current state, again from the newest if another writer came first."""
+        for _ in range(ATTEMPTS):
+            n, meta = self.meta()
+            new = make(n, json.loads(json.dumps(meta)))
+            try:
+                scratch.publish(self.spark, self.root, n + 1, new)
+                return
+            except scratch.Overtaken:
+                known = set(_paths(self.meta()[1]))
+                self._remove(p for p in _paths(new) if p not in known and p not in _paths(meta))
+        raise scratch.Overtaken(f"{self.root}: {ATTEMPTS} attempts, and each time another writer came first")
+
+    def _remove(self, paths_) -> None:
+        for p in paths_:
+            fs, at = scratch.file_system(self.spark, f"{self.root}/{p}")
+            fs.delete(at, True)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove what none of the last `keep` states names; how many tables went. Readers of older states must have ended."""
+        states = scratch.states(self.spark, self.root)
+        used = {p for n in states[:keep] for p in _paths(scratch.state(self.spark, self.root, n) or {})}
+        fs, at = scratch.file_system(self.spark, self.root)
+        old = [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory() and x.getPath().getName() not in used]
+        self._remove(old)
+        self._remove(f"state-{n}.json" for n in states[keep:])
+        return len(old)
+
+    # ---- tables
+
+    def _write(self, df: DataFrame, table: str, meta: dict) -> str:
+        path = f"{table}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{path}")
+        meta["schemas"][table] = df.schema.json()
         return path
 
-    def save(self, **tables: DataFrame) -> None:
-        """Write new states of the named tables; the others keep theirs."""
-        n, meta = scratch.latest(self.spark, self.root)
-        for name, df in tables.items():
-            if name not in TABLES:
-                raise ValueError(f"no table is called {name}")
-            meta[name] = {"version": VERSION, "parts": [[self._write(df, name, n + 1), None]]}
-        scratch.publish(self.spark, self.root, n + 1, meta)
+    def _write_all(self, tables: dict[str, DataFrame], meta: dict) -> dict[str, str]:
+        """Independent jobs, side by side."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            return dict(zip(tables, pool.map(lambda t: self._write(tables[t], t, meta), tables), strict=True))
+
+    def _read(self, meta: dict, run: dict, table: str) -> DataFrame:
+        schema = StructType.fromJson(json.loads(meta["schemas"][table]))
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{run['tables'][table]}").withColumn("_seq", F.lit(run["seq"]))
+
+    def _all(self, meta: dict, table: str, runs: list[dict]) -> DataFrame | None:
+        parts = [self._read(meta, r, table) for r in runs if table in r["tables"]]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+    def _alive(self, meta: dict, rows: DataFrame, runs: list[dict]) -> DataFrame:
+        """rows (note_path, _seq, ...) of runs without those that a later one has killed: one join, however many changes there were."""
+        gone = self._all(meta, "gone", runs)
+        if gone is None:
+            return rows.drop("_seq")
+        last = gone.groupBy(F.col("note_path").alias("_note")).agg(F.max("_seq").alias("_last"))
+        return rows.join(last, (F.col("note_path") == F.col("_note")) & (F.col("_seq") < F.col("_last")), "left_anti").drop("_seq")
+
+    def _table(self, meta: dict, table: str, runs: list[dict]) -> DataFrame:
+        rows = self._all(meta, table, runs)
+        if table == "blocks":
+            rows = rows.select("term", "_seq", F.explode("posts").alias("p")).select("term", "p.*", "_seq")
+        return self._alive(meta, rows, runs)
 
     def load(self, name: str) -> DataFrame | None:
-        """The current state; None where it is missing or of another version, so that it is built anew."""
-        meta = scratch.latest(self.spark, self.root)[1].get(name)
-        if not meta or meta.get("version") != VERSION:
+        """The current sections, postings, grams, corpus, or a view (see VIEWS); None where nothing of this version is stored."""
+        _, meta = self.meta()
+        if not meta["runs"]:
             return None
-        out = None
-        for part, gone in meta["parts"]:
-            rows = self.spark.read.parquet(f"{self.root}/{part}")
-            if out is not None and gone:
-                out = out.join(self.spark.read.parquet(f"{self.root}/{gone}"), "note_path", "left_anti")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        if name == "corpus":
+            c = meta["corpus"]
+            return self.spark.createDataFrame([(c["n"], c["total_len"], c["note_count"], datetime.fromtimestamp(c["at"], UTC))], "n long, total_len long, note_count long, last_indexed timestamp")
+        if name in VIEWS:
+            return self._view(meta, name)
+        if name not in ("sections", "postings", "grams"):
+            raise ValueError(f"no table is called {name}")
+        return self._table(meta, "blocks" if name == "postings" else name, meta["runs"])
+
+    def _view(self, meta: dict, name: str, keys: list[str] | None = None) -> DataFrame:
+        """A view from its differences alone: the sum of what the runs have counted. keys: only rows with these first keys."""
+        columns, value = VIEWS[name]
+        rows = self._all(meta, "counts", meta["runs"]).filter(F.col("view") == name)
+        rows = rows if keys is None else rows.filter(F.col("key").isin(*keys))
+        return rows.groupBy("keys").agg(F.sum("delta").alias(value)).filter(F.col(value) > 0).select(*[F.get("keys", F.lit(i)).alias(c) for i, c in enumerate(columns)], value)
+
+    def parts(self) -> int:
+        """Runs that a reader meets now."""
+        return len(self.meta()[1]["runs"])
+
+    # ---- point reads
+
+    def view(self, name: str, keys: list[str] | None = None) -> DataFrame | None:
+        """A view, or its rows with a few first keys: row groups without them are not read."""
+        _, meta = self.meta()
+        return self._view(meta, name, keys) if meta["runs"] else None
+
+    def headers(self, terms: list[str]) -> DataFrame:
+        """The blocks of some terms without their postings."""
+        _, meta = self.meta()
+        return self._all(meta, "blocks", meta["runs"]).filter(F.col("term").isin(*terms)).select("_seq", "term", "bin", "n", "max_tf", "min_ratio")
+
+    def blocks(self, terms: list[str], only: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The living postings in those blocks of some terms that `only` lets through; it sees _seq, term and bin before postings are read."""
+        _, meta = self.meta()
+        rows = only(self._all(meta, "blocks", meta["runs"]).filter(F.col("term").isin(*terms)))
+        return self._alive(meta, rows.select("term", "_seq", F.explode("posts").alias("p")).select("term", "p.*", "_seq"), meta["runs"])
+
+    def sections_of(self, notes: list[str]) -> DataFrame:
+        """The sections of a few notes: row groups without them are not read, as runs are sorted by note."""
+        return self.load("sections").filter(F.col("note_path").isin(*notes))
+
+    # ---- changes
+
+    def _sorted(self, sections: DataFrame) -> DataFrame:
+        return sections.repartitionByRange("note_path").sortWithinPartitions("note_path", "ordinal")
+
+    def _run(self, meta: dict, sections: DataFrame, counts: DataFrame | None, level: int, seq: int, gone: DataFrame | None, more: dict[str, DataFrame] | None = None) -> dict:
+        """A run of stored sections (see `_draft`); counts: the differences, else what the sections count."""
+        by_term = blocks(sections).repartitionByRange("term", "bin").sortWithinPartitions("term", "bin")
+        tables = {"blocks": by_term, "grams": grams(sections).repartitionByRange("gram").sortWithinPartitions("gram", "section_path"), "counts": (counted(sections) if counts is None else counts).repartitionByRange("view", "key").sortWithinPartitions("view", "key")}
+        if gone is not None:
+            tables["gone"] = gone.coalesce(1)
+        return {"seq": seq, "level": level, "tables": self._write_all(tables | (more or {}), meta)}
 
-    def _by_term(self, sections: DataFrame) -> DataFrame:
-        return postings(sections).repartitionByRange("term").sortWithinPartitions("term")
+    def _stored(self, meta: dict, path: str) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(meta["schemas"]["sections"]))).parquet(f"{self.root}/{path}")
 
     def build(self, sections: DataFrame) -> None:
-        """Sections, and postings and statistics of them."""
-        self.save(sections=sections)
-        stored = self.load("sections")
-        self.save(postings=self._by_term(stored), corpus=corpus(stored))
+        """A first run of these sections, in place of whatever there was."""
+
+        def make(n: int, meta: dict) -> dict:
+            new = {"version": VERSION, "seq": meta["seq"] + 1, "schemas": {}, "runs": []}
+            draft = self._stored(new, first := self._write(sections, "sections", new))  # parsed once, whatever is made of it
+            run = self._run(new, draft, None, BASE, new["seq"], None, {"sections": self._sorted(draft)})
+            self._remove([first])
+            return new | {"runs": [run], "corpus": _numbers(self._stored(new, run["tables"]["sections"]))}
+
+        self._commit(make)
 
     def change(self, changed: DataFrame, deleted: DataFrame) -> None:
-        """Replace all sections of the changed notes, and drop those of deleted ones (note_path): sections, postings and statistics.
+        """Replace all sections of the changed notes, and drop those of deleted ones (note_path), in all tables and views.
 
-        Statistics are counted down by what goes and up by what comes. A note that is not stored goes without effect, so a
-        change may be applied again.
+        Costs what the change holds and the rows that these notes had before, which are read by note; the base is not read. A
+        note that is not stored goes without effect, so a change may be applied again.
         """
-        n, meta = scratch.latest(self.spark, self.root)
-        before = self.load("sections")
-        at = self._write(changed, "sections", n + 1)
-        fresh = self.spark.read.schema(changed.schema).parquet(f"{self.root}/{at}")
-        gone_at = self._write(fresh.select("note_path").union(deleted.select("note_path")).distinct(), "gone", n + 1)
-        lost = corpus(before.join(self.spark.read.parquet(f"{self.root}/{gone_at}"), "note_path", "left_semi")).first()
-        more, old = corpus(fresh).first(), self.load("corpus").first()
-        row = tuple(max(0, old[c] - lost[c]) + more[c] for c in ("n", "total_len", "note_count"))
-        meta["sections"]["parts"].append([at, gone_at])
-        meta["postings"]["parts"].append([self._write(self._by_term(fresh), "postings", n + 1), gone_at])
-        counts = self.spark.createDataFrame([(*row, datetime.now(UTC))], "n long, total_len long, note_count long, last_indexed timestamp")
-        meta["corpus"]["parts"] = [[self._write(counts, "corpus", n + 1), None]]
-        scratch.publish(self.spark, self.root, n + 1, meta)
+
+        def make(n: int, meta: dict) -> dict:
+            seq = meta["seq"] + 1
+            path = self._write(changed.sortWithinPartitions("note_path", "ordinal") if meta["runs"] else changed, "sections", meta)
+            fresh = self._stored(meta, path)
+            notes = fresh.select("note_path").union(deleted.select("note_path")).distinct()
+            gone_at = self._write(notes.coalesce(1), "gone", meta)
+            gone = self.spark.read.schema("note_path string").parquet(f"{self.root}/{gone_at}")
+            few = [r["note_path"] for r in gone.limit(FEW + 1).collect()]
+            stored = self._table(meta, "sections", meta["runs"]) if meta["runs"] else fresh.limit(0)
+            before = stored.filter(F.col("note_path").isin(*few)) if len(few) <= FEW else stored.join(gone, "note_path", "left_semi")
+            lost, more = _numbers(before), _numbers(fresh)
+            delta = counted(fresh).unionByName(counted(before).withColumn("delta", -F.col("delta")))
+            run = self._run(meta, fresh, _summed(delta), 0, seq, None)
+            run["tables"] |= {"sections": path, "gone": gone_at}
+            old = meta.get("corpus", {"n": 0, "total_len": 0, "note_count": 0})
+            meta["corpus"] = {k: max(0, old[k] - lost[k]) + more[k] for k in ("n", "total_len", "note_count")} | {"at": more["at"]}
+            return self._levelled(meta | {"seq": seq, "runs": [*meta["runs"], run]})
+
+        self._commit(make)
+
+    def _levelled(self, meta: dict) -> dict:
+        """Merge a level's runs into one of the next level, as long as a level has FAN of them."""
+        while True:
+            level = next((v for v in sorted({r["level"] for r in meta["runs"]}) if v < BASE and sum(r["level"] == v for r in meta["runs"]) >= FAN), None)
+            if level is None:
+                return meta
+            some = [r for r in meta["runs"] if r["level"] == level]
+            meta["runs"] = [r for r in meta["runs"] if r["level"] > level] + [self._merged(meta, some, min(level + 1, BASE - 1))] + [r for r in meta["runs"] if r["level"] < level]
+
+    def _merged(self, meta: dict, runs: list[dict], level: int) -> dict:
+        """One run for consecutive ones. Its dead notes are all of theirs, unless nothing is older."""
+        oldest = runs[0]["seq"] == meta["runs"][0]["seq"]
+        draft = self._stored(meta, first := self._write(self._table(meta, "sections", runs), "sections", meta))
+        gone = None if oldest else self._all(meta, "gone", runs).select("note_path").distinct()
+        run = self._run(meta, draft, _summed(self._all(meta, "counts", runs).drop("_seq")), level, runs[-1]["seq"], gone, {"sections": self._sorted(draft)})
+        self._remove([first])
+        return run
 
     def compact(self) -> None:
-        """A new base for all that changes have made."""
-        self.save(sections=self.load("sections"), postings=self.load("postings").repartitionByRange("term").sortWithinPartitions("term"))
+        """One run for all that changes have made."""
+        self._commit(lambda n, meta: meta | {"runs": [self._merged(meta, meta["runs"], BASE)]})
+
+
+def _paths(meta: dict) -> list[str]:
+    return [p for r in meta.get("runs", []) for p in r["tables"].values()]
+
+
+def _numbers(sections: DataFrame) -> dict:
+    """The corpus row of sections, as stored in a state."""
+    r = corpus(sections).first()
+    return {"n": r["n"], "total_len": r["total_len"], "note_count": r["note_count"], "at": r["last_indexed"].timestamp()}

@@ -101,6 +101,16 @@ def tag_jaccard(found: DataFrame, query: str, n: int = text.NGRAM, threshold: fl
     return found.filter(F.size("tags") > 0).withColumn("score", once).filter(F.col("score") > threshold)
 
 
+def tag_postings(grams: DataFrame, query: str) -> DataFrame:
+    """section_path and the score of `tag_jaccard` from stored inverted lists (see operators.index): only the query's n-grams are read.
+
+    A section's size and the number of shared n-grams are all that the similarity needs; sections that share none are not met.
+    """
+    wanted = sorted(set(text.ngrams_of(query)))
+    both = grams.filter(F.col("gram").isin(*wanted)).groupBy("section_path", "n_grams").agg(F.count(F.lit(1)).alias("both"))
+    return both.select("section_path", (F.col("both") / (F.col("n_grams") + len(wanted) - F.col("both"))).alias("score"))
+
+
 def _better(score: Column, key: Column, than_score: Column, than_key: Column) -> Column:
     return (score > than_score) | ((score == than_score) & (key < than_key))
 
@@ -145,10 +155,10 @@ def within_budget(hits: DataFrame, tokens: int | None) -> DataFrame:
     return hits.withColumn("_total", total).filter(F.col("_total") <= tokens).drop("_total")
 
 
-def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0, postings: DataFrame | None = None, corpus: DataFrame | None = None, scorers: Sequence[Scorer] | None = None) -> DataFrame:
+def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0, postings: DataFrame | None = None, corpus: DataFrame | None = None, grams: DataFrame | None = None, scorers: Sequence[Scorer] | None = None) -> DataFrame:
     """Ranked sections: filters, both rankings, fusion and limit, then the token budget, then the threshold.
 
-    postings and corpus: those of a stored index, of which only the query's terms are read; without them sections are scanned.
+    postings, corpus and grams: those of a stored index, of which only the query's terms and n-grams are read; without them sections are scanned.
     scorers: rankings to fuse in place of words and tags.
     """
     q = parse(query) if isinstance(query, str) else query
@@ -166,12 +176,14 @@ def hits(sections: DataFrame, query: str | SearchQuery, limit: int = LIMIT, toke
         lists = [bm25(found, sections, q.text), tag_jaccard(found, q.text)]
     else:
         words = bm25_postings(postings, corpus, q.text)
+        tagged = tag_jaccard(found, q.text) if grams is None else tag_postings(grams, q.text)
         if q.tags or q.folders:
-            words = words.join(found.select("section_path"), "section_path", "left_semi")
-        lists = [words, tag_jaccard(found, q.text)]
+            words, tagged = (x.join(found.select("section_path"), "section_path", "left_semi") for x in (words, tagged))
+        lists = [words, tagged]
     best = rrf(lists, limit=limit)
     ranks = spark.createDataFrame([(p, s, i + 1) for i, (p, s) in enumerate(best)], "section_path string, score double, rank int")
-    ranked = found.join(F.broadcast(ranks), "section_path")
+    notes = {p.partition("#")[0] for p, _ in best}  # a filter that reaches the scan of sections sorted by note
+    ranked = found.filter(F.col("note_path").isin(*notes)).join(F.broadcast(ranks), "section_path").orderBy("rank").limit(limit)
     return within_budget(ranked, token_limit).filter(F.col("score") >= threshold)
 
 
@@ -189,10 +201,10 @@ def by_note(ranked: DataFrame) -> DataFrame:
     )
 
 
-def search(sections: DataFrame, query: str, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0, postings: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+def search(sections: DataFrame, query: str, limit: int = LIMIT, token_limit: int | None = None, threshold: float = 0.0, postings: DataFrame | None = None, corpus: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
     """Notes with their hits. Without text in the query, scores are null."""
     q = parse(query)
-    ranked = hits(sections, q, limit, token_limit, threshold, postings, corpus)
+    ranked = hits(sections, q, limit, token_limit, threshold, postings, corpus, grams)
     if not q.text.strip():
         ranked = ranked.withColumn("score", F.lit(None).cast("double"))
     return by_note(ranked)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import data_uri, paths, text
 from ..functions import markdown as md
-from ..operators import catalog, changes, edits, graph, index, render, search, sections
+from ..operators import catalog, changes, edits, graph, index, render, search, sections, topk
 from ..operators.query import parse
 from ..sources import scratch
-from ..sources.projection import vault
+from ..sources.projection import projection_sql, vault
 from .oracle import TAGGED, VAULT, bm25_cte, jaccard_cte, with_vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,7 +67,7 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str, raw: str, **options) -> DataFrame:
     s = stored(spark, sf_dir)
-    return search.hits(s.load("sections"), raw, postings=s.load("postings"), corpus=s.load("corpus"), **options)
+    return search.hits(s.load("sections"), raw, postings=s.load("postings"), corpus=s.load("corpus"), grams=s.load("grams"), **options)
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,11 +235,54 @@ def bm25_postings_topk(spark, sf_dir):
     return best.select("section_path", F.round("score", 6).alias("score"))
 
 
+@query(with_vault("SELECT section_path, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, section_path LIMIT 20", bm25_cte(_terms(WORDS))))
+def bm25_blockmax_topk(spark, sf_dir):
+    """The same hits by block-max pruning: of the words' postings only bins are read that can hold one of them."""
+    return topk.blockmax(stored(spark, sf_dir), WORDS)[0].select("section_path", F.round("score", 6).alias("score"))
+
+
+#: Every document whose number 50 divides, as a whole, is a search against all sections.
+_MANY = r"""asked AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0),
+qt AS (SELECT query_id, w AS term, count(*) AS times FROM (SELECT query_id, lower(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) AS w FROM (SELECT query_id, unnest(string_split_regex(text, '\s+')) AS x FROM asked)) WHERE w <> '' GROUP BY ALL),
+tf AS (SELECT section_path, w AS term, count(*) AS tf FROM toks GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term), cs AS (SELECT count(*) AS n, sum(dl) AS total FROM lens),
+bmq AS (SELECT q.query_id, l.section_path, sum(q.times * ln((cs.n - dfs.df + 0.5e0) / (dfs.df + 0.5e0) + 1e0) * tf.tf * 2.2e0 / (tf.tf + 1.2e0 * (0.25e0 + 0.75e0 * l.dl / (cs.total * 1e0 / cs.n)))) AS score
+  FROM tf JOIN qt q USING (term) JOIN dfs USING (term) JOIN lens l ON l.section_path = tf.section_path CROSS JOIN cs GROUP BY ALL)"""
+_MANY_TAGS = r"""gq AS (SELECT query_id, g, len(g) AS n FROM (SELECT query_id, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT query_id, '$$' || lower(text) || '$$' AS p FROM asked))),
+gs AS (SELECT section_path, g, len(g) AS n FROM (SELECT section_path, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT section_path, '$$' || lower(array_to_string(ordered_tags, ' ')) || '$$' AS p FROM tagged WHERE len(tags) > 0))),
+jb AS (SELECT query_id, section_path, nq, ns, count(*) AS b FROM (SELECT query_id, n AS nq, unnest(g) AS x FROM gq) JOIN (SELECT section_path, n AS ns, unnest(g) AS x FROM gs) USING (x) GROUP BY ALL),
+jmq AS (SELECT query_id, section_path, b * 1e0 / (nq + ns - b) AS score FROM jb)"""
+
+
+@query(with_vault("SELECT query_id, section_path, round(score, 4) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, section_path) AS r FROM bmq) WHERE r <= 20", _MANY))
+def bm25_many(spark, sf_dir):
+    """Many searches at once: scores of all, and the 20 best of each. Ranked by rounded scores, whose sums do not depend on their order."""
+    scored = topk.many_bm25(stored(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    return topk._top(scored, 20)
+
+
+@query(with_vault("SELECT query_id, section_path, round(score, 6) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_path) AS r FROM fusedq) WHERE r <= 20", TAGGED, _MANY, _MANY_TAGS, "ranksq AS (SELECT query_id, section_path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, section_path) AS r FROM bmq UNION ALL SELECT query_id, section_path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_path) FROM jmq)", "fusedq AS (SELECT query_id, section_path, round(sum(1e0 / (60 + r)), 12) AS score FROM ranksq GROUP BY ALL)"))
+def rrf_many(spark, sf_dir):
+    """The same as hybrid searches: the ranks of words and of tags, fused for each query."""
+    s, asked = stored(spark, sf_dir), _asked(spark, sf_dir)
+    found = topk.fuse([topk.many_bm25(s, asked).withColumn("score", F.round("score", 4)), topk.many_tags(s, asked)])
+    return found.select("query_id", "section_path", F.round("score", 6).alias("score"), "rank")
+
+
 @query(with_vault("SELECT section_path, round(score, 6) AS score FROM jq", TAGGED, jaccard_cte(_grams(HYBRID))))
 def tag_jaccard(spark, sf_dir):
     return search.tag_jaccard(_indexed(spark, sf_dir), parse(HYBRID).text).select("section_path", F.round("score", 6).alias("score"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+
+
+@query(with_vault("SELECT section_path, round(score, 6) AS score FROM jq", TAGGED, jaccard_cte(_grams(HYBRID))))
+def tag_jaccard_postings(spark, sf_dir):
+    """The same scores from the inverted lists of the tags' n-grams."""
+    return search.tag_postings(stored(spark, sf_dir).load("grams"), parse(HYBRID).text).select("section_path", F.round("score", 6).alias("score"))
+
+
 def _fused(limit: int) -> tuple[str, ...]:
     return (
         TAGGED,
@@ -270,7 +313,7 @@ def token_budget(spark, sf_dir):
 @query(with_vault("SELECT note_path, string_agg(section_path, ' ' ORDER BY rank) AS sections, sum(dl)::BIGINT AS token_count, round(max(score), 6) AS max_score FROM top GROUP BY note_path", *_fused(20)))
 def notes_grouped(spark, sf_dir):
     s = stored(spark, sf_dir)
-    return search.search(s.load("sections"), HYBRID, postings=s.load("postings"), corpus=s.load("corpus")).select("note_path", F.array_join("sections.section_path", " ").alias("sections"), "token_count", F.round("max_score", 6).alias("max_score"))
+    return search.search(s.load("sections"), HYBRID, postings=s.load("postings"), corpus=s.load("corpus"), grams=s.load("grams")).select("note_path", F.array_join("sections.section_path", " ").alias("sections"), "token_count", F.round("max_score", 6).alias("max_score"))
 
 
 _FILTERED = "(note_path LIKE 'src1/%' OR note_path LIKE 'src2/%') AND list_contains(tags, 'bucket/b2')"
@@ -481,6 +524,74 @@ def corpus_after_change(spark, sf_dir):
     return store.load("corpus").drop("last_indexed")
 
 
+#: Changes that one after the other bring a third of all notes in a new state and take some others away.
+CHANGES = 12
+_NEW = "concat(replace(replace(content, 'lang/', 'tongue/'), '[[doc', '[[old'), '## Added', chr(10), 'renewed words')"
+_GONE = "doc_id % 7 = 1 AND doc_id % 3 <> 0"
+_CHANGED = f"vault AS (SELECT doc_id, path, CASE WHEN doc_id % 3 = 0 THEN {_NEW} ELSE content END AS content FROM ({projection_sql('varchar')}) WHERE NOT ({_GONE})), "
+
+
+def _after(select: str, *more: str) -> str:
+    """select over the vault as the changes leave it."""
+    return with_vault(select, *more).replace(VAULT, _CHANGED, 1)
+
+
+def changed(spark: SparkSession, sf_dir: str) -> index.Store:
+    """A stored index after the changes: built by the session's first query over these files."""
+    first = stored(spark, sf_dir)  # tells the files apart
+    key = (first.root, "changed")
+    if key not in _STORES:
+        store = build_index(spark, sf_dir)
+        for i in range(CHANGES):
+            some = vault(spark, sf_dir).filter(f"doc_id % {CHANGES} = {i}")
+            new = some.filter("doc_id % 3 = 0").withColumn("content", F.expr(_NEW))
+            store.change(index.indexed(sections.sections(new)), some.filter(_GONE).select(F.col("path").alias("note_path")))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+@query(_after("SELECT section_path, w AS term, count(*)::INT AS tf FROM toks GROUP BY ALL"))
+def levels_postings(spark, sf_dir):
+    """Postings after many changes, from a bounded number of runs."""
+    return changed(spark, sf_dir).load("postings").select("section_path", "term", "tf")
+
+
+@query(_after("SELECT w AS term, count(DISTINCT section_path) AS df FROM toks GROUP BY w"))
+def view_terms(spark, sf_dir):
+    """Document frequencies, counted up and down by the changes; so are the three views that follow."""
+    return changed(spark, sf_dir).view("terms")
+
+
+@query(_after("SELECT tag, count(DISTINCT note_path) AS notes FROM (SELECT note_path, unnest(tags) AS tag FROM sections) GROUP BY tag"))
+def view_tags(spark, sf_dir):
+    return changed(spark, sf_dir).view("tags")
+
+
+@query(_after("SELECT folder, count(DISTINCT note_path) AS notes FROM sections GROUP BY folder"))
+def view_folders(spark, sf_dir):
+    return changed(spark, sf_dir).view("folders")
+
+
+_WIKI = r"regexp_extract_all(content, '(!?)\[\[([^#|^\]\n]*)(?:#([^^|#\]\n]*))?(?:\|([^\]\n]*))?\]\]', {})"
+_EACH_WIKI = ", ".join(f"unnest({_WIKI.format(i)}) AS {name}" for i, name in enumerate(("embed", "target", "heading", "alias"), 1))
+
+
+@query(_after(f"SELECT note_path, 'wiki' AS kind, target, count(*) AS n FROM (SELECT DISTINCT * FROM (SELECT section_path, note_path, {_EACH_WIKI} FROM sections)) GROUP BY ALL"))
+def view_wikilinks(spark, sf_dir):
+    return changed(spark, sf_dir).view("links").filter("kind = 'wiki'")
+
+
+@query(_after("SELECT section_path, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, section_path LIMIT 20", bm25_cte(_terms(WORDS))))
+def levels_blockmax_topk(spark, sf_dir):
+    """Block-max search over all runs, with the statistics that the changes have left."""
+    return topk.blockmax(changed(spark, sf_dir), WORDS)[0].select("section_path", F.round("score", 6).alias("score"))
+
+
+@query(_after("SELECT count(*) AS n, sum(dl)::BIGINT AS total_len, count(DISTINCT note_path) AS note_count FROM lens"))
+def levels_corpus(spark, sf_dir):
+    return changed(spark, sf_dir).load("corpus").drop("last_indexed")
+
+
 @query(with_vault("SELECT note_path, string_agg(section_path, ' ' ORDER BY ordinal) AS sections, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ' ') AS tags, sum(dl)::BIGINT AS token_count FROM (SELECT s.note_path, s.section_path, s.ordinal, s.tags, l.dl FROM sections s JOIN lens l USING (section_path)) GROUP BY note_path"))
 def notes_indexed(spark, sf_dir):
     n = catalog.notes_indexed(_indexed(spark, sf_dir))

@@ -51,20 +51,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def latest(spark: SparkSession, root: str) -> tuple[int, dict]:
-    """Number and content of the highest complete state file below root; -1 and nothing without one."""
+class Overtaken(RuntimeError):
+    """Another writer has published a state of this number."""
+
+
+def states(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the state files below root, the highest first."""
     fs, p = file_system(spark, root)
     if not fs.exists(p):
-        return -1, {}
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    for n in sorted((int(m[1]) for x in names if (m := re.fullmatch(r"state-([0-9]+)\.json", x))), reverse=True):
-        stream = fs.open(file_system(spark, f"{root}/state-{n}.json")[1])
-        raw = bytes(stream.readAllBytes())
-        stream.close()
-        try:
-            return n, json.loads(raw)
-        except ValueError:  # broken off while it was written: the one before counts
-            continue
+        return []
+    return sorted((int(m[1]) for s in fs.listStatus(p) if (m := re.fullmatch(r"state-([0-9]+)\.json", s.getPath().getName()))), reverse=True)
+
+
+def state(spark: SparkSession, root: str, n: int) -> dict | None:
+    """Content of state n; None if it was broken off while it was written."""
+    fs, p = file_system(spark, f"{root}/state-{n}.json")
+    stream = fs.open(p)
+    raw = bytes(stream.readAllBytes())
+    stream.close()
+    try:
+        return json.loads(raw)
+    except ValueError:
+        return None
+
+
+def latest(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """Number and content of the highest complete state file below root; -1 and nothing without one."""
+    for n in states(spark, root):
+        if (found := state(spark, root, n)) is not None:
+            return n, found
     return -1, {}
 
 
@@ -76,4 +91,4 @@ def publish(spark: SparkSession, root: str, n: int, state: dict) -> None:
     out.close()
     if not fs.rename(draft, file_system(spark, f"{root}/state-{n}.json")[1]):
         fs.delete(draft, False)
-        raise RuntimeError(f"state {n} of {root} has been written by another")
+        raise Overtaken(f"state {n} of {root} has been written by another")
