@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import data_uri, paths, text
 from ..functions import markdown as md
-from ..operators import catalog, changes, edits, graph, index, render, search, sections, topk
+from ..operators import catalog, changes, edits, graph, index, render, renames, search, sections, topk
+from ..operators.commits import Log
 from ..operators.query import parse
 from ..sources import scratch
 from ..sources.projection import projection_sql, vault
@@ -469,6 +470,82 @@ def frontmatter_patch(spark, sf_dir):
     return d.select("doc_id", patched.alias("m")).select("doc_id", F.col("m.language").alias("language"), F.col("m.state").alias("state"))
 
 
+# two writers have read version 1; the second one's batch comes after the first one's
+_TEXT = "coalesce(text, '')"
+_LOG: dict[tuple, tuple[Log, DataFrame]] = {}
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> tuple[Log, DataFrame]:
+    """The log after three commits, and the outcomes of the last."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOG:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_TEXT).alias("text"))
+        doc, new = (F.concat(F.lit(x), F.col("doc_id").cast("string"), F.lit(".md")).alias("path") for x in ("doc", "new"))
+        none, read = F.lit(None).cast("string"), F.concat(F.lit("1:"), F.octet_length("text").cast("string")).alias("expected")
+        log = Log(spark, scratch.new_path(spark, "log"))
+        log.commit(docs.select(doc, none.alias("expected"), F.col("text").alias("content")))
+        a = docs.filter("doc_id % 3 = 0").select(doc, read, F.concat("text", F.lit(" A")).alias("content"))
+        b = docs.filter("doc_id % 2 = 0").select(doc, read, F.when(F.col("doc_id") % 4 != 0, F.concat("text", F.lit(" B"))).alias("content"))
+        log.commit(a.unionByName(docs.filter("doc_id % 5 = 0").select(new, none.alias("expected"), F.lit("new").alias("content"))))
+        _, outcomes = log.commit(b.unionByName(docs.filter("doc_id % 10 = 0").select(new, none.alias("expected"), F.lit("late").alias("content"))))
+        _LOG[key] = (log, outcomes)
+    return _LOG[key]
+
+
+@query("SELECT 'doc' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN 'conflict' WHEN doc_id % 4 = 0 THEN 'deleted' ELSE 'updated' END AS outcome FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'new' || doc_id || '.md', 'exists' FROM documents WHERE doc_id % 10 = 0")
+def commit_outcomes(spark, sf_dir):
+    """What becomes of the second of two batches whose writers have read the same version."""
+    return _committed(spark, sf_dir)[1]
+
+
+_STATE_SQL = f"""SELECT 'doc' || doc_id || '.md' AS path, v || ':' || strlen(c) AS token, md5(c) AS md5 FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END AS v,
+ {_TEXT} || CASE WHEN doc_id % 3 = 0 THEN ' A' WHEN doc_id % 2 = 0 THEN ' B' ELSE '' END AS c FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 <> 0) UNION ALL SELECT 'new' || doc_id || '.md', '2:3', md5('new') FROM documents WHERE doc_id % 5 = 0"""
+
+
+@query(_STATE_SQL)
+def commit_state(spark, sf_dir):
+    """The notes after both batches: those of the serial run."""
+    return _committed(spark, sf_dir)[0].notes().select("path", "token", F.md5("content").alias("md5"))
+
+
+@query("SELECT CASE WHEN doc_id % 4 = 0 THEN 'deleted' ELSE 'written' END AS op, 'doc' || doc_id || '.md' AS path FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+def commit_changes(spark, sf_dir):
+    """What the last version has written."""
+    return _committed(spark, sf_dir)[0].changes(2).select("op", "path")
+
+
+#: Renames of stems: a chain of three for one note in eight, a chain of two for the others of one in four, and swaps of neighbours by a third name.
+def _renames_sql(text: str) -> str:
+    from ..sources.projection import padded
+
+    six = lambda x: f"lpad({x},6,'0')"
+    pad = padded if text == "string" else six
+    doc = lambda n: f"concat('doc',{pad(f'cast({n} AS {text})')})"
+    name = lambda word: f"concat('{word}',cast(doc_id AS {text}))"
+    rows = [("doc_id", doc("doc_id"), name("kept"), "doc_id%4=0"), ("doc_id+1000000000", name("kept"), name("moved"), "doc_id%4=0"), ("doc_id+2000000000", name("moved"), name("ended"), "doc_id%8=0")]
+    rows += [("doc_id*3+3000000000", doc("doc_id"), name("swap"), "doc_id%4=1"), ("doc_id*3+3000000001", doc("doc_id+1"), doc("doc_id"), "doc_id%4=1"), ("doc_id*3+3000000002", name("swap"), doc("doc_id+1"), "doc_id%4=1")]
+    return " UNION ALL ".join(f"SELECT {s} AS step, {o} AS old, {n} AS new FROM documents WHERE {w}" for s, o, n, w in rows)
+
+
+_CHAINS = rf"""WITH RECURSIVE {VAULT} r AS ({_renames_sql('varchar')}),
+links AS (SELECT path, unnest(range(1, len(ls) + 1)) AS place, unnest(ls) AS stem FROM (SELECT path, regexp_extract_all(content, '\[\[(?:[^\]\[|#/]*/)*([^\]\[|#/]*)(?:\]\]|#|\|)', 1) AS ls FROM vault)),
+nexts AS (SELECT a.step, a.old, a.new, (SELECT min(b.step) FROM r b WHERE b.old = a.new AND b.step > a.step) AS next FROM r a),
+chain AS (SELECT old AS origin, new AS cur, next FROM nexts WHERE step = (SELECT min(b.step) FROM r b WHERE b.old = nexts.old) UNION ALL SELECT c.origin, n.new, n.next FROM chain c JOIN nexts n ON n.step = c.next),
+ends AS (SELECT origin, cur FROM chain WHERE next IS NULL)
+SELECT path, place, coalesce(cur, stem) AS stem FROM links LEFT JOIN ends ON origin = stem"""
+
+
+@query(_CHAINS)
+def rename_many_links(spark, sf_dir):
+    """All links of all notes after a table of renames with chains and swaps, read from the rewritten notes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    table = spark.sql(_renames_sql("string").replace("FROM documents", "FROM {documents}"), documents=docs)
+    table = table.select("step", F.concat("old", F.lit(".md")).alias("old"), F.concat("new", F.lit(".md")).alias("new"))
+    done = renames.rename_many(vault(spark, sf_dir).select("path", "content"), table)
+    stems = F.regexp_extract_all("content", F.lit(renames.LINK), F.lit(2))
+    return done.select(F.col("old_path").alias("path"), F.posexplode(stems).alias("i", "stem")).select("path", (F.col("i") + 1).cast("long").alias("place"), "stem")
+
+
 _EVENTS = "last AS (SELECT user_id, arg_max(struct_pack(op := event_type, value := value, event_id := event_id), struct_pack(ts := ts, event_id := event_id)) AS e FROM events GROUP BY user_id)"
 
 

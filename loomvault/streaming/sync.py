@@ -9,16 +9,14 @@ from __future__ import annotations
 import json
 import os
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from ..operators import changes
-from ..sources import scratch
+from ..operators.keyed import Keyed
 
 EVENTS = "op string, path string, token string, ts timestamp"
 
@@ -94,37 +92,8 @@ def follow(stream: DataFrame, apply_batch: Callable[[DataFrame, int], None], che
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-class KeyedState:
-    """The last event of each key, kept as Parquet in BUCKETS parts by the key's hash: a micro-batch rewrites the parts it touches.
+class KeyedState(Keyed):
+    """The last event of each key, as a table that micro-batches are merged into: a batch writes what it holds, whatever the state's size.
 
-    A numbered file names each part's folder once a batch is whole. A restart goes on from the highest one, and a batch that has been
-    applied is not applied again.
+    A restart goes on from the highest complete batch, and a batch that has been applied is not applied again.
     """
-
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, order: tuple[str, ...]):
-        self.spark, self.root, self.schema, self.key, self.order = spark, root.rstrip("/"), schema, key, order
-
-    def _part(self, parts: dict[str, str], buckets: list[str]) -> DataFrame:
-        paths = [f"{self.root}/{parts[b]}/bucket={b}" for b in buckets if b in parts]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def read(self) -> DataFrame:
-        parts = scratch.latest(self.spark, self.root)[1]
-        return self._part(parts, sorted(parts))
-
-    def merge(self, batch: DataFrame, number: int) -> None:
-        done, parts = scratch.latest(self.spark, self.root)
-        if number <= done:
-            return
-        columns = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.BUCKETS)).cast("string")
-        fresh = changes.last_events(batch.select(*columns), self.key, self.order).select(*columns).withColumn("bucket", bucket)
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS rows at most
-        name = f"batch-{number}-{uuid.uuid4().hex[:8]}"
-        if touched:
-            both = self._part(parts, touched).withColumn("bucket", bucket).unionByName(fresh)
-            last = changes.last_events(both, self.key, self.order).repartition("bucket")
-            last.select(*columns, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
-        scratch.publish(self.spark, self.root, number, parts | dict.fromkeys(touched, name))
