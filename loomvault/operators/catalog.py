@@ -16,6 +16,14 @@ def tag_counts(sections: DataFrame, prefix: str | None = None) -> DataFrame:
     return tags.groupBy("tag").agg(F.count_distinct("note_path").alias("notes")).orderBy("tag")
 
 
+def tag_tree(tagged: DataFrame) -> DataFrame:
+    """Each tag, or folder of tags, with its depth and the number of notes that have it or one below it; from the postings of tags (operators.index)."""
+    parts = F.split("tag", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    notes = tagged.select("note_path", F.explode(above).alias("tag")).distinct()
+    return notes.groupBy("tag").agg(F.count(F.lit(1)).alias("notes")).select("tag", F.size(F.split("tag", "/")).alias("depth"), "notes")
+
+
 def tag_children(counts: DataFrame) -> DataFrame:
     """Each tag with its direct children among the tags: names joined in order."""
     child = counts.select(F.regexp_extract("tag", "^(.*)/[^/]*$", 1).alias("above"), F.col("tag").alias("child"))

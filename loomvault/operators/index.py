@@ -78,6 +78,17 @@ def grams(sections: DataFrame) -> DataFrame:
     return held.select(F.explode("g").alias("gram"), "section_path", "note_path", F.size("g").alias("n_grams"))
 
 
+def tag_key(tag: Column | str) -> Column:
+    """A key by which tags sort in pre-order: a tag stands right before those below it, whose keys all begin with its own."""
+    return F.concat(F.translate(F.lit(tag) if isinstance(tag, str) else tag, "/", "\x01"), F.lit("\x01"))
+
+
+def tagged(sections: DataFrame) -> DataFrame:
+    """key, tag, section_path and note_path: postings of tags. A tag and those below it are one range of keys."""
+    rows = sections.select("section_path", "note_path", F.explode("tags").alias("tag"))
+    return rows.select(tag_key(F.col("tag")).alias("key"), "tag", "section_path", "note_path")
+
+
 def counted(sections: DataFrame) -> DataFrame:
     """What sections add to the views: view, key (the first of the keys, by which readers look up), keys, delta. Sections of a note belong together."""
     row = lambda view, *keys: [F.lit(view).alias("view"), F.array(*keys).alias("keys")]
@@ -117,7 +128,7 @@ class Store:
     all, a crash leaves the state before, and a writer that another has overtaken starts again from the new state.
 
     Tables of a run: sections, sorted by note; blocks, a term's postings by bin (see `blocks`); grams, the inverted lists of the n-grams of
-    tags; counts, signed differences of the views; gone, the dead notes. A note's rows are alive in a run if no later run has it in `gone`.
+    tags; tagged, the postings of tags in pre-order; counts, signed differences of the views; gone, the dead notes. A note's rows are alive in a run if no later run has it in `gone`.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -195,7 +206,7 @@ class Store:
         return self._alive(meta, rows, runs)
 
     def load(self, name: str) -> DataFrame | None:
-        """The current sections, postings, grams, corpus, or a view (see VIEWS); None where nothing of this version is stored."""
+        """The current sections, postings, grams, tagged, corpus, or a view (see VIEWS); None where nothing of this version is stored."""
         _, meta = self.meta()
         if not meta["runs"]:
             return None
@@ -204,7 +215,7 @@ class Store:
             return self.spark.createDataFrame([(c["n"], c["total_len"], c["note_count"], datetime.fromtimestamp(c["at"], UTC))], "n long, total_len long, note_count long, last_indexed timestamp")
         if name in VIEWS:
             return self._view(meta, name)
-        if name not in ("sections", "postings", "grams"):
+        if name not in ("sections", "postings", "grams", "tagged"):
             raise ValueError(f"no table is called {name}")
         return self._table(meta, "blocks" if name == "postings" else name, meta["runs"])
 
@@ -249,7 +260,7 @@ class Store:
     def _run(self, meta: dict, sections: DataFrame, counts: DataFrame | None, level: int, seq: int, gone: DataFrame | None, more: dict[str, DataFrame] | None = None) -> dict:
         """A run of stored sections (see `_draft`); counts: the differences, else what the sections count."""
         by_term = blocks(sections).repartitionByRange("term", "bin").sortWithinPartitions("term", "bin")
-        tables = {"blocks": by_term, "grams": grams(sections).repartitionByRange("gram").sortWithinPartitions("gram", "section_path"), "counts": (counted(sections) if counts is None else counts).repartitionByRange("view", "key").sortWithinPartitions("view", "key")}
+        tables = {"blocks": by_term, "grams": grams(sections).repartitionByRange("gram").sortWithinPartitions("gram", "section_path"), "tagged": tagged(sections).repartitionByRange("key").sortWithinPartitions("key", "section_path"), "counts": (counted(sections) if counts is None else counts).repartitionByRange("view", "key").sortWithinPartitions("view", "key")}
         if gone is not None:
             tables["gone"] = gone.coalesce(1)
         return {"seq": seq, "level": level, "tables": self._write_all(tables | (more or {}), meta)}

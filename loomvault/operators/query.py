@@ -26,19 +26,21 @@ class SearchQuery:
         return not (self.text.strip() or self.tags or self.folders)
 
 
+#: What each group of TOKEN adds to; exactly one takes part in a match.
+FIELDS = (None, "tags", "tags", "folders", "folders", "text", "text")
+
+
+def _folder(raw: str) -> str:
+    try:
+        return VaultPath.of(raw.rstrip("/") + "/" if raw.strip("/") else raw).value
+    except PathError as e:
+        raise QueryError(f"folder filter {raw!r}: {e}") from e
+
+
 def parse(raw: str) -> SearchQuery:
-    words, tags, folders = [], [], []
+    """The query that a string means. Filters without a name are none; an empty phrase is an empty word."""
+    found: dict[str, list[str]] = {"text": [], "tags": [], "folders": []}
     for m in TOKEN.finditer(raw):
-        quoted_tag, tag, quoted_folder, folder, phrase, word = m.groups()
-        if quoted_tag is not None or tag is not None:
-            tags += [t for t in (quoted_tag, tag) if t]
-        elif quoted_folder is not None or folder is not None:
-            for f in (quoted_folder, folder):
-                if f:
-                    try:
-                        folders.append(VaultPath.of(f if f.endswith("/") else f + "/").value)
-                    except PathError as e:
-                        raise QueryError(f"folder filter {f!r}: {e}") from e
-        else:
-            words.append(phrase if phrase is not None else word)
-    return SearchQuery(" ".join(words), tags, folders)
+        found[FIELDS[m.lastindex]].append(m[m.lastindex])
+    named = {k: list(filter(None, v)) for k, v in found.items() if k != "text"}
+    return SearchQuery(" ".join(found["text"]), named["tags"], [_folder(f) for f in named["folders"]])

@@ -25,6 +25,21 @@ def has_tag(tags: Column, name: str) -> Column:
     return F.exists(tags, lambda t: (t == name) | t.startswith(name + "/"))
 
 
+def tag_range(tagged: DataFrame, name: str) -> DataFrame:
+    """The postings (operators.index.tagged) of a tag and all below it: one range of keys, which a scan sorted by key can skip to."""
+    low = name.replace("/", "\x01") + "\x01"
+    return tagged.filter((F.col("key") >= low) & (F.col("key") < low[:-1] + "\x02"))
+
+
+def tag_sections(tagged: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """section_path of the sections with any of the tags or one below it, from the postings of tags."""
+    ranges = [tag_range(tagged, t).select("section_path") for t in tags]
+    out = ranges[0]
+    for r in ranges[1:]:
+        out = out.union(r)
+    return out.distinct()
+
+
 def candidates(sections: DataFrame, tags: list[str] = (), folders: list[str] = (), exclude: list[str] = (), recursive: bool = True) -> DataFrame:
     """Sections with any of the tags, in any of the folders, and with none of the excluded tags."""
     out = sections

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import data_uri, paths, text
 from ..functions import markdown as md
-from ..operators import catalog, changes, edits, graph, index, render, renames, search, sections, topk
+from ..operators import catalog, changes, edits, graph, index, merkle, render, renames, search, sections, topk
 from ..operators.commits import Log
 from ..operators.query import parse
 from ..sources import scratch
@@ -330,6 +330,17 @@ def tag_expand(spark, sf_dir):
     return search.candidates(_indexed(spark, sf_dir), tags=["bucket"]).select("section_path")
 
 
+@query(with_vault("SELECT section_path FROM sections WHERE len(list_filter(tags, lambda t: t = 'bucket' OR starts_with(t, 'bucket/') OR t = 'lang/en' OR starts_with(t, 'lang/en/'))) > 0"))
+def tag_expand_range(spark, sf_dir):
+    """Tags and those below them as ranges of the postings of tags; no section is read."""
+    return search.tag_sections(stored(spark, sf_dir).load("tagged"), ["bucket", "lang/en"])
+
+
+@query(with_vault("SELECT tag, len(string_split(tag, '/'))::INT AS depth, count(DISTINCT note_path) AS notes FROM (SELECT note_path, unnest(list_transform(range(1, len(string_split(t, '/')) + 1), lambda n: array_to_string(string_split(t, '/')[1:n], '/'))) AS tag FROM (SELECT note_path, unnest(tags) AS t FROM sections)) GROUP BY ALL"))
+def tag_tree(spark, sf_dir):
+    return catalog.tag_tree(stored(spark, sf_dir).load("tagged"))
+
+
 @query(with_vault("SELECT section_path FROM sections WHERE NOT list_contains(tags, 'lang/en') AND NOT list_contains(tags, 'todo')"))
 def tag_exclude(spark, sf_dir):
     return search.candidates(_indexed(spark, sf_dir), exclude=["lang/en", "todo"]).select("section_path")
@@ -546,6 +557,23 @@ def rename_many_links(spark, sf_dir):
     return done.select(F.col("old_path").alias("path"), F.posexplode(stems).alias("i", "stem")).select("path", (F.col("i") + 1).cast("long").alias("place"), "stem")
 
 
+_TREE = """now AS (SELECT doc_id, source || '/' || lang || '/doc' || doc_id || '.md' AS path, n_chars || ':' || doc_id AS token FROM documents),
+was AS (SELECT CASE WHEN source = 'src2' AND doc_id % 7 = 0 THEN 'src2/old/doc' || doc_id || '.md' ELSE path END AS path, CASE WHEN source = 'src1' AND doc_id % 5 = 0 THEN 'old' ELSE token END AS token FROM now JOIN documents USING (doc_id))"""
+
+
+@query(f"WITH {_TREE} SELECT CASE WHEN was.token IS NULL THEN 'created' WHEN now.token IS NULL THEN 'deleted' ELSE 'updated' END AS op, coalesce(now.path, was.path) AS path, now.token AS token FROM now FULL OUTER JOIN was ON now.path = was.path WHERE now.token IS DISTINCT FROM was.token")
+def merkle_diff(spark, sf_dir):
+    """The difference of two listings by digests of folders: only folders whose digests differ are read."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))
+    path, token = F.concat_ws("/", "source", "lang", name), F.concat_ws(":", "n_chars", "doc_id")
+    old = F.when((F.col("source") == "src2") & (F.col("doc_id") % 7 == 0), F.concat(F.lit("src2/old/"), name)).otherwise(path)
+    now = d.select(path.alias("path"), token.alias("token"))
+    was = d.select(old.alias("path"), F.when((F.col("source") == "src1") & (F.col("doc_id") % 5 == 0), "old").otherwise(token).alias("token"))
+    trees = merkle.Listings(spark, scratch.new_path(spark, "listings"))
+    return trees.diff(trees.add(now), trees.add(was))[0].select("op", "path", "token")
+
+
 _EVENTS = "last AS (SELECT user_id, arg_max(struct_pack(op := event_type, value := value, event_id := event_id), struct_pack(ts := ts, event_id := event_id)) AS e FROM events GROUP BY user_id)"
 
 
