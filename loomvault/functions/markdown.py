@@ -49,7 +49,7 @@ def chunks(text: Column) -> Column:
 
 def heading(chunk: Column) -> Column:
     """Level and text of the heading in a chunk's first line; null without one."""
-    line = F.element_at(F.split(chunk, r"\r?\n"), 1)
+    line = F.element_at(F.split(chunk, r"\r?\n", 2), 1)  # the rest is not cut
     text = F.regexp_extract(line, HEADING, 2)
     return F.when(text != "", F.struct(F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), text.alias("text")))
 
@@ -75,7 +75,8 @@ def _null(x: Column) -> Column:
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)])
+    """Groups 1 to n of each match: the text is searched once, and a match's groups are taken from the match alone."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(*[F.regexp_extract(m, pattern, i).alias(f"g{i}") for i in range(1, n + 1)]))
 
 
 def _link(kind: str, target: Column, alias: Column | None = None, heading_: Column | None = None, block: Column | None = None, text: Column | None = None, title: Column | None = None, embed: Column | None = None) -> Column:
