@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import encoder, tokenizer_path
-from .shared import documents, new_path
+from .shared import documents, lean, new_path
 
 SEQUENCE = 2048
 BATCH = 64
@@ -181,7 +181,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, sequenc
     """Write all docs' ids to files in folder (a URI that all machines reach); the manifest, in order, with each file's base."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     ordered = rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    manifest = sorted((r.asDict() for r in ordered.mapInArrow(_write(folder, path, end_id, sequence), _MANIFEST).collect()), key=lambda r: r["pid"])
+    manifest = sorted((r.asDict() for r in ordered.mapInArrow(lean(_write(folder, path, end_id, sequence)), _MANIFEST).collect()), key=lambda r: r["pid"])
     base = 0
     for r in manifest:
         r["base"] = base
@@ -221,7 +221,7 @@ def read(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
     if not manifest:
         return spark.createDataFrame([], _READ)
     files = spark.createDataFrame([(r["name"], r["base"]) for r in manifest], "name string, base long").repartition(len(manifest))
-    return files.mapInArrow(_read(folder), _READ)
+    return files.mapInArrow(lean(_read(folder)), _READ)
 
 
 def op8_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import lean, stash
 
 DIM, SCALE, CENTROIDS, ROUNDS, SEED = 64, 64, 16, 3, 1
 #: Largest absolute component; up to EXACT float64 products are exact, beyond it integers are multiplied.
@@ -135,7 +135,7 @@ def _first(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
 
 def _means(assigned: DataFrame, centroids: np.ndarray) -> np.ndarray:
     dim = centroids.shape[1]
-    parts = assigned.select("v", "cluster").mapInArrow(_sums(dim), "cluster int, place int, total long, n long")
+    parts = assigned.select("v", "cluster").mapInArrow(lean(_sums(dim)), "cluster int, place int, total long, n long")
     rows = parts.groupBy("cluster", "place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()  # a number for each component of each centroid
     out = centroids.copy()
     cluster, place, total, n = (rows.column(c).to_numpy() for c in ("cluster", "place", "total", "n"))
@@ -151,9 +151,9 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, seed:
         return found.select("vec_id", "v", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")), np.zeros((0, dim), np.int64)
     state = found.select("vec_id", "v", F.lit(-1).alias("cluster"))
     for _ in range(rounds):
-        state = stash(state.select("vec_id", "v", "cluster").mapInArrow(_assign(centroids), _ASSIGNED), "assigned")
+        state = stash(state.select("vec_id", "v", "cluster").mapInArrow(lean(_assign(centroids)), _ASSIGNED), "assigned")
         centroids = _means(state, centroids)
-    return stash(state.select("vec_id", "v", "cluster").mapInArrow(_assign(centroids), _ASSIGNED), "assigned"), centroids
+    return stash(state.select("vec_id", "v", "cluster").mapInArrow(lean(_assign(centroids)), _ASSIGNED), "assigned"), centroids
 
 
 def op13_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import documents, fresh
+from .shared import documents, fresh, lean
 
 #: Bytes of a chunk, and of a block of them that is counted at once.
 CHUNK, BLOCK = 1 << 14, 1 << 20
@@ -156,7 +156,7 @@ def transform(docs: DataFrame, seed: int = 1, rate: int = RATE, spm: int = SPM)
     names = {fresh(docs, f"fim_{c}"): t for c, t in (*_TYPES.items(), ("text", pa.string()))}
     lower = [c.lower() for c in docs.columns]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{k} {'string' if pa.types.is_string(t) else 'long'}" for k, t in names.items())])
-    return docs.mapInArrow(_run(lower.index("text"), lower.index("doc_id"), seed, rate, spm, names, lambda text, _: (text.decode(),), True), schema)
+    return docs.mapInArrow(lean(_run(lower.index("text"), lower.index("doc_id"), seed, rate, spm, names, lambda text, _: (text.decode(),), True)), schema)
 
 
 def op12_chunked_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def op12_chunked_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda x: hashlib.sha256(x).hexdigest()
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
-    return docs.mapInArrow(_run(1, 0, 1, RATE, SPM, digests, lambda text, form: (sha(text), sha(restore(text, form))), False), schema)
+    return docs.mapInArrow(lean(_run(1, 0, 1, RATE, SPM, digests, lambda text, form: (sha(text), sha(restore(text, form))), False)), schema)
 
 
 #: DuckDB's own way to op12: the tokens as a list.

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import bitfilter
 from . import kernels as K
 from .graph import components
-from .shared import documents, fresh, stash
+from .shared import documents, fresh, lean, stash
 from .streams import runs
 
 #: Shingles whose hash lies below a share of the range come first in the global order, and are counted for every document. The share is
@@ -257,7 +257,7 @@ def _sifted(rows: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
         for batch in batches:
             yield batch.select(range(1, batch.num_columns)).filter(pa.array(bitfilter.passes(bits.value, batch.column(0).to_numpy())))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
     heads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
     tails = salted.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
-    return _spread(heads.unionByName(tails), "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify(k, num), "a long, b long")
+    return _spread(heads.unionByName(tails), "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(lean(_verify(k, num)), "a long, b long")
 
 
 def _merge(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -411,20 +411,20 @@ def _regions(placed: DataFrame, num: int) -> list[DataFrame]:
         now = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cell = F.when(F.col("parts") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least("side", "other"), F.greatest("side", "other")))
         cells = _spread(now.select(cell.alias("region"), "side", "id", "n", "comp", "items"), "region").sortWithinPartitions("region")
-        found.append(stash(cells.mapInArrow(_join_regions(num), "a long, b long"), "region-links"))
+        found.append(stash(cells.mapInArrow(lean(_join_regions(num)), "a long, b long"), "region-links"))
         large = size.filter("deep").select("region", "m")
         if large.isEmpty():
             return found
         left = stash(placed.join(large, "region"), "large-regions")
         at = left.groupBy("region").agg(F.min(F.struct(F.xxhash64("region", "id").alias("h"), "id")).alias("p")).select("region", F.col("p.id").alias("id"))
         pivots = left.join(at, ["region", "id"]).select("region", F.col("id").alias("p_id"), F.col("n").alias("p_n"), F.col("comp").alias("p_comp"), F.col("items").alias("p_items"))
-        moved = stash(left.join(pivots, "region").mapInArrow(_move(num), _MOVED), "moved")
+        moved = stash(left.join(pivots, "region").mapInArrow(lean(_move(num)), _MOVED), "moved")
         found.append(moved.filter("near and id <> p_id").select(F.col("p_id").alias("a"), F.col("id").alias("b")))
         each = moved.filter("id <> p_id").select("region", "id", "comp", F.explode("items").alias("e"))
         shared = each.groupBy("region", "e").agg(F.count(F.lit(1)).alias("df"), (F.min("comp") < F.max("comp")).alias("mixed")).filter("df > 1")
         held = each.join(shared, ["region", "e"]).groupBy("region", "id").agg(F.collect_list(F.struct("df", "e", "mixed")).alias("shared"))
         about = moved.select("region", "id", "n", "p_n", "near", F.size("items").alias("far"))
-        next_places = held.join(about, ["region", "id"]).mapInArrow(_places(num), "region long, id long, e long")
+        next_places = held.join(about, ["region", "id"]).mapInArrow(lean(_places(num)), "region long, id long, e long")
         next_level = next_places.join(moved, ["region", "id"]).join(large.withColumnRenamed("m", "was"), "region")
         placed = stash(next_level.select(F.xxhash64("region", "e").alias("region"), "was", "id", "n", "comp", "items"), "regions")
 
@@ -444,7 +444,7 @@ def _items(k: int):
 def _solve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The points of all rows, and for each distinct set (key) its component's label, least doc_id, and first (doc_id, th)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    points = stash(rows.select("doc_id", "th", "text").mapInArrow(_describe(k, percent), _POINT).withColumn("rid", F.monotonically_increasing_id()), "points")
+    points = stash(rows.select("doc_id", "th", "text").mapInArrow(lean(_describe(k, percent)), _POINT).withColumn("rid", F.monotonically_increasing_id()), "points")
     full = points.filter("key is not null")
     # a set's id is its first row's, which stands for all rows with the set
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p")
@@ -455,11 +455,11 @@ def _solve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     shingles = _sifted(full.select(h, "rid", "counted"), ids.select(F.xxhash64("id").alias("h")), "rid long, counted array<long>").select("rid", F.explode("counted").alias("s"))
     shared = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     held = shingles.join(shared, "s").groupBy(F.col("rid").alias("id")).agg(F.collect_list(F.struct(F.col("df"), F.col("s"))).alias("shared"))
-    members = stash(held.join(about, "id").mapInArrow(_regions_of(percent), _MEMBER), "members")
+    members = stash(held.join(about, "id").mapInArrow(lean(_regions_of(percent)), _MEMBER), "members")
     pivot = F.min(F.struct("own", "id", "n", "i")).alias("p")
     sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("m"), pivot).filter("m > 1").select("s", "m", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.i").alias("p_i"))
     dealt = stash(members.join(sizes, "s").select("s", "m", "id", "n", "i", "p", "p_n", "p_i"), "regions")
-    small = _spread(dealt.filter(F.col("m") <= SMALL).select("s", "id", "n", "i").join(classes_of, "id"), "s").sortWithinPartitions("s").mapInArrow(_small_regions(percent), "a long, b long")
+    small = _spread(dealt.filter(F.col("m") <= SMALL).select("s", "id", "n", "i").join(classes_of, "id"), "s").sortWithinPartitions("s").mapInArrow(lean(_small_regions(percent)), "a long, b long")
     in_reach = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & ((100 + percent) * F.least(F.col("n") - F.col("i"), F.col("p_n") - F.col("p_i")) >= percent * (F.col("n") + F.col("p_n")))
     large = dealt.filter(F.col("m") > SMALL)
     to_pivots = large.filter((F.col("id") != F.col("p")) & in_reach).select(F.col("p").alias("a"), F.col("id").alias("b"))
@@ -472,7 +472,7 @@ def _solve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     mixed = placed.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("s")
     placed = stash(placed.join(mixed, "s", "left_semi").select(F.col("p").alias("region"), "id", "n", "comp").distinct(), "placed")
     if not placed.isEmpty():
-        items = stash(_fetch(rows, ids.join(placed.select("id").distinct(), "id")).mapInArrow(_items(k), "id long, items array<long>"), "items")
+        items = stash(_fetch(rows, ids.join(placed.select("id").distinct(), "id")).mapInArrow(lean(_items(k)), "id long, items array<long>"), "items")
         links = None
         for part in _regions(placed.join(items, "id").select("region", F.lit(2**62).alias("was"), "id", "n", "comp", "items"), percent):
             links = part if links is None else links.union(part)

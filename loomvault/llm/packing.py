@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encode import encoder, tokenizer_path
-from .shared import documents, stash
+from .shared import documents, lean, stash
 
 SEQUENCE = 2048
 #: Sequences in a window: within each, token proportions are the targets'.
@@ -228,7 +228,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUE
     """The pieces of all docs (doc_id, text, source): where each lies in its document and its sequence, and its ids (16-bit)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    queued = stash(rows.mapInArrow(_enqueue(path, end_id), _QUEUED), "queued")
+    queued = stash(rows.mapInArrow(lean(_enqueue(path, end_id)), _QUEUED), "queued")
     sums = stash(queued.groupBy("source", "pid").agg(F.sum("n").alias("n")), "sums")
     sources = sums.groupBy("source").agg(F.sum("n").alias("n"))
     found = sources.orderBy(F.col("source").asc_nulls_first()).collect()  # one row a source
@@ -244,7 +244,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUE
         bases = F.broadcast(bases)
     located = queued.join(bases, (F.col("pid") == F.col("b_pid")) & F.col("source").eqNullSafe(F.col("b_source")))
     located = located.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("begin"), "n", "ids")
-    return located.mapInArrow(_cut(phases, sequence, sequence * window_sequences), _PIECE)
+    return located.mapInArrow(lean(_cut(phases, sequence, sequence * window_sequences)), _PIECE)
 
 
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
-from .shared import documents
+from .shared import documents, lean
 
 #: Largest share of a text's word characters inside duplicated n-grams, by n.
 NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
@@ -128,12 +128,12 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the measures and verdict of every row of docs (columns doc_id, text)."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_measure, _SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(_measure), _SCHEMA)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the rules keep."""
-    return docs.mapInArrow(_keep, docs.schema)
+    return docs.mapInArrow(lean(_keep), docs.schema)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
-from .shared import documents
+from .shared import documents, lean
 
 TRAIN_LINES = 1000
 SEED = 11
@@ -390,7 +390,7 @@ def _scan(weights):
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: numbers of spans by kind, the digest of the fixed patterns' spans, and all spans in code points."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_scan(model()), _SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(_scan(model())), _SCHEMA)
 
 
 MASK = b"<SECRET>"
@@ -422,7 +422,7 @@ def _redact(weights, columns: list[str]):
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret in text replaced by MASK; n_chars, if there, follows."""
-    return docs.mapInArrow(_redact(model(), docs.columns), docs.schema)
+    return docs.mapInArrow(lean(_redact(model(), docs.columns)), docs.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

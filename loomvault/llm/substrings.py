@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import bitfilter
 from . import kernels as K
 from .recompress import anchors, contexts, levels
-from .shared import documents, stash
+from .shared import documents, lean, stash
 
 WINDOW = 35
 ROUNDS = 4
@@ -235,7 +235,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.select([0, 1, 3]).filter(pa.array(bitfilter.passes(bits.value, batch.column(2).to_numpy())))
 
-    found = rows.select("doc_id", "m", F.xxhash64("doc_id", "m").alias("h"), "text").mapInArrow(sift, "doc_id long, m binary, text string")
+    found = rows.select("doc_id", "m", F.xxhash64("doc_id", "m").alias("h"), "text").mapInArrow(lean(sift), "doc_id long, m binary, text string")
     w = wanted.select(F.col("m").alias("w_m"), F.col("doc_id").alias("w_id"))
     return found.join(w, (found["m"] == w["w_m"]) & found["doc_id"].eqNullSafe(w["w_id"])).select("m", "text").dropDuplicates(["m"])
 
@@ -246,14 +246,14 @@ def repeated_ranges(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS)
     rows = _keyed(docs)
     texts = stash(rows.groupBy("m").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "texts")
     scan = rows.select(F.xxhash64("m").alias("handle"), F.xxhash64("doc_id", "m").alias("h"), "text")
-    found = stash(scan.mapInArrow(_anchor_rows(width, rounds, _filter(texts)), "key long, handle long, lo int, hi int"), "symbols")
+    found = stash(scan.mapInArrow(lean(_anchor_rows(width, rounds, _filter(texts))), "key long, handle long, lo int, hi int"), "symbols")
     shared = stash(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", (F.col("c") > HOT).alias("hot")), "keys")
     bits = rows.sparkSession.sparkContext.broadcast(bitfilter.build(shared.select(F.col("key").alias("h")), bitfilter.bits_for(shared.count())))
-    likely = found.mapInArrow(lambda batches: (b.filter(pa.array(bitfilter.passes(bits.value, b.column(0).to_numpy()))) for b in batches), found.schema)
+    likely = found.mapInArrow(lean(lambda batches: (b.filter(pa.array(bitfilter.passes(bits.value, b.column(0).to_numpy()))) for b in batches)), found.schema)
     ranges = stash(likely.join(shared, "key").groupBy("handle").agg(F.collect_list(F.struct("key", "lo", "hi", "hot")).alias("ranges")), "shared")
     wanted = texts.withColumn("handle", F.xxhash64("m")).join(ranges.select("handle"), "handle").select("m", "doc_id")
-    hashed = stash(_fetch(rows, wanted).withColumn("handle", F.xxhash64("m")).join(ranges, "handle").select("m", "text", "ranges").mapInArrow(_hash_ranges(width), _WINDOWS), "windows")
-    cold = hashed.filter("not hot").select("key", "m", "lo", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeated, _RANGE)
+    hashed = stash(_fetch(rows, wanted).withColumn("handle", F.xxhash64("m")).join(ranges, "handle").select("m", "text", "ranges").mapInArrow(lean(_hash_ranges(width)), _WINDOWS), "windows")
+    cold = hashed.filter("not hot").select("key", "m", "lo", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(_repeated), _RANGE)
     each = hashed.filter("hot").select("key", "m", "lo", F.posexplode("hashes").alias("d", "x")).select("key", "x", "m", (F.col("lo") + F.col("d")).alias("lo"))
     twice = each.groupBy("key", "x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "x")
     hot = each.join(twice, ["key", "x"]).select("m", "lo", F.col("lo").alias("hi"))
@@ -268,8 +268,8 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, digest: bo
     rows, texts, ranges = repeated_ranges(docs, width, rounds)
     by_text = stash(ranges.groupBy("m").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "repeats")
     single = by_text.join(texts.filter("copies = 1"), "m").select("m", "doc_id", "ranges")
-    changed = _fetch(rows, single.select("m", "doc_id")).join(single.select("m", "ranges"), "m").select("m", "text", "ranges").mapInArrow(_remove(width, digest), _KEPT)
-    plain = rows.select("doc_id", "m", "text").mapInArrow(_plain(digest), "doc_id long, m binary, n_words long, plain string")
+    changed = _fetch(rows, single.select("m", "doc_id")).join(single.select("m", "ranges"), "m").select("m", "text", "ranges").mapInArrow(lean(_remove(width, digest)), _KEPT)
+    plain = rows.select("doc_id", "m", "text").mapInArrow(lean(_plain(digest)), "doc_id long, m binary, n_words long, plain string")
     copied = texts.filter("copies > 1").select("m", F.lit(True).alias("copied"))
     out = plain.join(copied, "m", "left").join(changed, "m", "left")
     gone = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= width)
