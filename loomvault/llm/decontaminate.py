@@ -11,11 +11,16 @@ verbatim copy, whatever its case and the text around it, also of items that are
 without a slot are literal windows, so only those with one are template windows.
 
 At scale: the benchmark's window hashes become a bit filter of bounded size, so documents emit only windows that have a
-partner (no text is shuffled, and nothing grows with the documents), and the join and the grouping are over those few rows. A literal
-window is one row for a document however often it stands there, and one for an item, with all its places.
+partner (no text is shuffled, and nothing grows with the documents), and the join and the grouping are over those few rows. A
+window is one row for a document however often it stands there with equal slots, and one for an item, with all its places. Copies of a document or an
+item are one text; what is found is handed to each.
+
+A window that many items share (an instruction that stands before every question) would pair every document with every item. So each item
+sets aside its commonest windows, as many as do not cover enough words by themselves: whatever covers enough has another window too, and
+only those others make pairs. The windows set aside are then looked up for these pairs alone. Pairs with enough words in common are results, however many.
 
 Defined results: null or empty texts and items have no windows and give no row; an item of fewer than WINDOW words is matched
-as a whole, however short it is; repeated words give no further rows; very long texts are read whole; equal rows of documents give one result row for each distinct (doc_id, text); an empty
+as a whole, however short it is; repeated words give no further rows, and a template window that is repeated with equal slots lies on the line of its first places; very long texts are read whole; equal rows of documents give one result row for each distinct (doc_id, text); an empty
 table on either side gives an empty table; extra columns are ignored. Words are what white space separates; letters are folded where both cases
 have UTF-8 forms of one length (so not ß and SS). Re-parameterised forms are found where the template keeps half of its words literal.
 """
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import bitfilter
 from . import kernels as K
-from .shared import documents, stash
+from .shared import documents, lean, stash
 from .streams import runs
 
 WINDOW = 8
@@ -40,6 +45,8 @@ WINDOW = 8
 LITERAL = 0.5
 #: Words of an item that its windows must cover in a document (all, if it has fewer).
 COVER = 13
+#: Items that share a window from which on it may be set aside.
+COMMON = 8
 
 #: Words that are units where a number stands before them.
 UNITS = (
@@ -164,20 +171,23 @@ class Template:
 
 
 _LITERAL_SEED = 100
-_ROW = "id long, th long, k int, pos long, n_words long, h long, literal boolean, slots array<long>"
+_ROW = "id long, th long, k int, pos long, n_words long, h long, literal boolean, slots array<long>, places array<long>"
+
+
+def _lists(lists: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
 
 
-def _emit(template: Template, ids: pa.Array, hashes: pa.Array, base: int, k: int, row: np.ndarray, start: np.ndarray, h: np.ndarray, lists: list[np.ndarray], literal: bool) -> pa.RecordBatch:
-    """Rows of windows; lists: the slots of each, or for an item's literal windows their places (see _places)."""
-    offs = np.cumsum([0, *map(len, lists)])
+def _emit(template: Template, ids: pa.Array, hashes: pa.Array, base: int, k: int, row: np.ndarray, start: np.ndarray, h: np.ndarray, slots: list[np.ndarray], places: list[np.ndarray], literal: bool) -> pa.RecordBatch:
+    """Rows of windows with their slots and places (see _places)."""
     at = pa.array(row + base)
     counts = np.diff(template.first)
     return pa.RecordBatch.from_arrays(
         [
             ids.take(at), hashes.take(at), pa.array(np.full(len(row), k, np.int32)), pa.array(start - template.first[row]), pa.array(counts[row]),
-            pa.array(h.view(np.int64)), pa.array(np.full(len(row), literal)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))),
+            pa.array(h.view(np.int64)), pa.array(np.full(len(row), literal)), _lists(slots), _lists(places),
         ],
-        names=["id", "th", "k", "pos", "n_words", "h", "literal", "slots"],
+        names=["id", "th", "k", "pos", "n_words", "h", "literal", "slots", "places"],
     )
 
 
@@ -192,8 +202,19 @@ def _once(row: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray
     return order, np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1])])) if len(order) else np.zeros(0, np.int64)
 
 
+def _with_slots(template: Template, start: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of template windows together with their slots."""
+    masked = np.where(template.slot, template.value, np.uint64(0))
+    out = h.copy()
+    for i in range(k):
+        out = K.mix(out * np.uint64(0x9E3779B97F4A7C15) + masked[start + i])
+    return out
+
+
 def _places(template: Template, row: np.ndarray, start: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Of the windows, those that are the first of their row and hash; for each, all places as 2 * place + (has no slot)."""
+    if not len(start):
+        return start, []
     order, head = _once(row, start, h)
     place = 2 * (start - template.first[row]) + (template.slots(start, k) == 0)
     return order[head], np.split(place[order], head[1:])
@@ -212,12 +233,41 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     start, h = of.windows(k)
                     fit = fits(start) & (np.isin(start, leads) if of is led else True)
                     start, h = start[fit], h[fit]
-                    yield _emit(of, batch.column(0), batch.column(1), base, k, rows[start], start, h, _slot_values(of, start, k), False)
+                    first, places = _places(of, rows[start], start, _with_slots(of, start, h, k), k)
+                    start, h = start[first], h[first]
+                    yield _emit(of, batch.column(0), batch.column(1), base, k, rows[start], start, h, _slot_values(of, start, k), places, False)
                 start, h = t.literal_windows(k)
                 start, h = start[fits(start)], h[fits(start)]
                 if len(start):
                     first, places = _places(t, rows[start], start, h, k)
-                    yield _emit(t, batch.column(0), batch.column(1), base, k, rows[start[first]], start[first], h[first], places, True)
+                    yield _emit(t, batch.column(0), batch.column(1), base, k, rows[start[first]], start[first], h[first], [_NONE] * len(first), places, True)
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _set_aside(common: int):
+    """Columns sorted by ith: the same with `aside`, the windows of an item, commonest first, that together do not cover enough of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 1):
+            k, n, shared = (group.column(c).to_numpy() for c in ("ik", "item_words", "n_items"))
+            lists = group.column("iplaces").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            cuts, places = lists.offsets.to_numpy(), lists.values.to_numpy() // 2
+            need = min(COVER, int(n[0]))
+            covered, aside, some = np.zeros(int(n[0]), bool), np.zeros(len(k), bool), 0
+            for j in np.argsort(-shared, kind="stable").tolist():
+                if shared[j] < common:
+                    break
+                more = np.unique((places[cuts[j] : cuts[j + 1], None] + np.arange(k[j])).ravel())
+                if some + int((~covered[more]).sum()) < need:
+                    covered[more], aside[j] = True, True
+                    some = int(covered.sum())
+            for b in group.append_column("aside", pa.array(aside)).combine_chunks().to_batches():
+                yield b
+
+    return run
 
 
 def _document_windows(sizes: list[int], table):
@@ -230,32 +280,31 @@ def _document_windows(sizes: list[int], table):
                     for (start, h), literal in ((t.windows(k), False), (t.literal_windows(k), True)):
                         hit = bitfilter.passes(table.value, h.view(np.int64))
                         start, h = start[hit], h[hit]
-                        if literal:
-                            order, head = _once(rows[start], start, h)
-                            start, h = start[order[head]], h[order[head]]
                         if len(start):
-                            lists = [np.zeros(0, np.int64)] * len(start) if literal else _slot_values(t, start, k)
-                            yield _emit(t, batch.column(0), batch.column(1), base, k, rows[start], start, h, lists, literal)
+                            order, head = _once(rows[start], start, h if literal else _with_slots(t, start, h, k))
+                            start, h = start[order[head]], h[order[head]]
+                            none = [_NONE] * len(start)
+                            yield _emit(t, batch.column(0), batch.column(1), base, k, rows[start], start, h, none if literal else _slot_values(t, start, k), none, literal)
 
     return run
 
 
-_FOUND = "doc_id long, text_hash long, item_id long, n_windows long, covered_words long, item_words long, n_slots long, n_changed long, n_conflicts long"
+_FOUND = "th long, ith long, n_windows long, covered_words long, item_words long, n_slots long, n_changed long, n_conflicts long"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each document and item whose literal windows, or consistent template windows, cover enough of the item (both together, without conflicts)."""
     out: list[tuple] = []
-    for group in runs(batches, 4):
-        doc, text, item, _ = (group.column(c)[0].as_py() for c in range(4))
+    for group in runs(batches, 2):
+        text, item = (group.column(c)[0].as_py() for c in range(2))
         k, pos, ipos, n, literal = (group.column(c).to_numpy() for c in ("k", "pos", "ipos", "item_words", "literal"))
-        slots, islots = group.column("slots").to_pylist(), group.column("islots").to_pylist()
+        slots, islots, places = (group.column(c).to_pylist() for c in ("slots", "islots", "iplaces"))
         covered, same = np.zeros(int(n[0]), bool), np.zeros(int(n[0]), bool)
         meaning: dict[tuple[int, int], int] = {}
         taken, conflicts = set(), 0
         for j in np.lexsort((ipos, pos - ipos)).tolist():
             if literal[j]:
-                for place, plain in (divmod(x, 2) for x in islots[j]):
+                for place, plain in (divmod(x, 2) for x in places[j]):
                     same[place : place + k[j]] = True
                     if plain:
                         covered[place : place + k[j]] = True
@@ -267,11 +316,12 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 conflicts += 1
                 continue
             meaning.update({(line, a): b for a, b in pairs})
-            covered[ipos[j] : ipos[j] + k[j]] = True
-            taken.add(int(ipos[j]))
+            for place in (x // 2 for x in places[j]):
+                covered[place : place + k[j]] = True
+                taken.add(place)
         total = int(max(covered.sum(), same.sum()) if conflicts else (covered | same).sum())
         if total >= min(COVER, int(n[0])):
-            out.append((doc, text, item, len(taken), total, int(n[0]), len(meaning), sum(a != b for (_, a), b in meaning.items()), conflicts))
+            out.append((text, item, len(taken), total, int(n[0]), len(meaning), sum(a != b for (_, a), b in meaning.items()), conflicts))
     names = [x.strip().split(" ")[0] for x in _FOUND.split(",")]
     columns = list(zip(*out, strict=True)) if out else [()] * len(names)
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -282,19 +332,36 @@ def text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, item_id, ...) of documents that hold a benchmark item or a re-parameterised form of it."""
+def find(docs: DataFrame, benchmark: DataFrame, common: int = COMMON) -> DataFrame:
+    """Rows (doc_id, text_hash, item_id, ...) of documents that hold a benchmark item or a re-parameterised form of it.
+
+    common: items that share a window from which on it may be set aside; the result is the same with any.
+    """
     spark = docs.sparkSession
     texts = lambda df, key: df.select(F.col(key).cast("long").alias("id"), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
-    items = stash(texts(benchmark, "item_id").mapInArrow(_item_windows, _ROW), "items")
+    items = stash(texts(benchmark, "item_id").mapInArrow(lean(_item_windows), _ROW), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # WINDOW values at most
     table = spark.sparkContext.broadcast(bitfilter.build(items.select("h"), bitfilter.bits_for(items.count())))
-    seen = texts(docs, "doc_id").mapInArrow(_document_windows(sizes, table), _ROW).withColumnRenamed("id", "doc_id")
-    ours = items.select(F.col("id").alias("item_id"), F.col("th").alias("ith"), F.col("k").alias("ik"), F.col("pos").alias("ipos"), F.col("n_words").alias("item_words"), F.col("h").alias("ih"), F.col("literal").alias("iliteral"), F.col("slots").alias("islots")).distinct()
-    pairs = seen.join(ours, (seen["h"] == ours["ih"]) & (seen["k"] == ours["ik"]) & (seen["literal"] == ours["iliteral"]) & (F.col("literal") | (F.size("slots") == F.size("islots"))))
-    pairs = pairs.select("doc_id", "th", "item_id", "ith", "k", "pos", "ipos", "item_words", "literal", "slots", "islots")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n, "doc_id", "th", "item_id", "ith").sortWithinPartitions("doc_id", "th", "item_id", "ith").mapInArrow(_judge, _FOUND)
+    ours = items.select(F.col("th").alias("ith"), F.col("k").alias("ik"), F.col("pos").alias("ipos"), F.col("n_words").alias("item_words"), F.col("h").alias("ih"), F.col("literal").alias("iliteral"), F.col("slots").alias("islots"), F.col("places").alias("iplaces")).distinct()
+    shared = ours.groupBy(F.col("ih").alias("sh")).agg(F.count_distinct("ith").alias("n_items"))
+    counted = ours.join(shared, F.col("ih") == F.col("sh")).drop("sh").repartition(n, "ith").sortWithinPartitions("ith")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ours.schema.fields) + ", n_items long, aside boolean"
+    ours = stash(counted.mapInArrow(lean(_set_aside(common)), schema).drop("n_items"), "windows")
+    found = stash(texts(docs, "doc_id").mapInArrow(lean(_document_windows(sizes, table)), _ROW).drop("places"), "seen")
+    seen = stash(found.select("th", "k", "pos", "h", "literal", "slots").distinct(), "seen_once")
+    alike = (F.col("h") == F.col("ih")) & (F.col("k") == F.col("ik")) & (F.col("literal") == F.col("iliteral")) & (F.col("literal") | (F.size("slots") == F.size("islots")))
+    judged = ["th", "ith", "k", "pos", "ipos", "item_words", "literal", "slots", "islots", "iplaces"]
+    rare = stash(seen.join(ours.filter("not aside"), alike).select(*judged), "pairs")
+    candidates = rare.select(F.col("th").alias("c_th"), F.col("ith").alias("c_ith")).distinct()
+    wanted = candidates.join(ours.filter("aside"), F.col("c_ith") == F.col("ith"))
+    common = seen.join(wanted, (F.col("th") == F.col("c_th")) & alike).select(*judged)
+    hits = rare.unionByName(common).repartition(n, "th", "ith").sortWithinPartitions("th", "ith").mapInArrow(lean(_judge), _FOUND)
+    hits = stash(hits, "found")
+    of_doc = found.select(F.col("id").alias("doc_id"), F.col("th").alias("text_hash")).distinct()
+    of_item = items.select(F.col("id").alias("item_id"), F.col("th").alias("item_hash")).distinct()
+    named = hits.join(of_item, F.col("ith") == F.col("item_hash")).join(of_doc, F.col("th") == F.col("text_hash"))
+    return named.select("doc_id", "text_hash", "item_id", "n_windows", "covered_words", "item_words", "n_slots", "n_changed", "n_conflicts")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

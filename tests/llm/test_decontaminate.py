@@ -1,3 +1,6 @@
+import random
+import time
+
 from loomvault.llm import decontaminate as D
 
 ITEM = "Anna has 12 apples and gives 5 apples to her brother Tom, then she buys 7 more apples at the market for 3 dollars each."
@@ -100,3 +103,59 @@ def test_template_search_matches_brute_force(spark):
             if re.search(rf"\b{pattern}\b", text):
                 want.add((j, i))
     assert set(find(spark, docs, items)) == want and len(want) == 27
+
+
+def test_windows_set_aside_change_nothing(spark):
+    r = random.Random(7)
+    word = lambda: r.choice("table river house green walk seven letter".split()) + r.choice(["", "s", "ed"])
+    lead = "answer the following multiple choice question by picking one of four options"
+    items = [(i, f"{lead} {' '.join(word() for _ in range(r.randint(2, 25)))} {r.randint(1, 99)} km") for i in range(40)]
+    items += [(100 + i, items[i][1]) for i in range(3)] + [(200, "short one"), (201, lead)]
+    docs = [(i, f"{' '.join(word() for _ in range(8))} {r.choice(items)[1]} {' '.join(word() for _ in range(r.randint(0, 8)))}", 1, "") for i in range(60)]
+    docs += [(100 + i, f"{lead} {' '.join(word() for _ in range(20))}", 1, "") for i in range(20)] + docs[:5] + [(500, docs[3][1], 1, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, k int, h string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(str, D.find(frame, bench, common).collect())) for common in (1, 5, 10**9)]
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 60
+    kinds = {x.item_id for x in D.find(frame, bench).collect()}
+    assert {100, 101, 102} & kinds and 201 in kinds
+
+
+def test_a_line_before_every_item_makes_no_pairs(spark):
+    """2,000 documents and 2,000 items that share an instruction of 12 words and nothing else: rows are not their product."""
+    lead = "answer the following multiple choice question by picking one of four options"
+    name = lambda a, i: " ".join(f"{a}{i}x{j}" for j in range(15))
+    docs = spark.createDataFrame([(i, f"{lead} {name('d', i)}") for i in range(2000)], "doc_id long, text string")
+    items = [(i, f"{lead} {name('b', i)}") for i in range(2000)]
+    began = time.perf_counter()
+    assert D.find(docs, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert time.perf_counter() - began < 40
+
+
+def test_repeated_templates_are_one_row(spark):
+    began = time.perf_counter()
+    got = find(spark, [(1, "go 5 " * 3000, 1, ""), (2, "go 7 " * 3000, 1, "")], [(1, "go 5 " * 200, 1)])
+    assert set(got) == {(1, 1), (2, 1)} and got[1, 1]["n_changed"] == 0 and got[2, 1]["n_changed"] == 1
+    assert got[1, 1]["covered_words"] == got[2, 1]["covered_words"] == 400
+    assert time.perf_counter() - began < 40
+
+
+TEMPLATES = [
+    "{n} has {a} apples and gives {b} of them to {m} before buying {c} more at the market near the old bridge",
+    "a train leaves the station at {a} km per hour and another follows {b} hours later at {c} km per hour on the same track",
+    "how many days will {a} workers need to build a wall if {b} workers need {c} days for the same wall",
+    "the sum of {a} and twice the number that {n} thinks of is equal to {b} minus that very number so find it",
+    "a tank holds {a} liters of water and loses {b} liters every hour through a small hole in its bottom when is it empty",
+    "{n} runs {a} miles on each weekday and {b} miles on each day of the weekend so how far does {n} run in {c} weeks",
+]
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Every template with 20 other fillings inside other text is found, and no other template."""
+    r = random.Random(11)
+    fill = lambda t: t.format(n=r.choice(["Anna", "Carla", "Mara", "Nina"]), m=r.choice(["Ben", "Paul", "Otto"]), a=r.randint(2, 400), b=r.randint(2, 90), c=r.randint(2, 60))
+    items = [(i, fill(t)) for i, t in enumerate(TEMPLATES)]
+    docs = [(100 * i + j, f"we were asked this one: {fill(t)}. then we went home", 1, "") for i, t in enumerate(TEMPLATES) for j in range(20)]
+    got = find(spark, docs, [(i, t, 0) for i, t in items])
+    assert {(d, i) for d, i in got} <= {(100 * i + j, i) for i in range(6) for j in range(20)}
+    assert len(got) >= 0.95 * 120
