@@ -22,6 +22,8 @@ import numpy as np
 
 #: Bytes of queue blocks kept in memory, and of a single array; entries worked at once.
 HELD, ARRAY, BLOCK = 64 << 20, 64 << 20, 1 << 16
+#: Symbols that are compared at once.
+WORD = 4
 _NONE = 255  # no common prefix seen yet; width is below
 
 
@@ -132,23 +134,46 @@ class _Pass:
             self.queues[int(symbol[a])].append(self.spill.put(found[a:b], shared[a:b]))
 
 
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """Symbols, up to width, that the suffixes at a and at b begin with alike. text goes on for width symbols after its end."""
-    out = np.empty(len(a), np.uint8)
-    steps = np.arange(width)
-    for i in range(0, len(a), 1 << 13):
-        differ = text[a[i : i + (1 << 13), None] + steps] != text[b[i : i + (1 << 13), None] + steps]
-        out[i : i + (1 << 13)] = np.where(differ.any(1), differ.argmax(1), width)
+def words(text: np.ndarray, n: int) -> np.ndarray:
+    """At each of n places, four symbols of 16 bits as one word. text goes on for WORD - 1 symbols at least."""
+    out = room(n, np.uint64)
+    for k in range(WORD):
+        out <<= np.uint64(16)
+        out |= text[k : k + n]
     return out
 
 
-def _induce(text: np.ndarray, n: int, sigma: int, seeds: np.ndarray, lcp: np.ndarray, width: int, carry: bool, held: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def common(word: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Symbols, up to width, that the suffixes at a and at b begin with alike, four at a time. Words go on for width places after the text.
+
+    known: how many are known to be alike.
+    """
+    out = np.full(len(a), width, np.uint8)
+    if known is None:
+        known = np.zeros(len(a), np.int64)
+    rest = np.flatnonzero(known < width)
+    a, b = a + known, b + known
+    for k in range(0, width, WORD):
+        differ = word[a[rest] + k] ^ word[b[rest] + k]
+        ended = np.flatnonzero(differ)
+        if len(ended):
+            x = differ[ended]
+            alike = (x < 1 << 48).astype(np.uint8) + (x < 1 << 32) + (x < 1 << 16)
+            out[rest[ended]] = np.minimum(alike + k + known[rest[ended]], width)
+            rest = rest[differ == 0]
+        rest = rest[known[rest] + k + WORD < width]
+        if not len(rest):
+            break
+    return out
+
+
+def _induce(text: np.ndarray, word: np.ndarray, sigma: int, seeds: np.ndarray, lcp: np.ndarray, width: int, carry: bool, held: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """All suffixes but the last seed, from the greatest down, in blocks: positions, common prefix with the one before (above), are they S."""
     up_spill, down_spill = Spill(held), Spill(held)
     up = _Pass(text, sigma, width, carry, up_spill)
     bounds = np.searchsorted(text[seeds], np.arange(sigma + 1))
     kept: list[list] = [[] for _ in range(sigma)]
-    one = lambda a, b: common(text, np.array([a]), np.array([b]), width)[0] if carry else np.uint8(0)
+    one = lambda a, b: common(word, np.array([a]), np.array([b]), width)[0] if carry else np.uint8(0)
     for symbol in range(sigma):
         last = -1
         while up.queues[symbol]:
@@ -180,29 +205,50 @@ def _induce(text: np.ndarray, n: int, sigma: int, seeds: np.ndarray, lcp: np.nda
     down_spill.close()
 
 
-def _ranked(seeds: np.ndarray, name: np.ndarray, width: int) -> np.ndarray:
-    """The order of the suffixes of names (in text order), decided by the symbols that their first pieces cover up to width."""
+def _ranked(seeds: np.ndarray, name: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of names (in text order), decided by the symbols that their first pieces cover up to width; and how many
+    symbols each is known to share with the one before."""
     m, h = len(name), 1
-    rank = name
+    order = np.argsort(name, kind="stable")
+    fresh = np.ones(m, bool)
+    fresh[1:] = name[order[1:]] != name[order[:-1]]
+    head = np.flatnonzero(fresh)
+    size = np.diff(np.append(head, m))
+    rank = np.empty(m, np.int64)  # of equal ones, the place of the first
+    rank[order] = np.repeat(head, size)
+    open_ = np.zeros(m, bool)
+    open_[order] = np.repeat(size > 1, size)
+    active = np.flatnonzero(open_)
+    shared = np.zeros(m, np.int64)
     while True:
-        tied = np.bincount(rank)[rank] > 1
-        reach = np.minimum(np.arange(m) + h, m - 1)
-        if not (tied & (seeds[reach] - seeds < width) & (np.arange(m) + h < m)).any():
-            return np.argsort(rank, kind="stable")
-        rest = np.zeros(m, np.int64)
-        rest[: m - h] = rank[h:] + 1
-        pair = rank * np.int64(m + 1) + rest
-        order = np.argsort(pair, kind="stable")
-        fresh = np.ones(m, np.int64)
-        fresh[1:] = pair[order[1:]] != pair[order[:-1]]
-        rank = np.empty(m, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
+        # equal names cover equally much, so a group is decided as a whole
+        after = active + h
+        active = active[(after < m) & (seeds[np.minimum(after, m - 1)] - seeds[active] < width)]
+        if not len(active):
+            order = np.argsort(rank, kind="stable")
+            shared[1:][rank[order[1:]] == rank[order[:-1]]] = width
+            return order, shared
+        pair = rank[active] * np.int64(m) + rank[active + h]
+        by = np.argsort(pair)
+        sorted_, pair = active[by], pair[by]
+        group = rank[sorted_]
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = pair[1:] != pair[:-1]
+        opens = np.concatenate([[True], group[1:] != group[:-1]])
+        first = np.flatnonzero(opens)
+        begin = np.repeat(first, np.diff(np.append(first, len(by))))
+        head = np.flatnonzero(fresh)
+        size = np.diff(np.append(head, len(by)))
+        rank[sorted_] = group + np.repeat(head, size) - begin
+        parted = sorted_[head[~opens[head]]]  # from the one before only now, so h names are alike
+        shared[rank[parted]] = seeds[parted + h] - seeds[parted]
+        active = np.sort(sorted_[np.repeat(size > 1, size)])
         h *= 2
 
 
 def suffixes(text: np.ndarray, n: int, sigma: int, width: int, held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes of text[:n] but the last, from the greatest down, ordered by their first `width` symbols at least: blocks of positions,
-    and of common prefixes with the one above, up to width. Symbol n - 1 is 0, and `width` different symbols' room follows it (see shard)."""
+    and of common prefixes with the one above, up to width. Symbol n - 1 is 0, and width + WORD symbols of room follow it."""
     up = np.empty(n, bool)  # S
     step = text[: n - 1].astype(np.int32) - text[1:n]
     differ = np.flatnonzero(step)
@@ -217,7 +263,8 @@ def suffixes(text: np.ndarray, n: int, sigma: int, width: int, held: int = HELD)
     seeds = np.flatnonzero(seed).astype(kind)
     del step, differ, nearest, inside, up
     by_symbol = seeds[np.argsort(text[seeds], kind="stable")]
-    parts = [at[seed[at]] for at, _, s in _induce(text, n, sigma, by_symbol, np.zeros(len(seeds), np.uint8), width, False, held) if s]
+    parts = [at[seed[at]] for at, _, s in _induce(text, text, sigma, by_symbol, np.zeros(len(seeds), np.uint8), width, False, held) if s]
+    word = words(text, n + width)
     order = np.concatenate([*parts, [n - 1]])[::-1].astype(kind)  # pieces between seeds, least first
     of = np.searchsorted(seeds, order)
     ends = np.append(seeds[1:], n - 1)[of]
@@ -228,14 +275,15 @@ def suffixes(text: np.ndarray, n: int, sigma: int, width: int, held: int = HELD)
         same = length[1:] == length[:-1]
         at = np.flatnonzero(same & (short < width))
         alike = np.zeros(len(order) - 1, bool)
-        alike[at] = common(text, order[1:][at], order[:-1][at], width) > short[at]
+        alike[at] = common(word, order[1:][at], order[:-1][at], width) > short[at]
         long = np.flatnonzero(same & (short >= width))  # pieces beyond width differ where their first width symbols do
-        alike[long] = common(text, order[1:][long], order[:-1][long], width) >= width
+        alike[long] = common(word, order[1:][long], order[:-1][long], width) >= width
         name[1:] = np.cumsum(~alike)
     names = np.empty(len(order), np.int64)
     names[of] = name
-    seeds_sorted = seeds[_ranked(seeds, names, width)]
+    order, shared = _ranked(seeds, names, width)
+    seeds_sorted = seeds[order]
     lcp = np.zeros(len(seeds), np.uint8)
-    lcp[1:] = common(text, seeds_sorted[1:], seeds_sorted[:-1], width)
-    for at, c, _ in _induce(text, n, sigma, seeds_sorted, lcp, width, True, held):
+    lcp[1:] = common(word, seeds_sorted[1:], seeds_sorted[:-1], width, shared[1:])
+    for at, c, _ in _induce(text, word, sigma, seeds_sorted, lcp, width, True, held):
         yield at, c

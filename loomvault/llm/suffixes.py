@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 from . import bitfilter, induction
 from . import kernels as K
-from .shared import documents, stash
+from .shared import documents, lean, stash
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a shard, as a mean.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Different pieces of one anchor that a shard may hold.
 HOT = 20_000
-#: Bytes of a longer text that are scanned at once.
-PART = 1 << 20
+#: Bytes of texts that are scanned at once.
+PART = 1 << 19
 
 _PLACE = 22
 _VALUE = np.random.default_rng(20260111).integers(1, 2**63, 256, dtype=np.uint64)
@@ -99,7 +99,7 @@ class Pieces:
 
 def _parts(column: pa.Array, width: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, bytes of it before, bytes, offsets): runs of whole texts, or overlapping parts of a long one that have all of its windows."""
-    for base, buf, offs in K.text_chunks(column):
+    for base, buf, offs in K.text_chunks(column, size):
         if len(offs) > 2 or len(buf) <= 2 * size:
             yield base, 0, buf, offs
             continue
@@ -135,7 +135,7 @@ def _place_hash(name, order, lo):
     return name ^ order ^ (lo << 7) if isinstance(name, np.ndarray) else name.bitwiseXOR(order).bitwiseXOR(F.shiftleft(lo, 7))
 
 
-def _piece_bytes(width: int, gram: int, size: int, table, wanted, hot):
+def _piece_bytes(width: int, gram: int, size: int, table, anchors, wanted, hot):
     """Columns in: order, m, h, text. The bytes of the wanted pieces; others that the filters let through do no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def _piece_bytes(width: int, gram: int, size: int, table, wanted, hot):
             for base, before, buf, offs in _parts(batch.column(3), width, size) if batch.num_rows else ():
                 p = Pieces(buf, offs, width, gram)
                 lo = p.lo - offs[p.row] + before
-                some = np.flatnonzero(bitfilter.passes(wanted.value, _place_hash(p.name.view(np.int64), orders[p.row + base], lo)) & ~p.rest)
+                some = np.flatnonzero(bitfilter.passes(anchors.value, p.anchor.view(np.int64)) & bitfilter.passes(wanted.value, _place_hash(p.name.view(np.int64), orders[p.row + base], lo)) & ~p.rest)
                 if not len(some):
                     continue
                 start, end = p.lo[some], p.hi[some] + width
@@ -178,7 +178,7 @@ class _Shard:
         """The text with room behind, and where each piece begins and the last ends."""
         sizes = np.concatenate([np.diff(np.frombuffer(b.column(4).buffers()[1], np.int32)[b.column(4).offset : b.column(4).offset + b.num_rows + 1]) for b in self.parts]).astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        text = induction.room(int(begin[-1]) + width, np.uint16)
+        text = induction.room(int(begin[-1]) + width + induction.WORD, np.uint16)
         done = 0
         for b in self.parts:
             column, n = b.column(4), b.num_rows
@@ -283,7 +283,7 @@ def _broadcast(hashes: DataFrame):
 
 
 def _through(rows: DataFrame, table, column: int) -> DataFrame:
-    return rows.mapInArrow(lambda batches: (b.filter(pa.array(bitfilter.passes(table.value, b.column(column).to_numpy()))) for b in batches), rows.schema)
+    return rows.mapInArrow(lean(lambda batches: (b.filter(pa.array(bitfilter.passes(table.value, b.column(column).to_numpy()))) for b in batches)), rows.schema)
 
 
 def repeated_ranges(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, part: int = PART, held: int = induction.HELD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -294,7 +294,7 @@ def repeated_ranges(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, part
     texts = stash(rows.groupBy("m").agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("copies")), "texts")
     least = _broadcast(texts.select(F.xxhash64("order", "m")))
     scan = rows.select("order", "m", F.xxhash64("order", "m").alias("h"), "text")
-    found = stash(scan.mapInArrow(_piece_rows(width, gram, part, least), _PIECE), "pieces")
+    found = stash(scan.mapInArrow(lean(_piece_rows(width, gram, part, least)), _PIECE), "pieces")
     runs = found.filter("rest").select("m", "order", "lo", (F.col("lo") + F.col("more")).alias("hi"))
     shared = stash(found.filter("not rest").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"), "anchors")
     likely = _through(found.filter("not rest"), _broadcast(shared), 0)
@@ -305,13 +305,14 @@ def repeated_ranges(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, part
     whole = likely.join(copies, later).filter(F.struct("order", "lo") > F.col("first")).select("m", "order", "lo", (F.col("lo") + F.col("more")).alias("hi"))
     several = stash(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "several")
     hot = _broadcast(several.filter(F.col("d") > HOT).select("anchor"))
-    compared = stash(_through(pieces.select("anchor", "name", "first", "more"), _broadcast(several.select("anchor")), 0), "compared")
+    anchors = _broadcast(several.select("anchor"))
+    compared = stash(_through(pieces.select("anchor", "name", "first", "more"), anchors, 0), "compared")
     wanted = _broadcast(compared.select(_place_hash(F.col("name"), F.col("first.order"), F.col("first.lo"))))
-    sent = stash(scan.mapInArrow(_piece_bytes(width, gram, part, least, wanted, hot), _BYTES), "bytes")
+    sent = stash(scan.mapInArrow(lean(_piece_bytes(width, gram, part, least, anchors, wanted, hot)), _BYTES), "bytes")
     size = compared.agg(F.coalesce(F.sum(F.col("more") + width + 2), F.lit(0)).alias("b")).first()["b"]
     shards = max(n, -(-size // SHARD))
-    cold = sent.filter("not hot").drop("hot").repartition(shards, "anchor").mapInArrow(_sorted_shard(width, held), _RANGE)
-    each = sent.filter("hot").drop("hot").mapInArrow(_window_hashes(width), "anchor long, x long, order long, m binary, lo long")
+    cold = sent.filter("not hot").drop("hot").repartition(shards, "anchor").mapInArrow(lean(_sorted_shard(width, held)), _RANGE)
+    each = sent.filter("hot").drop("hot").mapInArrow(lean(_window_hashes(width)), "anchor long, x long, order long, m binary, lo long")
     earliest = each.groupBy("anchor", "x").agg(first).select(F.col("anchor").alias("of"), F.col("x").alias("like"), "first")
     heated = each.join(earliest, (F.col("anchor") == F.col("of")) & (F.col("x") == F.col("like"))).filter(F.struct("order", "lo") > F.col("first")).select("m", "order", "lo", F.col("lo").alias("hi"))
     return rows, texts, runs.unionByName(whole).unionByName(cold).unionByName(heated)
@@ -391,8 +392,8 @@ def dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, digest: bool =
     wanted = _broadcast(by_text.select(F.xxhash64("order", "m")))
     texts_in = _through(rows.select("order", "m", F.xxhash64("order", "m").alias("h"), "text"), wanted, 2).select(F.col("order").alias("o"), F.col("m").alias("like"), "text")
     losing = texts_in.join(by_text, (F.col("like") == F.col("m")) & (F.col("o") == F.col("order"))).select("m", "text", "ranges")
-    changed = losing.mapInArrow(_remove(width, digest), "m binary, n_removed long, n_spans long, kept binary").dropDuplicates(["m"])
-    plain = rows.select("doc_id", "order", "m", "text").mapInArrow(_plain(digest), "doc_id long, order long, m binary, n_bytes long, plain binary")
+    changed = losing.mapInArrow(lean(_remove(width, digest)), "m binary, n_removed long, n_spans long, kept binary").dropDuplicates(["m"])
+    plain = rows.select("doc_id", "order", "m", "text").mapInArrow(lean(_plain(digest)), "doc_id long, order long, m binary, n_bytes long, plain binary")
     copied = texts.filter("copies > 1").select("m", F.col("order").alias("least"))
     out = plain.join(copied, "m", "left").join(changed, "m", "left")
     gone = F.coalesce(F.col("order") > F.col("least"), F.lit(False)) & (F.col("n_bytes") >= width)

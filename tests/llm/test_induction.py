@@ -33,7 +33,7 @@ def test_order_and_common_prefixes(width, block, held, monkeypatch):
     for _ in range(6):
         for pieces in texts(r):
             symbols, n = shard(pieces)
-            text = induction.room(n + width, np.uint16)
+            text = induction.room(n + width + induction.WORD, np.uint16)
             text[:n] = symbols
             at, lcp = (np.concatenate(x) for x in zip(*induction.suffixes(text, n, 257, width, held), strict=True))
             assert sorted(at.tolist()) == list(range(n - 1))
@@ -54,7 +54,7 @@ def test_time_follows_the_input():
     for n in (60_000, 240_000):
         raw = b" ".join(words[i] for i in r.integers(0, 3000, n))
         symbols, size = shard([raw[i : i + 140] for i in range(0, len(raw), 140)])
-        text = np.append(symbols, np.zeros(100, np.uint16))
+        text = np.append(symbols, np.zeros(100 + induction.WORD, np.uint16))
         began = time.perf_counter()
         assert sum(len(a) for a, _ in induction.suffixes(text, size, 257, 100)) == size - 1
         took.append(time.perf_counter() - began)
