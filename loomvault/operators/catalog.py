@@ -42,9 +42,10 @@ def info(sections: DataFrame, folder: str = "") -> DataFrame:
     return below.agg(F.count_distinct("note_path").alias("note_count"), F.count_distinct("tag").alias("tag_count"))
 
 
-def notes_indexed(sections: DataFrame, path: str | None = None) -> DataFrame:
-    """The indexed notes, or the one at path (no row if it is not indexed): sections, tags, links and tokens of each."""
-    some = sections if path is None else sections.filter(F.col("note_path") == path)
+def notes_indexed(sections: DataFrame, path: str | None = None, folder: str = "", recursive: bool = True) -> DataFrame:
+    """The indexed notes of a folder, or the one at path (no row if it is not indexed): sections, tags, links and tokens of each."""
+    test = paths.is_under_folder if recursive else paths.is_in_folder
+    some = sections.filter(F.col("note_path") == path) if path is not None else sections.filter(test(F.col("note_path"), folder)) if folder or not recursive else sections
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "section_path", "links"))).alias("parts")
     out = some.groupBy("note_path").agg(parts, F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.sum("token_count").alias("token_count"))
     return out.select("note_path", F.col("parts.section_path").alias("sections"), "tags", F.flatten("parts.links").alias("links"), "token_count")

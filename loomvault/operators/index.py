@@ -9,7 +9,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -252,6 +252,11 @@ class Store:
         """The sections of a few notes: row groups without them are not read, as runs are sorted by note."""
         return self.load("sections").filter(F.col("note_path").isin(*notes))
 
+    def section(self, section_path: str) -> Row | None:
+        """One indexed section, with its tokens, length, tags and links; None if it is not indexed."""
+        found = self.sections_of([section_path.partition("#")[0]]).filter(F.col("section_path") == section_path).limit(1).collect()
+        return found[0] if found else None
+
     # ---- changes
 
     def _sorted(self, sections: DataFrame) -> DataFrame:
@@ -325,6 +330,10 @@ class Store:
         self._remove([first])
         return run
 
+    def clear(self) -> None:
+        """No section is indexed any more."""
+        self._commit(lambda n, meta: {"version": VERSION, "seq": meta["seq"], "runs": [], "schemas": {}})
+
     def compact(self) -> None:
         """One run for all that changes have made."""
         self._commit(lambda n, meta: meta | {"runs": [self._merged(meta, meta["runs"], BASE)]})

@@ -107,11 +107,12 @@ def section_resource(sections_: DataFrame, note: str, heading_path: list[str]) -
 
 
 def note_resource(files: DataFrame, note: str) -> dict:
-    """One note for a reader: title, sorted tags, headings, links, figures and text; an error if there is none."""
-    found = notes(files.filter(F.col("path") == note)).collect()
+    """One note for a reader: title, sorted tags, headings, links, figures and its text as put together again; an error if there is none."""
+    one = files.filter(F.col("path") == note)
+    found = notes(one).collect()
     if not found:
         raise SectionError(f"there is no note {note}")
-    return found[0].asDict()
+    return found[0].asDict() | {"content": serialised(one).first()["content"]}
 
 
 def serialised(files: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def canon(rows, columns):
     return sorted(tuple(value(r[columns.index(c)]) for c in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["section_split", "all_tags", "path_parts", "bm25_filtered", "tag_jaccard", "rrf_hybrid", "notes_grouped", "render_hits", "tag_children", "dangling_links", "event_stream_upsert", "change_apply", "index_change", "corpus_after_change", "notes_indexed", "bm25_postings_topk", "upsert_conflicts", "heading_paths", "note_serialise", "section_resources", "folder_counts_below", "link_parse", "scorer_hits"])
+@pytest.mark.parametrize("name", ["section_split", "all_tags", "path_parts", "bm25_filtered", "tag_jaccard", "rrf_hybrid", "notes_grouped", "render_hits", "tag_children", "dangling_links", "event_stream_upsert", "change_apply", "index_change", "corpus_after_change", "notes_indexed", "bm25_postings_topk", "upsert_conflicts", "heading_paths", "note_serialise", "section_resources", "folder_counts_below", "link_parse", "scorer_hits", "bm25_blockmax_topk", "bm25_many", "rrf_many", "tag_jaccard_postings", "tag_expand_range", "tag_tree", "levels_postings", "levels_blockmax_topk", "view_terms", "view_tags", "view_folders", "view_wikilinks", "commit_outcomes", "commit_state", "commit_changes", "rename_many_links", "merkle_diff"])
 def test_queries_match_sql(spark, name):
     import glob
     import os

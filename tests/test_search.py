@@ -130,5 +130,7 @@ def test_resources(s, spark):
     (n,) = catalog.notes_indexed(s, "wiki/Rust.md").collect()
     assert n["sections"] == ["wiki/Rust.md#Rust", "wiki/Rust.md#Rust/Async"] and n["links"][0]["target"] == "Home"
     assert catalog.notes_indexed(s, "none.md").count() == 0
+    assert {x["note_path"] for x in catalog.notes_indexed(s, folder="wiki/").collect()} == {"wiki/Rust.md", "wiki/Python.md"}
+    assert {x["note_path"] for x in catalog.notes_indexed(s, folder="projects/", recursive=False).collect()} == {"projects/App.md"}
     p = sections.parsed(spark.createDataFrame(NOTES, "path string, content string")).filter("path = 'wiki/Rust.md'").first()
     assert sections.serialise("tags:\n  - programming/rust", p["chunks"]) == NOTES[0][1]
