@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,17 +37,19 @@ class Keyed:
     def _read(self, run: dict) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{run['path']}").withColumn("_seq", F.lit(run["seq"]))
 
-    def _last(self, runs: list[dict]) -> DataFrame:
-        """The last row of each key in some runs."""
-        if not runs:
-            return self.spark.createDataFrame([], self.schema)
-        rows = functools.reduce(DataFrame.unionByName, map(self._read, runs))
-        return last_events(rows, self.key, (*self.order, "_seq")).select(*self.columns)
-
-    def read(self, since: int | None = None) -> DataFrame:
-        """The last row of each key; since: only of what later batches have brought, rounded to whole runs."""
+    def _last(self, runs: list[dict], needed: dict[str, Column] | None = None) -> DataFrame:
+        """The last row of each key in some runs; needed: only these columns besides the key, made before rows move."""
+        rows = functools.reduce(DataFrame.unionByName, map(self._read, runs)) if runs else self.spark.createDataFrame([], self.schema).withColumn("_seq", F.lit(0))
+        if needed is None:
+            return last_events(rows, self.key, (*self.order, "_seq")).select(*self.columns)
+        order = [F.col(c).alias(f"_by_{c}") for c in self.order]
+        rows = rows.select(self.key, *order, "_seq", *[c.alias(name) for name, c in needed.items()])
+        return last_events(rows, self.key, (*[f"_by_{c}" for c in self.order], "_seq")).select(self.key, *needed)
+
+    def read(self, since: int | None = None, needed: dict[str, Column] | None = None) -> DataFrame:
+        """The last row of each key; since: only of what later batches have brought, rounded to whole runs; needed: see `_last`."""
         runs = self.meta()[1]["runs"]
-        return self._last([r for r in runs if since is None or r["seq"] > since])
+        return self._last([r for r in runs if since is None or r["seq"] > since], needed)
 
     def write(self, rows: DataFrame) -> str:
         """A part with these rows, which no state names yet."""

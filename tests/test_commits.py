@@ -65,3 +65,16 @@ def test_what_a_batch_writes_follows_the_batch(spark, tmp_path, monkeypatch):
             assert size(root) - whole < 0.02 * whole
     got = {r["id"]: r["v"] for r in make().read().collect()}
     assert len(got) == 100_000 and {i: got[i] for i in want} == want and got[99_999] != "late"
+
+
+def test_content_moves_only_where_writes_fail(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log")
+    text = "".join(chr(97 + i * 7919 % 26) for i in range(50_000))
+    log.commit(batch(spark, ("x", None, text), ("y", None, "two")))
+    assert size(tmp_path) < 2 * len(text)  # written once
+    assert "content" not in log._outcomes(spark.createDataFrame([("x", None, False)], "path string, expected string, deletes boolean")).columns
+    plan = log.revisions()._jdf.queryExecution().executedPlan().toString()
+    assert all("content" not in line for line in plan.splitlines() if "SortAggregate" in line or "Exchange" in line)
+    number, out = log.commit(batch(spark, ("x", "9:9", "no"), ("y", "1:3", "yes"), (None, None, "null path")))
+    assert number == 2 and {(r["path"], r["outcome"]) for r in out.collect()} == {("x", "conflict"), ("y", "updated"), (None, "created")}
+    assert {r["path"]: r["token"] for r in log.notes().collect()} == {"x": "1:50000", "y": "2:3", None: "2:9"}
