@@ -86,6 +86,11 @@ def _link(kind: str, target: Column, alias: Column | None = None, heading_: Colu
     return F.struct(*cols, (F.lit(False) if embed is None else embed).alias("is_embed")).cast(LINK_TYPE)
 
 
+def _holding(text: Column, mark: str, found: Column, item: str) -> Column:
+    """What is found in a text, which is searched only if it holds what stands in every match."""
+    return F.when(~text.contains(mark), F.array().cast(f"array<{item}>")).otherwise(found)
+
+
 def wikilinks(text: Column) -> Column:
     return F.transform(_groups(text, WIKILINK, 5), lambda g: _link("wiki", g["g2"], alias=_null(g["g5"]), heading_=_null(g["g3"]), block=_null(g["g4"]), embed=g["g1"] == "!"))
 
@@ -104,7 +109,8 @@ def emails(text: Column) -> Column:
 
 def links(text: Column) -> Column:
     """All distinct links of a section."""
-    return F.array_distinct(F.concat(wikilinks(text), markdown_links(text), urls(text), emails(text)))
+    each = (("[[", wikilinks), ("](", markdown_links), ("://", urls), ("@", emails))
+    return F.array_distinct(F.concat(*[_holding(text, mark, find(text), LINK_TYPE) for mark, find in each]))
 
 
 def link_text(link: Column) -> Column:
@@ -134,7 +140,8 @@ def link_info(link: Column) -> Column:
 
 def tags(text: Column) -> Column:
     """Distinct inline tags, sorted. Code and wikilinks hold none; a name of digits alone is none."""
-    clean = F.regexp_replace(F.regexp_replace(text, CODE, ""), ANY_WIKILINK, "")
+    plain = F.when(text.contains("`"), F.regexp_replace(text, CODE, "")).otherwise(text)
+    clean = F.when(text.contains("[[") | text.contains("`"), F.regexp_replace(plain, ANY_WIKILINK, "")).otherwise(plain)  # code that goes may leave one
     found = F.regexp_extract_all(clean, F.lit(TAG), F.lit(1))
     return F.array_sort(F.array_distinct(F.filter(found, lambda t: ~t.rlike(r"^[0-9]+$"))))
 
